@@ -7,8 +7,9 @@ that fixes it; a symbol whose stretch lies inside a window is interior to that w
 
 1. Each window of `window` words picks, on the highest level that has any, the smallest name among its interior
    symbols. Equal windows pick equal names, so only windows whose symbol is shared can be repeats.
-2. Windows of shared symbols are verified on 128-bit keys of their words; the first of each key is found.
-3. Candidates that are not the first of their key are repeats; every word that one covers is removed.
+2. Exact copies of whole texts are set aside: all their windows start earlier, in the smallest id of the copies.
+3. Windows of shared symbols are verified on 96-bit keys of their words; the first of each key is found.
+4. Candidates that are not the first of their key are repeats; every word that one covers is removed.
 
 Windows are judged on the input. Null texts have no words; documents shorter than a window keep all. Rows equal in id
 and text are one document and get equal results; different texts under one id are ordered by a hash of the text.
@@ -204,7 +205,7 @@ def _verify(window: int):
                 doc = np.repeat(np.arange(len(docs)), n)
                 a, b = _key(h, starts + first[doc], window)
                 rows = pa.array(lo + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32))], ["a", "b", "_id", "_h", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32))], ["a", "b", "_id", "_h", "start"])
 
     return run
 
@@ -212,13 +213,15 @@ def _verify(window: int):
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, bases, masks, firsts = (batch.column(i) for i in (2, 3, 4, 5))
+            text, bases, masks, firsts, copy = (batch.column(i) for i in (2, 3, 4, 5, 6))
             for lo in range(0, batch.num_rows, 500):
                 total, removed, kept = [], [], []
                 for i in range(lo, min(lo + 500, batch.num_rows)):
                     w = split(text[i].as_py())
                     total.append(len(w))
-                    if bases[i].is_valid:
+                    if copy[i].as_py():
+                        w = [] if len(w) >= window else w
+                    elif bases[i].is_valid:
                         own = _starts(bases[i].values.to_numpy(zero_copy_only=False), masks[i].values.to_numpy(zero_copy_only=False), window)
                         if firsts[i].is_valid:
                             own = np.setdiff1d(own, firsts[i].values.to_numpy(zero_copy_only=False), assume_unique=True)
@@ -242,10 +245,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
         raise ValueError("window must be 2 to 31 words")  # a window's place in its anchor's mask is one bit of an int
     keyed = doc_keys(docs)
     picked = materialise(keyed.mapInArrow(_pick(window, rounds), "name long, _id long, _h long, base int, mask int"), "anchors")
-    shared = picked.groupBy("name").count().filter("count > 1").select("name")
+    shared = materialise(picked.groupBy("name").count().filter("count > 1").select("name"), "shared")
+    digest = keyed.filter("_text is not null").select(F.unhex(F.sha2("_text", 256)).alias("d"), "_id", "_h")
+    groups = digest.groupBy("d").agg(F.min(F.struct("_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "m")
+    copies = materialise(digest.join(groups, "d").filter(F.struct("_id", "_h") != F.col("m")).select("_id", "_h").distinct(), "copies")
     near = picked.join(shared, "name").groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
-    near = materialise(near, "candidates")
-    keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b long, _id long, _h long, start int")
+    near = materialise(near.join(copies, ["_id", "_h"], "left_anti"), "candidates")
+    keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b int, _id long, _h long, start int")
     span = keyed.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.max(F.abs("_h")).alias("h")).first()
     narrow = span["lo"] is not None and span["h"] == 0 and span["hi"] - span["lo"] < 1 << 38
     if narrow:  # order of (id, start) in one number, which aggregates without sorting
@@ -255,8 +261,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
     else:
         first = keys.groupBy("a", "b").agg(F.min(F.struct("_id", "_h", "start")).alias("m")).select("m._id", "m._h", "m.start")
     firsts = materialise(first.groupBy("_id", "_h").agg(F.collect_list("start").alias("firsts")), "firsts")
-    known = near.join(firsts, ["_id", "_h"], "left")
-    whole = keyed.join(known, ["_id", "_h"], "left").select("_id", "_h", "_text", "bases", "masks", "firsts")
+    known = near.join(firsts, ["_id", "_h"], "left").withColumn("copy", F.lit(False))
+    known = known.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    whole = keyed.join(known, ["_id", "_h"], "left").select("_id", "_h", "_text", "bases", "masks", "firsts", F.coalesce("copy", F.lit(False)).alias("copy"))
     cut = whole.mapInArrow(_cut(window), "_id long, _h long, n_words long, n_removed long, kept_text string")
     return cut.select(public_id(F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
