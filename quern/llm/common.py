@@ -1,38 +1,16 @@
-"""Helpers shared by the corpus operators: the shared folder, keys, and connected components."""
+"""Helpers shared by the corpus operators: keys of documents; the shared folder and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a null id inside joins; sorts before all other ids.
-NULL_ID = -(1 << 63)
-
-
-_own: list[str] = []
+from quern.operators.graph import components, materialise, shared_dir, star_edges
 
+__all__ = ["NULL_ID", "components", "doc_keys", "materialise", "public_id", "shared_dir", "star_edges"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where none is configured (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
-        found = _own[0]
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Stands for a null id inside joins; sorts before all other ids.
+NULL_ID = -(1 << 63)
 
 
 def doc_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,63 +27,3 @@ def doc_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def public_id(col) -> F.Column:
     """The id as given: null again where it was null."""
     return F.nullif(col, F.lit(NULL_ID))
-
-
-def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace each batch of edges by a star around the smallest node of each of its components."""
-    for pdf in batches:
-        a, b = star_edges(pdf["a"].to_numpy(), pdf["b"].to_numpy())
-        yield pd.DataFrame({"a": a, "b": b})
-
-
-def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) that connect the same nodes as the given edges."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while True:
-            deeper = root[root]
-            if np.array_equal(deeper, root):
-                break
-            root = deeper
-        if np.array_equal(before, root):
-            break
-    off = root != np.arange(len(nodes))
-    return nodes[off], nodes[root[off]]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of undirected `edges` (a, b long); root is one node of the node's component.
-
-    Contraction: in each round every node joins its neighbour with the smallest salted hash (or stays),
-    edges are renamed and de-duplicated, until none is left. Salted hashes shrink long chains by a
-    constant factor a round. Hot nodes only meet partial aggregates and joins that can be split.
-    Self edges and repeated edges do no harm; nulls are ignored.
-    """
-    spark = edges.sparkSession
-    now = materialise(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").mapInPandas(_local_forest, "a long, b long"), "edges"
-    )
-    steps = []
-    while not now.isEmpty():
-        salt = F.lit(len(steps) + 1)
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        choice = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("to"))).alias("m"))
-        choice = choice.select("node", F.when(F.col("m.h") < F.xxhash64("node", salt), F.col("m.to")).otherwise(F.col("node")).alias("to"))
-        choice = materialise(choice, "choice")
-        steps.append(choice)
-        now = now.join(choice.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(choice.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        now = materialise(now.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().mapInPandas(_local_forest, "a long, b long"), "edges")
-    if not steps:
-        return spark.createDataFrame([], "node long, root long")
-    found = steps[-1].select("node", F.col("to").alias("root"))
-    for choice in reversed(steps[:-1]):
-        up = found.select(F.col("node").alias("to"), F.col("root").alias("_r"))
-        found = choice.join(up, "to", "left").select("node", F.coalesce("_r", "to").alias("root"))
-        found = materialise(found, "roots")
-    return found

@@ -105,13 +105,14 @@ def linked(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool) ->
 def trie_edges(codes: DataFrame, budget: int = 2, leaf: int = 2048, step: int = 4) -> DataFrame:
     """Spanning edges (a, b) of the pairs of different codes (column fp, distinct) within `budget` differing bits."""
     codes = codes.select("fp")
-    prefix = lambda depth: F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned("fp", 64 - depth)
+    prefix = lambda depth: F.shiftrightunsigned("fp", 64 - depth)
     spark = codes.sparkSession
-    depth, nodes, placed, open_codes = 0, None, None, codes
+    nodes = spark.createDataFrame([(0, 0, False)], "d int, p long, leaf boolean")  # the root is always an inner node
+    depth, placed, open_codes = step, None, codes
     while True:  # grow the trie until every leaf is small
         count = materialise(open_codes.groupBy(prefix(depth).alias("p")).agg(F.count(F.lit(1)).alias("n")), "nodes")
         level = count.select(F.lit(depth).alias("d"), "p", (F.col("n") <= leaf).alias("leaf"))
-        nodes = level if nodes is None else nodes.unionByName(level)
+        nodes = nodes.unionByName(level)
         tagged = open_codes.withColumn("p", prefix(depth)).join(count, "p")
         here = tagged.filter(F.col("n") <= leaf).select(F.lit(depth).alias("d"), "p", "fp")
         placed = here if placed is None else placed.unionByName(here)
