@@ -27,7 +27,7 @@ def bands(code: Column, count: int) -> Column:
     out, start = [], 0
     for i in range(count):
         width = 64 // count + (1 if i < 64 % count else 0)
-        part = F.shiftrightunsigned(code, 64 - start - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        part = F.shiftrightunsigned(code, 64 - start - width).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("long"))
         out.append(F.struct(F.lit(i).alias("band"), part.alias("value")))
         start += width
     return F.array(*out)
