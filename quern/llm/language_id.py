@@ -48,13 +48,18 @@ class Lattice:
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
-        chars = sorted({c for p in pieces for c in p})
-        self.classes = np.zeros(0x110001, np.int16)  # 0: in no piece
+        # The trie holds pieces of two characters and more; single characters have a table of their own, so that
+        # scripts with thousands of signs do not widen the trie.
+        chars = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.classes = np.zeros(0x110000, np.int16)  # 0: in no longer piece
         for i, c in enumerate(chars):
             self.classes[ord(c)] = i + 1
+        self.single = np.full(0x110000, -1, np.int32)
         nodes: dict[str, int] = {"": 1}  # node 0 is dead
-        for p in pieces:
-            for n in range(1, len(p) + 1):
+        for i, p in enumerate(pieces):
+            if len(p) == 1:
+                self.single[ord(p)] = i
+            for n in range(1, len(p) + 1 if len(p) > 1 else 0):
                 nodes.setdefault(p[:n], len(nodes) + 1)
         self.step = np.zeros((len(nodes) + 1, len(chars) + 1), np.int32)
         for prefix, node in nodes.items():
@@ -62,21 +67,27 @@ class Lattice:
                 self.step[nodes[prefix[:-1]], self.classes[ord(prefix[-1])]] = node
         self.piece = np.full(len(nodes) + 1, -1, np.int32)
         for i, p in enumerate(pieces):
-            self.piece[nodes[p]] = i
+            if len(p) > 1:
+                self.piece[nodes[p]] = i
 
     def arcs(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces): words (of one length) with a piece there, by start and then end; one-character spans come first."""
         n = len(words[0])
-        codes = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)]
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        codes, single = self.classes[points], self.single[points]
         for i in range(n):
             rows, node = np.arange(len(words)), np.ones(len(words), np.int32)
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 node = self.step[node, codes[rows, j - 1]]
                 alive = node > 0
                 rows, node = rows[alive], node[alive]
+                if j == i + 1:
+                    own = np.flatnonzero(single[:, i] >= 0)
+                    yield i, j, own, single[own, i]
+                    continue
                 ids = self.piece[node]
                 hit = ids >= 0
-                if hit.any() or j == i + 1:
+                if hit.any():
                     yield i, j, rows[hit], ids[hit]
                 if not len(rows):
                     break
