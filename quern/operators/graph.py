@@ -68,9 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
     Self edges and repeated edges do no harm; nulls are ignored.
     """
     spark = edges.sparkSession
-    now = materialise(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").mapInPandas(_local_forest, "a long, b long"), "edges"
-    )
+    now = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b"), "edges")
     steps = []
     while not now.isEmpty():
         salt = F.lit(len(steps) + 1)
