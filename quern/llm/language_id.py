@@ -27,7 +27,7 @@ MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]{1,64}")
 _FLOOR = 1e-7
 #: Words whose scores a worker remembers before it starts anew, and characters scored at a time.
-_CACHE, _CHUNK = 200_000, 1_000_000
+_CACHE, _CHUNK = 150_000, 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -256,17 +256,22 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
     return Model(languages, pieces, probs)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and lang_pred and score. Only the text reaches the model."""
+def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (without text unless keep_text), and lang_pred and score; clashing names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            lang, score = sent.value.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
-
-    return docs.withColumn("_p", run("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    docs = docs.drop("lang_pred", "score")
+    names = [c for c in docs.columns if keep_text or c != "text"]
+    at = docs.columns.index("text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "lang_pred string", "score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                lang, score = sent.value.predict(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if keep_text or i != at), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def brute_force(pieces: dict[str, float], word: str) -> float:

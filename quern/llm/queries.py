@@ -81,7 +81,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, tokenizer_path("piece_bpe_32k.model"))
-    return language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model).drop("text")
+    return language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model, keep_text=False)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
