@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components, materialise, shared_dir, star_edges
 
-__all__ = ["NULL_ID", "components", "doc_keys", "materialise", "public_id", "shared_dir", "star_edges"]
+__all__ = ["NULL_ID", "components", "doc_keys", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
 
 #: Stands for a null id inside joins; sorts before all other ids.
 NULL_ID = -(1 << 63)
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df itself; from now on the session sends at most `rows` rows in an Arrow batch, as whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def doc_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _h, _text): _id is never null; _h tells apart different texts under one id and is 0 if ids are unique.
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialise, small_batches
+
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _M = 0x9E3779B97F4A7C15 | 1
 #: Words that are handled at a time inside a task.
@@ -146,11 +148,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in of.collect()], window))
         return slim.mapInArrow(_scan(index, spans), schema)
 
-    slim = docs.select("doc_id", "text")
+    slim = small_batches(docs).select("doc_id", "text")
     if parts == 1:
         return one(bench, slim, keep_spans)
-    from quern.llm.common import materialise
-
     rows = materialise(slim.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "rows")
     schema = schema.replace(f"doc_id {kind}", "doc_id long")
     found = None

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import small_batches
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title iframe object svg math select datalist audio video canvas".split())
@@ -319,4 +321,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def run(html: pd.Series) -> pd.Series:
         return html.map(render, na_action=None) if len(html) else html
 
-    return pages.select(*[c for c in pages.columns if c not in (html_col, "text")], run(F.col(html_col)).alias("text"))
+    return small_batches(pages).select(*[c for c in pages.columns if c not in (html_col, "text")], run(F.col(html_col)).alias("text"))

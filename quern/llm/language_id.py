@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialise, small_batches
+
 MARK = "▁"
 _WORD = re.compile(r"[^\W\d_]{1,64}")
 _FLOOR = 1e-7
@@ -214,7 +216,7 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
     the driver sees one number for each language and piece."""
     spark = docs.sparkSession
     pieces = vocabulary(vocab_path)
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out())
+    rows = small_batches(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out())
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
@@ -231,8 +233,6 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
                 lang += [g.as_py()] * len(w)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string())], ["lang", "word"])
 
-    from quern.llm.common import materialise
-
     counts = materialise(chosen.select("text", "lang").mapInArrow(split, "lang string, word string").groupBy("lang", "word").count(), "words")
     place = {p: i for i, p in enumerate(pieces)}
     probs = np.full((len(pieces), len(languages)), 1.0 / max(1, len(pieces)))
@@ -259,7 +259,7 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
 def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     """All columns of docs (without text unless keep_text), and lang_pred and score; clashing names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     names = [c for c in docs.columns if keep_text or c != "text"]
     at = docs.columns.index("text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "lang_pred string", "score double"])

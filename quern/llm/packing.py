@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise
+from quern.llm.common import materialise, small_batches
 
 #: The split of the byte-level vocabulary: fixed values.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,7 +93,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
                     ["doc_id", "piece", "start", "length", "ids", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids array<int>, ids_crc32 long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids array<int>, ids_crc32 long")
 
 
 def price_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int, bound: np.ndarray) -> np.ndarray:

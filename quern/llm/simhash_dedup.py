@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, components, materialise, public_id, star_edges
+from quern.llm.common import NULL_ID, components, materialise, small_batches, star_edges
 
 _CHUNK = 65_536
 
@@ -57,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -193,5 +192,3 @@ def brute_force(texts: list[tuple[int, str | None]], budget: int = 2) -> dict[in
                 group = [new if g == old else g for g in group]
     return {d: (f"{fp[i]:016x}", min(texts[k][0] for k in range(len(texts)) if group[k] == group[i])) for i, (d, _) in enumerate(texts)}
 
-
-__all__ = ["near_duplicates", "representatives", "public_id", "pd"]

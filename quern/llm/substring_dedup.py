@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_keys, materialise, public_id
+from quern.llm.common import doc_keys, materialise, public_id, small_batches
 
 #: Words that a task handles at a time, and different words it remembers.
 _CHUNK, _CACHE = 200_000, 250_000
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
     """doc_id, n_words, n_removed and kept_text (kept words joined by single spaces) of every row."""
     if not 2 <= window <= 31:
         raise ValueError("window must be 2 to 31 words")  # a window's place in its anchor's mask is one bit of an int
-    keyed = doc_keys(docs)
+    keyed = doc_keys(small_batches(docs))
     picked = materialise(keyed.mapInArrow(_pick(window, rounds), "name long, _id long, _h long, base int, mask int"), "anchors")
     shared = materialise(picked.groupBy("name").count().filter("count > 1").select("name"), "shared")
     digest = keyed.filter("_text is not null").select(F.unhex(F.sha2("_text", 256)).alias("d"), "_id", "_h")
