@@ -242,11 +242,18 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
         def e_step(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             langs, own, p = model.value
             lattice = Lattice(own)
-            for pdf in batches:
-                for g, part in pdf.groupby("lang"):
+            held, rows = [], 0
+            for pdf in chain(batches, [None]):  # small batches are scored together
+                if pdf is not None:
+                    held.append(pdf)
+                    rows += len(pdf)
+                if not held or (pdf is not None and rows < 40_000):
+                    continue
+                for g, part in pd.concat(held).groupby("lang"):
                     use = expected(lattice, p[:, langs.index(g)], [MARK + w for w in part["word"]], part["count"].to_numpy(float))
                     k = np.flatnonzero(use > 1e-9)
                     yield pd.DataFrame({"lang": g, "piece": [own[i] for i in k], "n": use[k]})
+                held, rows = [], 0
 
         got = counts.mapInPandas(e_step, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
         probs = np.full(probs.shape, 0.05)
