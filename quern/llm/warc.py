@@ -54,9 +54,8 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
         F.lit(CRLF + CRLF),
     )
     joined.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/records")
-    # One holder per digest: the pages that are responses for it, and of equal ids any one.
-    held = rows.join(first.select("digest", "first_id"), "digest").filter(F.col("page_id").eqNullSafe(F.col("first_id")))
-    held.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # Equal digests are equal bytes (asserted above), so any holder will do; copies meet map-side first.
+    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     return Archive(f"{path}/records", f"{path}/payloads")
 
 
