@@ -24,11 +24,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: While this is on, Spark removes a query's shuffle files when the query ends instead of when the driver collects garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quern-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a DataFrame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are removed with its end, as the written table replaces them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote and that no later step reads, nor any frame still to be evaluated."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("quern-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +102,8 @@ def components(edges: DataFrame) -> DataFrame:
         choice = materialise(choice, "choice")
         steps.append(choice)
         now = now.join(choice.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(choice.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        now = materialise(now.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().mapInPandas(_local_forest, "a long, b long"), "edges")
+        used, now = now, materialise(now.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().mapInPandas(_local_forest, "a long, b long"), "edges")
+        discard(used)
     if not steps:
         return spark.createDataFrame([], "node long, root long")
     found = steps[-1].select("node", F.col("to").alias("root"))
