@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.graph import components, materialise, shared_dir, star_edges
+from quern.operators.graph import components, discard, materialise, shared_dir, star_edges
 
-__all__ = ["NULL_ID", "components", "doc_keys", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
+__all__ = ["NULL_ID", "components", "discard", "doc_keys", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
 
 #: Stands for a null id inside joins; sorts before all other ids.
 NULL_ID = -(1 << 63)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_keys, materialise, public_id, small_batches
+from quern.llm.common import discard, doc_keys, materialise, public_id, small_batches
 
 #: Words that a task handles at a time, and different words it remembers.
 _CHUNK, _CACHE = 200_000, 250_000
@@ -251,6 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
     copies = materialise(digest.join(groups, "d").filter(F.struct("_id", "_h") != F.col("m")).select("_id", "_h").distinct(), "copies")
     near = picked.join(shared, "name").groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
     near = materialise(near.join(copies, ["_id", "_h"], "left_anti"), "candidates")
+    discard(picked, shared)
     keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b int, _id long, _h long, start int")
     span = keyed.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.max(F.abs("_h")).alias("h")).first()
     narrow = span["lo"] is not None and span["h"] == 0 and span["hi"] - span["lo"] < 1 << 38
