@@ -101,8 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
         choice = choice.select("node", F.when(F.col("m.h") < F.xxhash64("node", salt), F.col("m.to")).otherwise(F.col("node")).alias("to"))
         choice = materialise(choice, "choice")
         steps.append(choice)
-        now = now.join(choice.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(choice.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        used, now = now, materialise(now.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().mapInPandas(_local_forest, "a long, b long"), "edges")
+        renamed = now.join(choice.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(choice.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
+        used, now = now, materialise(renamed.filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().mapInPandas(_local_forest, "a long, b long"), "edges")
         discard(used)
     if not steps:
         return spark.createDataFrame([], "node long, root long")
