@@ -254,7 +254,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
     discard(picked, shared)
     keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b int, _id long, _h long, start int")
     span = keyed.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.max(F.abs("_h")).alias("h")).first()
-    narrow = span["lo"] is not None and span["h"] == 0 and span["hi"] - span["lo"] < 1 << 38
+    far = near.agg(F.max(F.array_max("bases"))).first()[0] or 0  # no window of a candidate starts later than this + window
+    narrow = span["lo"] is not None and span["h"] == 0 and span["hi"] - span["lo"] < 1 << 38 and far + window < 1 << 25
     if narrow:  # order of (id, start) in one number, which aggregates without sorting
         low = span["lo"]
         first = keys.groupBy("a", "b").agg(F.min((F.col("_id") - F.lit(low)) * F.lit(1 << 25) + F.col("start")).alias("m"))
