@@ -3,7 +3,7 @@
 Vectors are cut into two halves; each half has its own codebook, so their product is a grid of cells. A vector lives in
 its nearest cell and visits cells by multi-sequence traversal: in the order of a bound on how far a point must move to
 fall into the cell, until the bound exceeds a radius. The radius is calibrated to `target_recall` on pairs that a
-sample of query vectors has against all rows. Candidates are verified by cosine in double precision.
+sample of query vectors has against all rows, where every group of linked vectors weighs the same. Candidates are verified by cosine in double precision.
 
 Exact copies are counted first and travel as one vector. Cells are cut into blocks of at most `block` members times
 `block` visitors; a block counts links and returns spanning edges, never pairs.
@@ -108,42 +108,52 @@ def _sampled(df: DataFrame, n: int, bound: int, salt: str) -> np.ndarray:
 
 
 def calibrate(distinct: DataFrame, books: Codebooks, q: np.ndarray, threshold: float, target: float) -> float:
-    """Squared radius at which `target` of the linked pairs of the queries q against all rows are visited."""
+    """Squared radius at which `target` of the linked pairs of the queries q against all rows are visited.
+
+    A query with d pairs gives each the weight 1 / d^2, so a group weighs the same however many vectors it has, and
+    the target is reached in each quarter of the allowed distance on its own. No linked pair lies beyond 2 - 2 * threshold.
+    """
     edges = np.concatenate([[0.0], np.geomspace(1e-4, 1.0, 60), [np.inf]])
+    limit = 2 - 2 * threshold
     sent = distinct.sparkSession.sparkContext.broadcast((books, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         own_books, queries = sent.value
         _, _, h1, h2 = own_books.own(queries)
-        total = np.zeros(len(edges))
+        total = np.zeros(len(queries) * 4 * len(edges))
         for batch in batches:
             x = unit(_matrix(batch.column(0)))
             for lo in range(0, len(x), 4096):
                 part = x[lo : lo + 4096]
-                i, j = np.nonzero(queries @ part.T >= threshold)
+                cosine = queries @ part.T
+                i, j = np.nonzero(cosine >= threshold)
                 n1, n2, _, _ = own_books.own(part)
                 other = np.abs(queries[i] - part[j]).max(1) > 0  # not itself
                 s = (h1[i, n1[j]] + h2[i, n2[j]])[other]
-                total += np.bincount(np.searchsorted(edges, s), minlength=len(edges))
+                band = np.clip((2 - 2 * cosine[i, j][other]) / max(limit, 1e-12) * 4, 0, 3).astype(np.int64)
+                np.add.at(total, (i[other] * 4 + band) * len(edges) + np.searchsorted(edges, s), 1)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["bin", "n"])
 
     rows = distinct.select("v").mapInArrow(run, "bin long, n double").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(len(edges))
+    n = np.zeros((len(q), 4, len(edges)))
     for r in rows:
-        n[r["bin"]] = r["n"]
-    if n.sum() < 30:  # too few pairs: neighbours at the threshold itself, in random directions
+        n.flat[r["bin"]] = r["n"]
+    d = np.maximum(n.sum((1, 2)), 1)
+    weight = (n / d[:, None, None] ** 2).sum(0)
+    ends = [edges[np.searchsorted(np.cumsum(w), target * w.sum())] for w in weight if w.sum() > 0]
+    radius2 = min(max(ends, default=0.0), 1.0) * 1.1 + 1e-9
+    if weight.sum() < 30 and len(q):  # too few groups: also neighbours at the threshold itself, in random directions
         rng = np.random.default_rng(11)
         x = q[: min(len(q), 512)]
         noise = rng.normal(size=x.shape)
         noise -= (noise * x).sum(1, keepdims=True) * x
-        y = threshold * x + np.sqrt(1 - threshold**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+        y = threshold * x + np.sqrt(1 - threshold**2) * noise / np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-30)
         _, _, h1, h2 = books.own(x)
         n1, n2, _, _ = books.own(y)
         r = np.arange(len(x))
-        return float(np.quantile(h1[r, n1] + h2[r, n2], target)) * 1.1 + 1e-9
-    k = int(np.searchsorted(np.cumsum(n), target * n.sum()))
-    return float(min(edges[k], 1.0)) * 1.1 + 1e-9
+        radius2 = max(radius2, float(np.quantile(h1[r, n1] + h2[r, n2], target)) * 1.1 + 1e-9)
+    return float(min(radius2, limit + 1e-9))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.99, sample: int = 20_000, queries: int = 1_024, block: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

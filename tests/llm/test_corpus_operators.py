@@ -143,6 +143,26 @@ def test_embedding_links(spark):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
+def test_embedding_hot_group_does_not_hide_small_pairs(spark):
+    rng = np.random.default_rng(4)
+    n, hot, pairs, dim = 4800, 600, 300, 64
+    x = embedding_dedup.unit(rng.normal(size=(n, dim)))
+    tight = x[0] + rng.normal(size=(hot, dim)) * 1e-4
+    cosine = rng.uniform(0.905, 0.95, (pairs, 1))
+    noise = rng.normal(size=(pairs, dim))
+    noise = embedding_dedup.unit(noise - (noise * x[1 : pairs + 1]).sum(1, keepdims=True) * x[1 : pairs + 1])
+    near = cosine * x[1 : pairs + 1] + np.sqrt(1 - cosine**2) * noise
+    rows = [(i, v) for i, v in enumerate(np.vstack([x, tight, near]).astype(np.float32).tolist())]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()}
+    want = embedding_dedup.brute_force(rows)
+    linked = [i for i in want if want[i][0]]
+    small = [i for i in linked if want[i][0] < 10]
+    assert len(small) >= 2 * pairs - 10
+    for own in (linked, small):  # recall per vector
+        assert np.mean([got[i].n_links / want[i][0] for i in own]) >= 0.97
+    assert np.mean([got[i].component_id == want[i][1] for i in small]) >= 0.97
+
+
 def test_embedding_empty_and_null_ids(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     got = embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect()
