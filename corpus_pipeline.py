@@ -15,33 +15,36 @@ from quern.llm.queries import table, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (null, or no letter) go."""
+    """Documents without any language (null, or no letter) go, also if there was no language to learn."""
     model = language_id.train(docs, tokenizer_path("piece_bpe_32k.model"))
+    if not model.languages:
+        worded = F.udf(lambda text: len(language_id.words_of(text)) > 0, "boolean")
+        return docs.filter(worded("text"))
     return language_id.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked SimHash fingerprints the document with the smallest id stays."""
+    """Of each group of linked SimHash fingerprints the document with the smallest id stays (null ids last)."""
     return simhash_dedup.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows go; untouched texts stay as they are, and emptied documents go."""
-    cut = substring_dedup.remove_repeats(docs).filter("n_removed > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "kept_text")
-    cut = materialise(cut, "cut")  # ids are unique here: the stage before kept one row of each
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(cut, "_id", "left").filter("kept_text is null or kept_text <> ''")
+    cut = substring_dedup.remove_repeats(docs, keys=True).filter("n_removed > 0").select("_id", "_h", "kept_text")
+    cut = materialise(cut, "cut")
+    unique = cut.filter("_h <> 0").isEmpty()  # _h is 0 if ids are unique; else it tells texts apart, and equal rows are cut alike
+    h = F.lit(0).cast("long") if unique else F.xxhash64("text")
+    cut = cut if unique else cut.dropDuplicates(["_id", "_h"])
+    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_h": h}).join(cut, ["_id", "_h"], "left").filter("kept_text is null or kept_text <> ''")
     return rows.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))).withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter(decontaminate.is_contaminated()).select("doc_id")
-    return _without(docs, found)
-
-
-def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    gone = materialise(found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")), "contaminated")
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(gone, "_id", "left_anti").select(*docs.columns)
+    key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_h"))  # ids may be null or repeated
+    found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialise(found.filter(decontaminate.is_contaminated()).select("doc_id._id", "doc_id._h").distinct(), "contaminated")
+    return docs.withColumns({"_id": key["_id"], "_h": key["_h"]}).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,14 +49,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+    """doc_id, _h (hash of the text) and fp, the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], ["doc_id", "_h", "fp"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h")).mapInArrow(run, "doc_id long, _h long, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +163,30 @@ def trie_edges(codes: DataFrame, budget: int = 2, leaf: int = 2048, step: int =
     return both.mapInArrow(run, "a long, b long")
 
 
+def _groups(classes: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """classes (distinct fp, least) with root, the same for linked fingerprints."""
+    classes = materialise(classes, "classes")
+    roots = components(trie_edges(classes, budget, leaf))
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of its linked group) of every row."""
-    prints = materialise(fingerprints(docs), "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(trie_edges(classes, budget, leaf))
-    whole = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    prints = materialise(fingerprints(docs).drop("_h"), "prints")
+    whole = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget, leaf)
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialise(whole.join(least, "root").select("fp", "component_id"), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """docs with one row of each group: that with the smallest doc_id, of rows repeated under it one."""
-    found = near_duplicates(docs, budget).select(F.coalesce("component_id", F.lit(NULL_ID)).alias("_keep")).distinct()
-    kept = docs.withColumn("_keep", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(found, "_keep", "left_semi")
-    return kept.dropDuplicates(["_keep"]).drop("_keep")
+def representatives(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame:
+    """docs with one row of each group: that with the smallest doc_id (null ids last), then the smallest hash of its text."""
+    prints = materialise(fingerprints(docs), "prints")
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("least"))
+    found = _groups(least, budget, leaf).groupBy("root").agg(F.min("least").alias("least"))
+    found = found.select(F.coalesce("least.doc_id", F.lit(NULL_ID)).alias("_id"), F.col("least._h").alias("_h"))
+    kept = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("text")}).join(found, ["_id", "_h"], "left_semi")
+    return kept.dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
 
 def brute_force(texts: list[tuple[int, str | None]], budget: int = 2) -> dict[int, tuple[str, int]]:

@@ -239,8 +239,8 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (kept words joined by single spaces) of every row."""
+def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5, keys: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (kept words joined by single spaces) of every row; with `keys`, _id and _h of doc_keys too."""
     if not 2 <= window <= 31:
         raise ValueError("window must be 2 to 31 words")  # a window's place in its anchor's mask is one bit of an int
     keyed = doc_keys(small_batches(docs))
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5) -> DataFr
     known = known.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     whole = keyed.join(known, ["_id", "_h"], "left").select("_id", "_h", "_text", "bases", "masks", "firsts", F.coalesce("copy", F.lit(False)).alias("copy"))
     cut = whole.mapInArrow(_cut(window), "_id long, _h long, n_words long, n_removed long, kept_text string")
-    return cut.select(public_id(F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
+    return cut.select(*(["_id", "_h"] if keys else []), public_id(F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
 def brute_force(docs: list[tuple[int, str | None]], window: int = 20) -> dict[int, tuple[int, int, str]]:

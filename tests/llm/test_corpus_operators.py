@@ -360,3 +360,26 @@ def test_html(spark):
     by = {r.page_id: r.text for r in out}
     assert by[1] == want and by[2] == by[3] == "" and "bottom" in by[4] and "x" in by[6] and "y" in by[6]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    """Null and repeated ids: no row goes or changes because of another row under its id."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    a, b, c, d, e, item = (prose(rng, 40, 3000) for _ in range(6))
+    frame = lambda rows: spark.createDataFrame([(i, t, None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+
+    def run(stage, rows):
+        out = stage(spark, frame(rows), f"file://{tmp_path}").collect()
+        assert all(r.n_chars == len(r.text) for r in out)
+        return sorted(((r.doc_id, r.text) for r in out), key=str)
+
+    same = lambda rows: sorted(rows, key=str)
+    assert run(p.drop_near_duplicates, [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (9, d), (None, d)]) == same([(None, a), (None, b), (7, c), (7, d)])
+    got = run(p.drop_repeated_passages, [(None, a + " x"), (None, b), (1, a + " y"), (2, a + " z"), (2, a + " z"), (2, c), (3, e), (4, a)])
+    assert got == same([(None, a + " x"), (None, b), (1, "y"), (2, "z"), (2, "z"), (2, c), (3, e)])
+    assert run(p.drop_repeated_passages, [(1, a), (2, a + " z"), (3, b)]) == [(1, a), (2, "z"), (3, b)]
+    assert run(p.decontaminate_benchmark, [(None, item), (None, a), (3, item), (3, b), (3, b), (4, c)]) == same([(None, a), (3, b), (3, b), (4, c)])
+    assert run(p.identify_language, [(1, a), (None, b), (2, "12 34 !"), (3, None), (4, "")]) == same([(1, a), (None, b)])
