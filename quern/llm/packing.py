@@ -3,8 +3,8 @@
 Documents become token ids and an end id; only documents longer than a sequence are cut, their first piece taking
 the remainder, so every other piece is full. A sequence's configuration says how many pieces of each length it
 holds. The linear program over configurations is solved by multiplicative weights: each length has a price, a
-knapsack dynamic program finds the dearest configuration, and prices of lengths it serves fall. The fractional
-solution is rounded down and what is left over goes by best fit, longest first.
+knapsack dynamic program finds a dear configuration among the least served lengths, and prices of lengths it serves
+fall. Full configurations are used whole times; what is left over goes by best fit, longest first.
 
 All of that sees the histogram only, at most `capacity` numbers however many rows there are. Pieces find their
 place by their rank within their length, counted per partition and added up, so no length gathers in one task.
@@ -123,35 +123,55 @@ def price_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int, bo
     return counts
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 80, eps: float = 0.3) -> list[tuple[dict[int, int], int]]:
-    """(pieces of each length in a sequence, number of such sequences): holds every piece of the histogram once."""
+def linear_program(need: dict[int, int], capacity: int, least: float = 1 / 32, among: int = 96, eps: float = 0.3) -> Iterator[tuple[dict[int, int], int, dict[int, int]]]:
+    """Configurations, the whole times each is used, and what is then left of each length.
+
+    Prices start at the lengths (over capacity: a feasible dual, whose value is tokens / capacity) and fall by
+    exp(-eps * served share). A knapsack among the least served lengths, or else all, gives each round's configuration.
+    Only full ones are used, which are tight in the dual (gap 0), as often as no length is served over; rounds go on
+    while there is one and more than `least` of the pieces are left.
+    """
+    sizes = np.array(sorted(need), np.int64)
+    whole = np.array([need[s] for s in sizes.tolist()], np.int64)
+    rest, rng = whole.copy(), np.random.default_rng(5)
+    while rest.sum() > least * whole.sum():
+        open_ = np.flatnonzero(rest)
+        served = 1 - rest / whole
+        order = open_[np.lexsort((rng.random(len(open_)), np.floor(served[open_] * 8)))]
+        for own in (order[:among], order) if len(order) > among else (order,):
+            weight = np.exp(-eps * served[own]) * (1 + sizes[own] / capacity)  # long pieces first
+            counts = price_configuration(sizes[own], sizes[own] * (1 + weight / (4 * capacity)), capacity, rest[own])
+            full = counts @ sizes[own] == capacity  # the weights only choose among the fullest
+            if full:
+                break
+        if not full:
+            break
+        used = counts > 0
+        n = int((rest[own][used] // counts[used]).min())
+        rest[own] -= counts * n
+        yield {int(s): int(k) for s, k in zip(sizes[own][used], counts[used], strict=True)}, n, dict(zip(sizes[rest > 0].tolist(), rest[rest > 0].tolist(), strict=True))
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pieces of each length in a sequence, number of such sequences): holds every piece of the histogram once.
+
+    Best fit is tried each time the pieces left over have halved; where the fewest sequences come out it takes over.
+    """
     out: list[tuple[dict[int, int], int]] = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     left = {s: n for s, n in histogram.items() if 0 < s < capacity and n > 0}
-    if left:
-        sizes = np.array(sorted(left))
-        need = np.array([left[s] for s in sizes], float)
-        weight, use = np.ones(len(sizes)), {}
-        for _ in range(rounds):
-            prices = weight / need
-            config = price_configuration(sizes, prices / prices.max(), capacity, need)
-            served = config / need
-            step = 1 / served.max()  # the most times that no length is served over
-            use[tuple(config)] = use.get(tuple(config), 0.0) + step
-            weight *= np.exp(-eps * served * step)
-            weight /= weight.max()
-            weight = np.maximum(weight, 1e-12)
-        # scale so that the best served length is covered exactly, then round down
-        cover = sum(np.array(c) * x for c, x in use.items())
-        scale = 1 / (cover / need).max()
-        rest = need.astype(np.int64).copy()
-        for config, x in sorted(use.items(), key=lambda kv: -kv[1]):
-            c = np.array(config)
-            n = int(min(np.floor(x * scale), (rest[c > 0] // c[c > 0]).min()))
-            if n > 0:
-                rest -= c * n
-                out.append(({int(s): int(k) for s, k in zip(sizes, c, strict=True) if k}, n))
-        out += _greedy({int(s): int(n) for s, n in zip(sizes, rest, strict=True) if n}, capacity)
-    return out
+    placed, end = [], _greedy(dict(left), capacity)
+    best, at, tried, over = sum(n for _, n in end), 0, sum(left.values()), left
+    count = lambda p: sum(n for _, n in p)
+    for config, n, over in linear_program(left, capacity):
+        placed.append((config, n))
+        if 2 * sum(over.values()) <= tried:
+            tried, last = sum(over.values()), _greedy(dict(over), capacity)
+            if count(placed) + count(last) <= best:
+                best, at, end = count(placed) + count(last), len(placed), last
+    last = _greedy(dict(over), capacity)
+    if count(placed) + count(last) <= best:
+        at, end = len(placed), last
+    return out + placed[:at] + end
 
 
 def _greedy(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -194,7 +214,7 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarr
     return {s: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for s, r in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 80) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """All columns of `pieces` (with `length`, 1 to capacity), and sequence_id and offset."""
     spark = pieces.sparkSession
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
@@ -211,7 +231,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 80) -> DataFrame
     ranked = materialise(pieces.mapInArrow(rank, ", ".join([*columns, "_part int", "_rank long"])), "pieces")
     counts = materialise(ranked.groupBy("length", "_part").agg((F.max("_rank") + 1).alias("n")), "counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}
-    table = spark.sparkContext.broadcast(slots(plan(histogram, capacity, rounds)))
+    table = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
     from pyspark.sql import Window
 
     before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))

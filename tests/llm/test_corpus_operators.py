@@ -345,6 +345,26 @@ def test_plan_holds_every_piece_once():
         assert used <= math.ceil(total / 2048) * 1.15 + 2
 
 
+def test_linear_program_places_the_pieces():
+    rng = np.random.default_rng(1)
+    n, k = np.unique(rng.lognormal(4.0, 0.9, 40_000).astype(int) % 512, return_counts=True)
+    need = {int(s): int(c) for s, c in zip(n, k, strict=True) if s}
+    seen, left = defaultdict(int), need
+    for config, times, left in packing.linear_program(dict(need), 512):
+        assert times > 0 and sum(s * c for s, c in config.items()) == 512
+        for s, c in config.items():
+            seen[s] += c * times
+    assert len(seen) >= 0.95 * len(need) and {s: seen[s] + left.get(s, 0) for s in need} == need
+    assert sum(left.values()) <= 0.05 * sum(need.values())
+    assert list(packing.linear_program({}, 512)) == list(packing.linear_program({300: 5}, 512)) == []
+    # the plan takes most pieces from the program: its sequences come first, and best fit has only the rest
+    planned = packing.plan(dict(need), 512)
+    assert sum(n for _, n in planned) <= sum(n for _, n in packing._greedy(dict(need), 512))
+    lp = [(c, n) for c, n, _ in packing.linear_program(dict(need), 512)]
+    same = sum(x == y for x, y in zip(planned, lp, strict=False))
+    assert sum(n * sum(c.values()) for c, n in lp[:same]) >= 0.8 * sum(need.values())
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><nav><ul><li>one<li>two<ol start=3><li>deep</ol></ul></nav>
     <p>First  para<p style="color:red; display:none">gone<p>Second<br>line <b>bold</b>text<div hidden>never</div>
