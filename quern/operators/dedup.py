@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +51,27 @@ def near_pairs(codes: DataFrame, threshold: int) -> DataFrame:
     return pairs.filter(F.col("band") == first).select("a", "b", hamming(F.col("a"), F.col("b")).alias("dist"))
 
 
-def content_hash(df: DataFrame, order: list[str], line: Column) -> DataFrame:
-    """One row: sha256 over newline-joined lines in order. Lines are gathered in one row, as the definition demands; for
-    manifests, not for corpora."""
-    return df.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))), lambda s: s["_line"]), "\n"), 256).alias("dataset_sha256"), F.count(F.lit(1)).alias("n_rows"))
+def content_hash(df: DataFrame, order: list[str], line: Column, rows_per_part: int = 200_000) -> DataFrame:
+    """One row: sha256 over newline-joined lines in order (null lines are left out; null if there is none), and the number of rows.
+
+    Spark sorts; the digest, sequential by definition, is fed on the driver with one range partition of lines at a time.
+    """
+    spark = df.sparkSession
+    lines = df.select(*order, line.alias("_line"))
+    n, given = lines.agg(F.count(F.lit(1)), F.count("_line")).first()
+    keys = [*order, "_line"]
+    ranges = lines.filter("_line is not null").repartitionByRange(max(1, -(-given // rows_per_part)), *keys).sortWithinPartitions(*keys)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(batch.column(0).to_pylist())])], ["lines"])
+
+    digest = hashlib.sha256()
+    if given:
+        for i, r in enumerate(ranges.select("_line").mapInArrow(join, "lines string").toLocalIterator()):
+            digest.update(("\n" if i else "").encode() + r["lines"].encode())
+    return spark.createDataFrame([(digest.hexdigest() if given else None, n)], "dataset_sha256 string, n_rows long")
 
 
 def crossing(df: DataFrame, key: str, split: str) -> DataFrame:

@@ -231,7 +231,7 @@ def leakage_audit_counts(spark, sf):
 @query(f"SELECT sha256(string_agg(split || chr(9) || doc_id || chr(9) || h, chr(10) ORDER BY split, doc_id)) AS dataset_sha256, count(*) AS n_rows FROM (SELECT doc_id, {SPLIT} AS split, sha256(coalesce(text, '')) AS h FROM documents)")
 def ordered_dataset_hash(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.expr(SPLIT).alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return dedup.content_hash(d, ["split", "doc_id"], F.concat_ws("\t", "split", F.col("doc_id").cast("string"), "h"))
+    return dedup.content_hash(d, ["split", "doc_id"], F.concat("split", F.lit("\t"), F.col("doc_id").cast("string"), F.lit("\t"), "h"))
 
 
 @query(f"WITH d AS (SELECT lang, source, {SPLIT} AS split FROM documents) SELECT lang, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, count(DISTINCT source) AS sources FROM d GROUP BY lang")

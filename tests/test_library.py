@@ -42,6 +42,17 @@ def test_banded_pairs_equal_brute_force(spark, threshold):
     assert {(r.a, r.b, r.dist) for r in got} == want and len(got) == len(want)
 
 
+def test_content_hash_in_bounded_parts(spark):
+    import hashlib
+
+    rows = [(i % 7, f"ü{i}") for i in range(500)] + [(3, None), (None, "first")]
+    df = spark.createDataFrame(rows, "k int, line string").repartition(5)
+    lines = [x for _, x in sorted(((-1 if k is None else k, x) for k, x in rows if x is not None))]
+    got = dedup.content_hash(df, ["k"], F.col("line"), rows_per_part=60).first()
+    assert (got.dataset_sha256, got.n_rows) == (hashlib.sha256("\n".join(lines).encode()).hexdigest(), len(rows))
+    assert tuple(dedup.content_hash(df.limit(0), ["k"], F.col("line")).first()) == (None, 0)
+
+
 def test_metrics_facts(spark):
     p = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 2)], "truth int, pred int")
     s = metrics.summary(p).first()
