@@ -2,18 +2,25 @@
 
 A tree builder applies the implied end tags of HTML; visibility rules drop elements that a browser would not show;
 a renderer writes every visible text in order, with blank lines around blocks, list markers, preformatted text kept,
-and table cells padded to the width of their columns.
+and the cells of data tables padded to the width of their columns.
 
-Null and empty pages give an empty text. Very deep and broken nesting is handled without recursion in the tree
-builder and with a depth bound of 200 in the renderer, below which elements render as plain inline text.
-Repeated rows are each rendered; other columns are kept.
+Neither builder nor renderer recurses with the nesting, and what they write is bounded by a small factor of the page:
+
+- indents of nested lists, quotes and definitions end at `INDENT` columns;
+- a table that holds another table is a layout table, whose cells are blocks one below the other;
+- in a data table, cells wider than `ALIGN` columns neither widen their column nor are padded, and a cell that spans
+  columns is padded to at most four times that;
+- a row in which a cell has several lines writes its cells one below the other.
+
+Null and empty pages give an empty text. Malformed declarations are comments, as browsers read them; numbers of more than
+nine digits in attributes are ignored. Repeated rows are each rendered; other columns are kept, but `text` is replaced.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,9 +31,10 @@ from quern.llm.common import small_batches
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg math select datalist audio video canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table ul legend caption".split())
+HIDDEN = frozenset("head script style template noscript noframes noembed title iframe object datalist audio video canvas rp metadata defs desc".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table ul legend caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu".split())
+LISTS = frozenset("ul ol menu".split())
 #: An opening tag ends these open elements, up to the nearest element of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -36,140 +44,173 @@ IMPLIED = {
 }
 _STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile("[ \t\n\r\f]+")
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
+#: Layout bounds in columns.
+INDENT, ALIGN = 40, 40
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "tag")
+    __slots__ = ("attrs", "kids", "nested", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.nested = tag, attrs, [], False
+
+    def number(self, name: str, default: int) -> int:
+        found = _NUMBER.match(self.attrs.get(name) or "")
+        return int(found[1]) if found else default
 
 
 class Builder(HTMLParser):
+    """The tree of a page. `at` holds the places of the open elements by tag, so that no step walks the open elements."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.count: Counter[str] = Counter()  # of open elements by tag
+        self.at: dict[str, list[int]] = {}
+
+    def _last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
 
     def _cut(self, i: int) -> None:
-        self.count.subtract(n.tag for n in self.open[i:])
+        for node in self.open[i:]:
+            self.at[node.tag].pop()
         del self.open[i:]
 
+    def _end(self, tags: set[str], until: set[str]) -> None:
+        """Close open elements of `tags` that lie above the nearest element of `until`."""
+        floor, lowest = max(map(self._last, until)), None
+        for tag in tags:
+            places = self.at.get(tag)
+            if places and places[-1] > floor:
+                first = places[bisect_right(places, floor)]
+                lowest = first if lowest is None else min(lowest, first)
+        if lowest is not None:
+            self._cut(lowest)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
         if tag in BLOCK:
-            self._end({"p"}, {"td", "th", "table", "button"}, 1)
+            self._end({"p"}, {"td", "th", "table", "button"})
         if tag in IMPLIED:
-            self._end(*IMPLIED[tag], 9)
+            self._end(*IMPLIED[tag])
         if self.open[-1].tag == "head" and tag in BLOCK:
             self._cut(len(self.open) - 1)
-        node = Node(tag, dict(attrs))
+        node = Node(tag, dict(reversed(attrs)))
         self.open[-1].kids.append(node)
+        if tag == "table" and self._last("table") > 0:
+            self.open[self._last("table")].nested = True
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.count[tag]:
+        i = self._last(tag)
+        if i < 0:
             if tag == "p":
                 self.open[-1].kids.append(Node("p", {}))
-            return
-        stop = {"table"} if tag not in ("table", "body", "html") else set()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self._cut(i)
-                return
-            if self.open[i].tag in stop:
-                return
+        elif tag in ("table", "body", "html") or self._last("table") < i:
+            self._cut(i)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].kids.append(data)
 
-    def _end(self, tags: set[str], until: set[str], most: int) -> None:
-        """Close open elements of `tags` that lie above the nearest element of `until`."""
-        if not any(self.count[t] for t in tags):
-            return
-        lowest = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in until:
-                break
-            if self.open[i].tag in tags:
-                lowest, most = i, most - 1
-                if not most:
-                    break
-        if lowest is not None:
-            self._cut(lowest)
+    def parse_html_declaration(self, i: int) -> int:
+        """`<!--` opens a comment; any other declaration ends at the next `>`."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
 
 
 def visible(node: Node) -> bool:
-    return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "input" and node.attrs.get("type") == "hidden") or _STYLE.search(node.attrs.get("style") or ""))
+    if node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
+        return False
+    if node.tag == "input" and node.attrs.get("type") == "hidden":
+        return False
+    style = node.attrs.get("style")
+    return not (style and _STYLE.search(style))
 
 
 def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
-class Layout:
-    """Lines of output; `gap` is how many line ends are due before the next text."""
+class Writer:
+    """Lines of output. `gap` is how many line ends are due before the next text, `indent` the columns before each line,
+    `mark` the list marker before the next one; `fresh` while an item or cell has no text yet."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line, self.gap, self.space = "", 0, False
+        self.line, self.gap, self.space, self.started = "", 0, False, False
+        self.indent, self.mark, self.fresh = 0, "", True
+
+    def _start(self) -> None:
+        if self.started:
+            return
+        if self.gap and self.lines:
+            self.lines += [""] * (self.gap - 1)
+        lead = min(self.indent, INDENT)
+        self.line = " " * max(0, lead - len(self.mark)) + self.mark
+        self.gap, self.space, self.mark, self.fresh, self.started = 0, False, "", False, True
+        self.begin = len(self.line)
 
     def text(self, data: str) -> None:
         shown = _SPACE.sub(" ", data)
         if shown.startswith(" "):
             self.space = True
-        shown_body = shown.strip(" ")
-        if shown_body:
-            self._place()
-            self.line += (" " if self.space and self.line and not self.line.endswith(" ") else "") + shown_body
+        body = shown.strip(" ")
+        if body:
+            self._start()
+            if self.space and len(self.line) > self.begin and not self.line.endswith(" "):
+                self.line += " "
+            self.line += body
             self.space = shown.endswith(" ")
 
     def raw(self, data: str) -> None:
         first, *rest = data.split("\n")
-        self._place()
-        self.line += first
+        if first or rest:
+            self._start()
+            self.line += first
         for x in rest:
-            self.lines.append(self.line.rstrip())
-            self.line = x
+            self._flush()
+            self._start()
+            self.line += x
 
-    def _place(self) -> None:
-        if self.gap:
-            if self.lines:
-                self.lines += [""] * (self.gap - 1)
-            self.gap, self.space = 0, False
+    def _flush(self) -> None:
+        self.lines.append(self.line.rstrip())
+        self.line, self.space, self.started = "", False, False
 
     def end(self, gap: int) -> None:
-        if self.line.strip():
-            self.lines.append(self.line.rstrip())
-            self.line = ""
+        if self.started and self.line[self.begin :].strip():
+            self._flush()
             self.gap = gap
-        elif self.lines:
-            self.gap = max(self.gap, gap)
-        self.line, self.space = "", False
+        else:
+            if self.started and not self.line.strip():
+                self.line, self.started = "", False
+            if self.lines and not self.fresh:
+                self.gap = max(self.gap, gap)
+        self.space = False
 
     def br(self) -> None:
-        self._place()
-        self.lines.append(self.line.rstrip())
-        self.line, self.space = "", False
+        self._start()
+        self._flush()
 
     def done(self) -> list[str]:
         self.end(1)
-        lines = self.lines
-        while lines and not lines[-1]:
-            lines.pop()
-        return lines
+        while self.lines and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines
 
 
-def _cells(node: Node) -> tuple[list[Node], list[list[Node]]]:
+def _rows(table: Node) -> tuple[list, list[list]]:
     """A table's stray visible children (captions), and its rows of cells."""
-    stray, rows, todo = [], [], [*reversed(node.kids)]
+    stray, rows, todo = [], [], [*reversed(table.kids)]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -188,121 +229,141 @@ def _cells(node: Node) -> tuple[list[Node], list[list[Node]]]:
     return stray, rows
 
 
-def _span(cell) -> int:
-    got = cell.attrs.get("colspan") if isinstance(cell, Node) else None
-    return max(1, min(50, int(got))) if got and got.isdecimal() else 1
-
-
-def _table(node: Node, depth: int) -> list[str]:
-    stray, rows = _cells(node)
-    out = _block(stray, depth) if stray else []
-    grid = [[(_block([c], depth) or [""], _span(c)) for c in row] for row in rows]
-    widths: list[int] = []
-    for row in grid:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], *map(_width, lines))
+def _data_table(rows: list[list]) -> list[str]:
+    """Aligned lines of a table without tables in it."""
+    grid = []
+    for row in rows:
+        cells = []
+        for cell in row:
+            own = Writer()
+            _render([cell] if isinstance(cell, str) or cell.tag not in ("td", "th") else cell.kids, own)
+            cells.append((own.done(), min(1000, max(1, cell.number("colspan", 1))) if isinstance(cell, Node) else 1))
+        grid.append(cells)
+    widths: dict[int, int] = {}
+    for cells in grid:
+        at, plain = 0, all(len(lines) <= 1 for lines, _ in cells)
+        for lines, span in cells:
+            if span == 1 and plain and lines:
+                wide = _width(lines[0])
+                widths[at] = max(widths.get(at, 0), wide if wide <= ALIGN else 0)
+            at += span
+    out: list[str] = []
+    for cells in grid:
+        if any(len(lines) > 1 for lines, _ in cells):
+            out += [line for lines, _ in cells for line in lines]
+            continue
+        at, line = 0, []
+        for lines, span in cells:
+            text = lines[0] if lines else ""
+            held = [widths[k] for k in range(at, at + span) if widths.get(k)]
+            wide = min(sum(held) + 2 * max(0, len(held) - 1), 4 * ALIGN)
+            line.append(text + " " * max(0, wide - _width(text)) + "  ")
             at += span
-    for row in grid:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, ""
-            for lines, span in row:
-                cell = lines[k] if k < len(lines) else ""
-                wide = sum(widths[at : at + span]) + 2 * (span - 1)
-                line += cell + " " * max(0, wide - _width(cell)) + "  "
-                at += span
-            out.append(line.rstrip())
+        if any(lines for lines, _ in cells):
+            out.append("".join(line).rstrip())
     return out
 
 
-def _block(kids: list, depth: int) -> list[str]:
-    layout = Layout()
-    _render(kids, layout, depth, False)
-    return layout.done()
-
-
-def _render(kids: list, out: Layout, depth: int, pre: bool) -> None:
-    for x in kids:
+def _render(kids: list, out: Writer) -> None:
+    """Write kids in order. `todo` holds what is still to come, last first: nodes, texts, and steps that close a node."""
+    pre, lists = 0, []  # open preformatted elements; numbers of the open lists (None without numbers)
+    todo: list = [*reversed(kids)]
+    while todo:
+        x = todo.pop()
         if isinstance(x, str):
             out.raw(x) if pre else out.text(x)
             continue
+        if isinstance(x, tuple):
+            tag, gap, indent = x
+            out.end(gap)
+            if tag == "li":
+                out.gap, out.mark, out.fresh = (1 if out.lines else 0), "", False
+            elif tag in LISTS:
+                lists.pop()
+                out.gap = gap if out.lines else 0
+            elif tag == "pre":
+                pre -= 1
+            out.indent = indent
+            continue
         if not visible(x):
             continue
         tag = x.tag
-        if depth > 200:
-            for text in _flat(x):
-                out.text(text)
-        elif tag == "br":
+        if tag == "br":
             out.br()
         elif tag == "hr":
             out.end(1)
         elif tag == "img":
             if x.attrs.get("alt"):
                 out.text(x.attrs["alt"])
-        elif tag in ("ul", "ol", "menu", "dl", "blockquote", "table"):
-            nested = depth and tag != "table"
-            gap = 1 if nested and getattr(out, "in_item", False) else 2
+        elif tag == "input":
+            if x.attrs.get("type") in ("submit", "button", "reset") and x.attrs.get("value"):
+                out.text(f" {x.attrs['value']} ")
+        elif tag == "table" and not x.nested:
+            stray, rows = _rows(x)
+            out.end(2)
+            todo += [("table", 2, out.indent), _Lines(rows), *reversed(stray)]
+        elif isinstance(x, _Lines):
+            out.end(1)
+            for line in _data_table(x.kids):
+                out._start()
+                out.line += line
+                out._flush()
+                out.gap = 1
+            out.gap = 1 if out.lines else 0
+        elif tag in LISTS:
+            gap = 1 if lists else 2
             out.end(gap)
-            lines = _table(x, depth + 1) if tag == "table" else _list(x, depth + 1) if tag in ("ul", "ol", "menu") else _indented(x, depth + 1)
-            for line in lines:
-                out._place()
-                out.lines.append(line)
-            out.gap = gap if out.lines else 0
-        elif tag in BLOCK:
-            gap = 2 if tag in SPACED else 1
+            todo.append((tag, gap, out.indent))
+            lists.append(x.number("start", 1) if tag == "ol" else None)
+            todo += [k for k in reversed(x.kids) if not isinstance(k, str) or k.strip()]
+        elif tag == "li":
+            out.end(1)
+            out.gap = min(out.gap, 1)
+            mark = "- "
+            if lists and lists[-1] is not None:
+                own = x.number("value", lists[-1])
+                mark, lists[-1] = f"{own}. ", own + 1
+            todo.append(("li", 1, out.indent))
+            out.indent += len(mark)
+            out.mark = _mark(out.mark, mark)
+            out.fresh = True
+            todo += reversed(x.kids)
+        elif tag in ("blockquote", "dd"):
+            gap = 2 if tag == "blockquote" else 1
             out.end(gap)
-            _render(x.kids, out, depth + 1, pre or tag == "pre")
+            todo.append((tag, gap, out.indent))
+            out.indent += 2
+            todo += reversed(x.kids)
+        elif tag in ("pre", "textarea"):
+            out.end(2 if tag == "pre" else 1)
+            pre += 1
+            todo.append(("pre", 2 if tag == "pre" else 1, out.indent))
+            body = [*reversed(x.kids)]
+            if body and isinstance(body[-1], str):
+                body[-1] = body[-1].removeprefix("\n")  # as in browsers
+            todo += body
+        elif tag in BLOCK or tag in ("tr", "td", "th", "tbody", "thead", "tfoot"):
+            gap = 2 if tag in SPACED else 1
             out.end(gap)
+            todo.append((tag, gap, out.indent))
+            todo += reversed(x.kids)
         else:
-            if tag in ("td", "th") and out.line:
-                out.text(" ")
-            _render(x.kids, out, depth + 1, pre or tag == "textarea")
-
-
-def _list(node: Node, depth: int) -> list[str]:
-    out, n = [], 1
-    start = node.attrs.get("start")
-    if start and start.isdecimal():
-        n = int(start)
-    for x in node.kids:
-        if isinstance(x, str) and not x.strip() or not isinstance(x, str) and not visible(x):
-            continue
-        layout = Layout()
-        layout.in_item = True
-        _render(x.kids if not isinstance(x, str) and x.tag == "li" else [x], layout, depth, False)
-        lines = layout.done()
-        if isinstance(x, str) or x.tag != "li":
-            out += ["  " + line if line else "" for line in lines]
-            continue
-        mark = f"{n}. " if node.tag == "ol" else "- "
-        n += 1
-        out += [(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines or [""])]
-    return [line.rstrip() for line in out]
-
-
-def _indented(node: Node, depth: int) -> list[str]:
-    if node.tag == "blockquote":
-        return ["  " + line if line else "" for line in _block(node.kids, depth)]
-    out = []
-    for x in node.kids:
-        if isinstance(x, str) and not x.strip() or not isinstance(x, str) and not visible(x):
-            continue
-        lead = "  " if not isinstance(x, str) and x.tag == "dd" else ""
-        out += [lead + line if line else "" for line in _block(x.kids if not isinstance(x, str) and x.tag in ("dd", "dt") else [x], depth)]
-    return out
+            todo += reversed(x.kids)
 
 
-def _flat(node: Node) -> list[str]:
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif visible(x):
-            todo += reversed(x.kids)
-    return out
+def _mark(open_mark: str, own: str) -> str:
+    """The marker of an item that starts where another has no text yet: both stand side by side, within the indent's bound."""
+    return open_mark + own if len(open_mark) + len(own) <= INDENT else own
+
+
+class _Lines(Node):
+    """The rows of a data table, once what stands outside its rows is written."""
+
+    __slots__ = ()
+
+    def __init__(self, rows: list) -> None:
+        super().__init__("#rows", {})
+        self.kids = rows
 
 
 def render(html: str | None) -> str:
@@ -311,7 +372,26 @@ def render(html: str | None) -> str:
     builder = Builder()
     builder.feed(html)
     builder.close()
-    return "\n".join(_block(builder.root.kids, 0))
+    out = Writer()
+    _render(builder.root.kids, out)
+    return "\n".join(out.done())
+
+
+def visible_words(html: str | None) -> list[str]:
+    """Reference for tests: the words of all visible text of the tree in order, without any layout."""
+    builder = Builder()
+    builder.feed(html or "")
+    builder.close()
+    out: list[str] = []
+    todo: list = [*reversed(builder.root.kids)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out += x.split()
+        elif visible(x):
+            out += (x.attrs.get("alt") or "").split() if x.tag == "img" else []
+            todo += reversed(x.kids)
+    return out
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

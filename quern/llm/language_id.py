@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialise, small_batches
 
 MARK = "▁"
-_WORD = re.compile(r"[^\W\d_]{1,64}")
+#: Number signs that regular expressions count as word characters; they are no letters.
+_SIGNS = re.escape("".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,64}}")
 _FLOOR = 1e-7
 #: Words whose scores a worker remembers before it starts anew, and characters scored at a time.
 _CACHE, _CHUNK = 150_000, 500_000
@@ -36,13 +38,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def vocabulary(path: str, longest: int = 12) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """The vocabulary's pieces that consist of lower-case letters, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= longest and p.removeprefix(MARK) and p.removeprefix(MARK).isalpha() and p == p.lower()})
+    return sorted({p for p in pieces if p.removeprefix(MARK) and p.removeprefix(MARK).isalpha() and p == p.lower()})
 
 
 class Lattice:
@@ -217,12 +219,12 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
     spark = docs.sparkSession
     pieces = vocabulary(vocab_path)
     rows = small_batches(docs).select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & ~held_out())
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}  # one row a language, as the model has a column for each
     languages = sorted(sizes)
     if not languages:
         return Model([], pieces, np.zeros((len(pieces), 0)))
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, rows_per_language / n))) for k, n in sizes.items()))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    share = spark.createDataFrame([(k, min(1.0, rows_per_language / n)) for k, n in sizes.items()], "lang string, share double")
+    chosen = rows.withColumn("lang", F.col("lang").cast("string")).join(share, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

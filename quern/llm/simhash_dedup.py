@@ -6,8 +6,10 @@ they exceed the budget. The top of the traversal runs as Spark joins over nodes,
 holds at most `leaf` fingerprints; crowded prefixes simply go deeper. Each pair of leaves is then one row, whose
 traversal goes on inside a task. Linked pairs leave a task as spanning edges, never as all pairs of a group.
 
-Null texts and texts without words have fingerprint 0, linked like any other. Rows with a null id take part and have
-a null id in the result; a component of null ids only has a null component_id. Repeated rows are each returned.
+Whole texts are hashed, in stretches of bounded memory however long they are. Null texts and texts without words have
+fingerprint 0, linked like any other. Ids are numbers; rows with a null id take part and have a null id in the result; a
+component of null ids only has a null component_id. Repeated rows are each returned. Other columns are not read, but
+`representatives` returns them as they are.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def trie_edges(codes: DataFrame, budget: int = 2, leaf: int = 2048, step: int =
         depth += step
     deepest = depth
     nodes = materialise(nodes, "trie")
-    child = nodes.select((F.col("d") - step).alias("pd"), F.expr(f"p div {1 << step}").alias("pp"), "d", "p", "leaf")
+    child = nodes.select((F.col("d") - step).alias("pd"), F.shiftrightunsigned("p", step).alias("pp"), "d", "p", "leaf")
     pairs = nodes.filter("d = 0").select(F.col("d").alias("da"), F.col("p").alias("pa"), F.col("leaf").alias("la"), F.col("d").alias("db"), F.col("p").alias("pb"), F.col("leaf").alias("lb"))
     done = None
     for _ in range(0, deepest + step, step):  # traverse node pairs together; inner nodes give way to their children
@@ -135,7 +137,7 @@ def trie_edges(codes: DataFrame, budget: int = 2, leaf: int = 2048, step: int =
             go = stay.unionByName(down).drop(f"d{x}", f"p{x}", f"l{x}").withColumnsRenamed({"_d": f"n_d{x}", "_p": f"n_p{x}", "_l": f"n_l{x}"})
         go = go.withColumnsRenamed({f"n_{c}{x}": f"{c}{x}" for x in "ab" for c in "dpl"})
         common = F.least("da", "db")
-        cut = lambda x: F.expr(f"p{x} div shiftleft(1L, d{x} - least(da, db))")  # noqa: E731, B023
+        cut = lambda x: F.expr(f"shiftrightunsigned(p{x}, d{x} - least(da, db))")  # noqa: E731, B023
         differ = F.bit_count(cut("a").bitwiseXOR(cut("b"))) <= budget
         # of two different nodes one order is enough: order by prefix at the common depth, then by depth
         order = (cut("a") < cut("b")) | ((cut("a") == cut("b")) & ((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("pa") <= F.col("pb")))))
@@ -180,13 +182,17 @@ def near_duplicates(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataF
 
 
 def representatives(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame:
-    """docs with one row of each group: that with the smallest doc_id (null ids last), then the smallest hash of its text."""
+    """docs with one row of each group: that with the smallest doc_id (null ids last), then the smallest hash of its text.
+
+    Rows equal in id and text are one document, of which one row stays; unlike texts under one id, or without id, are
+    documents of their own.
+    """
     prints = materialise(fingerprints(docs), "prints")
     least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("least"))
     found = _groups(least, budget, leaf).groupBy("root").agg(F.min("least").alias("least"))
     found = found.select(F.coalesce("least.doc_id", F.lit(NULL_ID)).alias("_id"), F.col("least._h").alias("_h"))
-    kept = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("text")}).join(found, ["_id", "_h"], "left_semi")
-    return kept.dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_h"))
+    return rows.join(found, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("_row.*")
 
 
 def brute_force(texts: list[tuple[int, str | None]], budget: int = 2) -> dict[int, tuple[str, int]]:

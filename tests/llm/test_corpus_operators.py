@@ -100,6 +100,17 @@ def test_trie_finds_every_close_pair(spark):
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_trie_of_codes_that_differ_in_the_last_bits_only(spark):
+    codes = [0x91234567 << 32 | i for i in range(16)]  # the highest bit is set: signed numbers are negative
+    edges = common.materialise(simhash_dedup.trie_edges(spark.createDataFrame([(c - (1 << 64),) for c in codes], "fp long"), 2, leaf=4))
+    label = {c: c for c in codes}
+    for _ in codes:
+        for r in edges.collect():
+            a, b = r.a + (1 << 64), r.b + (1 << 64)
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label.values())) == 1
+
+
 def test_simhash_edges(spark):
     rows = [(None, "a b c d"), (None, None), (3, None), (1, ""), (1, "a b c d"), (1, "a b c d")]
     out = simhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
@@ -268,6 +279,29 @@ def test_forward_sums_all_segmentations():
         assert u == pytest.approx(2 * sum(p for w, p in ways.items() if n in w) / total)
 
 
+def test_number_signs_are_no_letters():
+    assert [language_id.words_of(t) for t in ("½ ²", "①②", "Ⅷ", "१२ 34 _", "一 a² Ⅷb", "ªº")] == [[], [], [], [], ["一", "a", "b"], ["ªº"]]
+    model = language_id.Model(["xx", "yy"], ["▁", "a"], np.array([[0.5, 0.4], [0.5, 0.6]]))
+    assert model.predict(["½ ²", "①", None, "", "a"])[0] == ["und", "und", "und", "und", "xx"]
+
+
+def test_prediction_matches_brute_force(spark):
+    rng = random.Random(7)
+    pieces = {"▁": 0.2, "a": 0.1, "b": 0.1, "c": 0.05, "ab": 0.2, "▁c": 0.15, "bc": 0.2}
+    names = sorted(pieces)
+    other = {n: p for n, p in zip(names, rng.sample([pieces[n] for n in names], len(names)), strict=True)}
+    model = language_id.Model(["xx", "yy"], names, np.array([[pieces[n], other[n]] for n in names]))
+    rows = [(i, " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 6)))) for i in range(80)]
+    for r in language_id.predict(spark.createDataFrame(rows, DOCS).repartition(3), model).collect():
+        words = dict(rows)[r.doc_id].split()
+        logs = [sum(math.log(language_id.brute_force(p, "▁" + w)) for w in words) for p in (pieces, other)]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert r.lang_pred == ("xx" if logs[0] >= logs[1] else "yy")
+        assert r.score == pytest.approx(1 / (1 + math.exp(min(logs) - max(logs))))
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     vocab = {"en": "the house and with that thing other water", "de": "das haus und nicht schule über straße ein", "es": "la casa y pero señor mañana del agua"}
@@ -382,6 +416,43 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<p>a<![foo[x]]>b", "ab"),
+        ("<table><tr><td colspan=" + "9" * 5000 + ">x<td>y</table><ol start=" + "9" * 5000 + "><li>z", "x  y\n1. z"),
+        ("<ul><li><p>one<p>two<li><ul><li>x</ul>tail</ul>z", "- one\n\n  two\n- - x\n  tail\n\nz"),
+        ("<dl><dt>a<dd>b<dd>c</dl>", "a\n  b\n  c"),
+        ("<select><option>a<option>b</select><svg><text>t</text><desc>no</desc></svg>", "a\nb\nt"),
+        ("<ol start=-1><li>a<li value=7>b<li>c</ol>", "-1. a\n7. b\n8. c"),
+        ("<table><caption>c</caption><tr><td>a<table><tr><td>in</table><td>b</table>", "c\na\n\nin\n\nb"),
+        ("a<table><tr><td colspan=2>ab<td>z<tr><td>1<td>22<td>333</table>b", "a\n\nab     z\n1  22  333\n\nb"),
+        ("<table><tr><td>a<br>b<td>c<tr><td>d<td>e</table>", "a\nb\nc\nd  e"),
+        ("<table><tr><td>" + "w" * 50 + "<td>c<tr><td>d<td>e</table>", "w" * 50 + "  c\nd  e"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ],
+)
+def test_html_rules(page, want):
+    assert html_text.render(page) == want
+
+
+def test_html_malformed_pages_keep_every_visible_word():
+    rng = random.Random(1)
+    parts = ["<", ">", "!", "[", "%", "</", "<!", "<![CDATA[", "]]>", "--", "<!--", "-->", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<ol start=7>", "<p>", "</p>", "<b>", "</i>", "<br>", "word ", "x", "&amp", "&#1;", "&#", '"', "=", "<a href=", "<td colspan=5>", "<script>", "</script>", "<style>", "<pre>", "\n", '<div style="display:none">', "</div>", "<textarea>", "<title>", "<select>", "<option>", "<dl><dd>", "<blockquote>", "<?", "/>", "<svg>", "é"]
+    bare = lambda text: sorted(c for c in text if not c.isspace() and c not in "-." and not c.isdecimal())
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))
+        text = html_text.render(page)
+        assert bare(text) == bare("".join(html_text.visible_words(page))) and len(text) <= 60 * len(page) + 50, page
+
+
+def test_html_size_is_bounded():
+    pages = ["<div>" * 50_000 + "bottom", "<ul><li>x" * 20_000, "<table><tr><td>a<td>" * 10_000, "<b>" * 20_000 + "<p>x" * 20_000, "<x><table>" + "<b>" * 20_000 + "</x>" * 20_000, "<table><tr>" + "<td>y" * 1000 + "<tr><td colspan=1000>x<td>z" * 2000, "<table><tr><td>" + "w " * 100_000 + "<td>q" + "<tr><td>a<td>b" * 10_000, "<table><tr>" + "<td>y" * 10 + "<td>" + "l<br>" * 20_000, "<blockquote>q" * 10_000]
+    for page in pages:
+        text = html_text.render(page)
+        assert len(text) <= 12 * len(page) and text.split()[:1] == html_text.visible_words(page)[:1] or "- " in text[:2]
+
+
 def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
     """Null and repeated ids: no row goes or changes because of another row under its id."""
     import corpus_pipeline as p
