@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components, discard, materialise, shared_dir, star_edges
 
-__all__ = ["NULL_ID", "components", "discard", "doc_keys", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
+__all__ = ["NULL_ID", "components", "discard", "doc_keys", "fresh", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
 
 #: Stands for a null id inside joins; sorts before all other ids.
 NULL_ID = -(1 << 63)
@@ -32,6 +32,17 @@ def doc_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return slim.select("_id", h.alias("_h"), "_text")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns of df in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def public_id(col) -> F.Column:
     """The id as given: null again where it was null."""
     return F.nullif(col, F.lit(NULL_ID))

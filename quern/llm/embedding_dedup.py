@@ -2,15 +2,21 @@
 
 Vectors are cut into two halves; each half has its own codebook, so their product is a grid of cells. A vector lives in
 its nearest cell and visits cells by multi-sequence traversal: in the order of a bound on how far a point must move to
-fall into the cell, until the bound exceeds a radius. The radius is calibrated to `target_recall` on pairs that a
-sample of query vectors has against all rows, where every group of linked vectors weighs the same. Candidates are verified by cosine in double precision.
+fall into the cell, until the bound exceeds a radius. Candidates are verified by cosine in double precision.
+
+The radius is calibrated to `target_recall` on pairs that a sample of query vectors has against all rows, where every
+group of linked vectors weighs the same. With a target of 1 it is the exact one, the squared distance 2 - 2 * threshold
+of a pair at the threshold, and no link is lost; on vectors without structure that visits nearly all cells.
 
 Exact copies are counted first and travel as one vector. Cells are cut into blocks of at most `block` members times
 `block` visitors; a block counts links and returns spanning edges, never pairs.
 
-Sampling bounds (parameters): `sample` vectors train the codebooks, `queries` vectors calibrate the radius.
+Sampling bounds (parameters): `sample` vectors train the codebooks, which have at most an eighth as many centroids each,
+and `queries` vectors calibrate the radius. Raise them with the data: cells hold about 32 vectors up to
+32 * (sample / 8) ** 2 vectors.
+
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link with
-nothing. Vectors of different lengths never link. Repeated rows count as further vectors.
+nothing. Vectors of different lengths never link. Repeated rows count as further vectors. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -107,6 +113,11 @@ def _sampled(df: DataFrame, n: int, bound: int, salt: str) -> np.ndarray:
     return unit(np.stack(rows.to_list())) if len(rows) else np.zeros((0, 0))
 
 
+def exact_radius2(threshold: float) -> float:
+    """No linked pair has a larger bound: within a half it is at most the squared distance of the two vectors there."""
+    return 2 - 2 * threshold + 1e-9
+
+
 def calibrate(distinct: DataFrame, books: Codebooks, q: np.ndarray, threshold: float, target: float) -> float:
     """Squared radius at which `target` of the linked pairs of the queries q against all rows are visited.
 
@@ -142,7 +153,7 @@ def calibrate(distinct: DataFrame, books: Codebooks, q: np.ndarray, threshold: f
     d = np.maximum(n.sum((1, 2)), 1)
     weight = (n / d[:, None, None] ** 2).sum(0)
     ends = [edges[np.searchsorted(np.cumsum(w), target * w.sum())] for w in weight if w.sum() > 0]
-    radius2 = min(max(ends, default=0.0), 1.0) * 1.1 + 1e-9
+    radius2 = min(max(ends, default=0.0), limit) * 1.1 + 1e-9
     if weight.sum() < 30 and len(q):  # too few groups: also neighbours at the threshold itself, in random directions
         rng = np.random.default_rng(11)
         x = q[: min(len(q), 512)]
@@ -153,7 +164,7 @@ def calibrate(distinct: DataFrame, books: Codebooks, q: np.ndarray, threshold: f
         n1, n2, _, _ = books.own(y)
         r = np.arange(len(x))
         radius2 = max(radius2, float(np.quantile(h1[r, n1] + h2[r, n2], target)) * 1.1 + 1e-9)
-    return float(min(radius2, limit + 1e-9))
+    return float(min(radius2, exact_radius2(threshold)))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.99, sample: int = 20_000, queries: int = 1_024, block: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -167,11 +178,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     partial = None
     for dim, n in sizes:
         own = distinct.filter(F.size("v") == dim)
-        k = int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(n / 32)))), 1, 1024))
+        k = int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(n / 32)))), 1, max(1, sample // 8)))
         x = _sampled(own, n, sample, "books")
         half = dim // 2
         books = Codebooks(kmeans(x[:, :half], k), kmeans(x[:, half:], k))
-        books.radius2 = calibrate(own, books, _sampled(own, n, queries, "queries"), threshold, target_recall)
+        books.radius2 = exact_radius2(threshold) if target_recall >= 1 else calibrate(own, books, _sampled(own, n, queries, "queries"), threshold, target_recall)
         got = _link(own, books, threshold, block, int(dim))
         partial = got if partial is None else partial.unionByName(got)
     if partial is None:

@@ -9,7 +9,9 @@ fall. Full configurations are used whole times; what is left over goes by best f
 All of that sees the histogram only, at most `capacity` numbers however many rows there are. Pieces find their
 place by their rank within their length, counted per partition and added up, so no length gathers in one task.
 
-Null texts are empty (one piece: the end id); repeated rows are packed each; an empty table packs to nothing.
+Null texts are empty (one piece: the end id); very long texts are encoded whole and cut into pieces; equal pieces are
+interchangeable and placed in the order of their partitions; repeated rows are packed each; an empty table packs to
+nothing. `pack` keeps other columns, but replaces columns named sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -217,24 +219,24 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarr
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """All columns of `pieces` (with `length`, 1 to capacity), and sequence_id and offset."""
     spark = pieces.sparkSession
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    names = pieces.columns
+    pieces = pieces.select(F.struct(*[f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")]).alias("row"), F.col("length").cast("long").alias("length"))
+    kind = pieces.schema["row"].dataType.simpleString()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            n = pd.Series(batch.column(names.index("length")).to_numpy(zero_copy_only=False))
+            n = pd.Series(batch.column(1).to_numpy(zero_copy_only=False))
             own = n.groupby(n).cumcount().to_numpy() + seen[n.to_numpy()]
             seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(own, pa.int64())], [*names, "_part", "_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(own, pa.int64())], ["row", "length", "part", "rank"])
 
-    ranked = materialise(pieces.mapInArrow(rank, ", ".join([*columns, "_part int", "_rank long"])), "pieces")
-    counts = materialise(ranked.groupBy("length", "_part").agg((F.max("_rank") + 1).alias("n")), "counts")
+    ranked = materialise(pieces.mapInArrow(rank, f"row {kind}, length long, part int, rank long"), "pieces")
+    counts = materialise(ranked.groupBy("length", "part").agg((F.max("rank") + 1).alias("n")), "counts")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     table = spark.sparkContext.broadcast(slots(plan(histogram, capacity)))
     from pyspark.sql import Window
 
-    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, r: pd.Series) -> pd.DataFrame:
@@ -247,5 +249,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             seq[own], off[own] = base[k] + rank_[own] - first[k], offset[k]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    out = ranked.join(before, ["length", "_part"]).withColumn("_p", place("length", F.col("_rank") + F.col("_before")))
-    return out.select(*names, "_p.sequence_id", "_p.offset")
+    # The table of counts grows with the partitions, so it is merged, never broadcast; no key has more rows than a partition.
+    out = ranked.join(before.hint("merge"), ["length", "part"]).select("row", place("length", F.col("rank") + F.col("before")).alias("place"))
+    return out.select("row.*", "place.sequence_id", "place.offset")

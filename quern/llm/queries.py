@@ -61,7 +61,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"))
     back = warc.read_archive(spark, archive)
     kind = back.schema["page_id"].dataType
-    return back.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 #: Bytes of text in a shard of the registered query.

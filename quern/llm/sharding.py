@@ -5,7 +5,9 @@ splits on its next bit until it fits. Byte sums are pre-aggregated by prefix, so
 grows, and each later round reads only the rows still in oversized buckets. A bucket whose rows share all 60 bits
 (repeats of one id, or one row over the limit) cannot be split; it stays and is flagged.
 
-Null texts weigh 0 bytes; null ids hash as the empty string; an empty table has no shards. Built-in functions only.
+Null texts weigh 0 bytes; very long texts weigh all their bytes; null ids hash as the empty string; repeated rows are rows
+of their own in one bucket; an empty table has no shards. Other columns are kept, but columns named as those that are
+added are replaced. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise
+from quern.llm.common import fresh, materialise
 
 BITS = 60
 
@@ -50,22 +52,32 @@ def directory(sized: DataFrame, limit: int, step: int = 12) -> DataFrame:
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, and shard (prefix bits as text), shard_depth, shard_bytes, shard_rows, oversized.
 
-    The depth of a row's bucket comes from a join on each depth in use; the directory holds about
-    2 * bytes / limit buckets, and a row meets one candidate for each depth in use.
+    Buckets partition the key space. Rows meet them on the prefix of a middle depth, at which half of the buckets are at
+    most that deep: shallower buckets are listed under each of their prefixes (never more than there are prefixes), deeper
+    ones under their own, and the key's range decides. So one oversized row, whose bucket lies 60 bits deep, lengthens
+    the list of its own prefix only.
     """
     sized = docs.select(key_bits(F.col(id_col)).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     buckets = directory(sized, limit)
-    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # at most 61 numbers
-    rows = docs.withColumn("_key", key_bits(F.col(id_col)))
-    if not depths:
-        depths = [0]
-    # Buckets partition the key space: the bucket of a key is the last one that starts at or before it.
-    # Depth is found by one lookup per depth in use, on the distinct prefixes of the deepest depth only.
-    deepest = depths[-1]
-    fine = rows.select(F.shiftrightunsigned("_key", BITS - deepest).alias("_p")).distinct()
-    options = fine.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("prefix", F.expr(f"_p div shiftleft(1L, {deepest} - depth)"))
-    placed = options.join(buckets, ["depth", "prefix"]).select(
-        "_p", F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).alias("shard"),
-        F.col("depth").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "oversized",
+    per_depth = sorted((r["depth"], r["count"]) for r in buckets.groupBy("depth").count().collect())  # at most 61 rows
+    seen, middle, total = 0, 0, sum(n for _, n in per_depth)
+    for middle, n in per_depth:
+        seen += n
+        if 2 * seen >= total:
+            break
+    first = F.expr(f"shiftleft(shiftrightunsigned(prefix, depth - least(depth, {middle})), {middle} - least(depth, {middle}))")
+    listed = buckets.select(
+        F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {middle} - least(depth, {middle})) - 1"))).alias("near"),
+        F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("from"), F.expr(f"shiftleft(prefix + 1, {BITS} - depth)").alias("to"),
+        F.struct(
+            F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).alias("shard"),
+            F.col("depth").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"), "oversized",
+        ).alias("found"),
     )
-    return rows.withColumn("_p", F.shiftrightunsigned("_key", BITS - deepest)).join(placed, "_p").drop("_p", "_key")
+    added = ("shard", "shard_depth", "shard_bytes", "shard_rows", "oversized")
+    kept = [c for c in docs.columns if c.lower() not in added]
+    key, near, low, high, found = fresh(docs, "key", "near", "from", "to", "found")
+    rows = docs.select(*[f"`{c}`" for c in kept], key_bits(F.col(id_col)).alias(key))
+    rows = rows.withColumn(near, F.shiftrightunsigned(key, BITS - middle))
+    listed = listed.toDF(near, low, high, found)
+    return rows.join(listed, near).filter((F.col(key) >= F.col(low)) & (F.col(key) < F.col(high))).select(*[f"`{c}`" for c in kept], f"{found}.*")

@@ -154,6 +154,13 @@ def test_embedding_links(spark):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
+def test_embedding_exact_radius_loses_no_link(spark):
+    rows = vectors(300, 12, 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, target_recall=1.0, block=64).collect()}
+    assert got == embedding_dedup.brute_force(rows)
+
+
 def test_embedding_hot_group_does_not_hide_small_pairs(spark):
     rng = np.random.default_rng(4)
     n, hot, pairs, dim = 4800, 600, 300, 64
@@ -209,25 +216,31 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", long), (2, "http://b/\r\nX", long), (3, None, None), (4, "http://d", ""), (5, "http://e", "short"), (6, "http://f", "short"), (7, "u", "y" * 200_000), (None, "n", long), (2, "http://b/", long), (8, "r", "a\r\n\r\nb" * 30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("payload", F.lit(3))
     archive = warc.write_archive(df, f"file://{tmp_path}/w")
-    out = warc.read_archive(spark, archive).collect()
+    out = warc.read_archive(spark, archive, with_payload=True).collect()
     assert len(out) == len(rows)
     want = {r[0]: (r[2] or "").encode() for r in rows}
+    kinds = {}
     for r in out:
-        assert bytes(r.payload) == want[r.page_id] and r.digest == hashlib.sha256(want[r.page_id]).hexdigest()
+        assert bytes(r.payload) == want[r.page_id] and r.digest == hashlib.sha256(want[r.page_id]).hexdigest() and r.payload_bytes == len(r.payload)
+        assert (r.record_type, r.refers_to) == (("revisit", "1") if r.page_id in (2, None) else ("response", None))
+        kinds[r.page_id] = r.record_type
+    for r in warc.read_records(spark, archive).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         n = int(head.rsplit(b"Content-Length: ", 1)[1])
-        assert rest[n:] == b"\r\n\r\n" and rest[:n] == (want[r.page_id] if r.record_type == "response" else b"")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode())
-        revisit = r.page_id in (2, None)
-        assert (r.record_type, r.refers_to) == (("revisit", "1") if revisit else ("response", None))
+        assert rest[n:] == b"\r\n\r\n" and rest[:n] == (want[r.page_id] if kinds[r.page_id] == "response" else b"")
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + kinds[r.page_id].encode())
     assert spark.read.parquet(archive.payloads).count() == 5
     assert warc.read_archive(spark, warc.write_archive(df.limit(0), f"file://{tmp_path}/e")).count() == 0
+    damaged = warc.read_records(spark, archive).withColumn("record", F.expr("overlay(record PLACING X'00' FROM octet_length(record) - 4)"))
+    assert not any(r.body_ok for r in warc.parse_records(damaged.filter("page_id in (1, 5, 7)")).collect())
+    dated = warc.write_archive(df.select("*", F.lit("2023-05-06T07:08:09Z").alias("at")), f"file://{tmp_path}/d", date=F.col("at"))
+    assert all(b"\r\nWARC-Date: 2023-05-06T07:08:09Z\r\n" in bytes(r.record) for r in warc.read_records(spark, dated).collect())
 
 
 def test_sharding(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randrange(0, 900)) for i in range(800)] + [(5000, "y" * 4000), (6000, "z" * 1500), (6000, "z" * 1500), (None, None), (None, "q"), (7000, None)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)).withColumn("depth", F.lit(2)).withColumn("prefix", F.lit(2))
+    df = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(7).alias(c) for c in ("key", "depth", "prefix", "near", "from", "found", "Shard", "oversized")])
     out = sharding.shard(df, 2500).collect()
     assert len(out) == len(rows)
     by = defaultdict(list)
