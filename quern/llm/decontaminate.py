@@ -5,7 +5,8 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 window in a document is verified word by word, and its words are hit.
 
 Null texts have no words; null item ids are named "null"; repeated items count once; an empty benchmark
-hits nothing; repeated documents are each scanned; other columns are not read.
+hits nothing; very long texts are scanned whole, and very long items indexed whole, in segments; repeated documents are
+each scanned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,58 +40,70 @@ def _roll(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The windows of the benchmark, by length; small enough to be sent to every task."""
+    """The windows of some benchmark text, by length, as sorted hashes that point into one array of word numbers."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], window: int) -> None:
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self, rows: list[tuple[str, str]], window: int) -> None:
+        self.words: dict[bytes, int] = {}
         self.names = sorted({name for name, _ in rows})
         place = {name: i for i, name in enumerate(self.names)}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for name, text in rows:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(place[name])
-        self.by_length = []
-        for n, grams in found.items():
-            table = np.array(list(grams), np.int64).reshape(-1, n)
-            h = _roll(table.ravel(), np.arange(len(table)) * n, n)
-            order = np.argsort(h, kind="stable")
-            owners = [np.fromiter(sorted(x), np.int64) for x in grams.values()]
-            self.by_length.append((n, h[order], table[order], [owners[i] for i in order]))
-
-    def scan(self, ids: np.ndarray, seps: int = 0) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Mask of hit words, and (position, item) of the verified windows; id 0 is in no window."""
+        parts = [np.array([self.words.setdefault(w, len(self.words) + 1) for w in text.encode("utf-8", "surrogatepass").split()], np.int32) for _, text in rows]
+        owner = np.array([place[name] for name, _ in rows], np.int32)
+        size = np.array([len(p) for p in parts], np.int64)
+        first = np.cumsum(size) - size
+        self.tokens = np.concatenate([*parts, np.zeros(0, np.int32)])
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(size, window)).tolist():
+            own = np.flatnonzero(np.minimum(size, window) == n)
+            many = size[own] - n + 1
+            starts = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            who = np.repeat(owner[own], many)
+            h = _roll(self.tokens, starts, n)
+            order = np.lexsort((who, _roll(self.tokens[::-1], len(self.tokens) - n - starts, n), h))
+            h, starts, who = h[order], starts[order], who[order]
+            new = np.ones(len(h), bool)  # equal windows stand together
+            new[1:] = (self.tokens[starts[1:, None] + np.arange(n)] != self.tokens[starts[:-1, None] + np.arange(n)]).any(1)
+            use = new.copy()
+            use[1:] |= who[1:] != who[:-1]  # an item owns a window once
+            group = np.cumsum(new)[use] - 1
+            self.by_length.append((n, h[new], starts[new], np.searchsorted(group, np.arange(new.sum() + 1)), who[use]))
+
+    def __getstate__(self) -> tuple:
+        return b" ".join(self.words), self.names, self.tokens, self.by_length
+
+    def __setstate__(self, state: tuple) -> None:
+        words, self.names, self.tokens, self.by_length = state
+        self.words = {w: i + 1 for i, w in enumerate(words.split())}
+
+    def scan(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mask of hit words, and positions and items of the verified windows; id 0 is in no window."""
         hit = np.zeros(len(ids) + 1, np.int64)
-        at, who = [], []
+        at, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, hashes, table, owners in self.by_length:
+        for n, hashes, places, owned, owners in self.by_length:
             if len(ids) < n:
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] == n)
             h = _roll(ids, starts, n)
             k = np.searchsorted(hashes, h)
-            k[k == len(hashes)] = 0
-            same = hashes[k] == h
-            starts, k, h = starts[same], k[same], h[same]
             while len(starts):  # windows that share a hash stand side by side
-                true = (ids[starts[:, None] + np.arange(n)] == table[k]).all(1)
-                np.add.at(hit, starts[true], 1)
-                np.add.at(hit, starts[true] + n, -1)
-                for p, j in zip(starts[true], k[true], strict=True):
-                    at.append(np.full(len(owners[j]), p))
-                    who.append(owners[j])
+                same = k < len(hashes)
+                same[same] = hashes[k[same]] == h[same]
+                starts, k, h = starts[same], k[same], h[same]
+                true = (ids[starts[:, None] + np.arange(n)] == self.tokens[places[k][:, None] + np.arange(n)]).all(1)
+                found, own = starts[true], k[true]
+                np.add.at(hit, found, 1)
+                np.add.at(hit, found + n, -1)
+                many = owned[own + 1] - owned[own]
+                at.append(np.repeat(found, many))
+                who.append(owners[np.repeat(owned[own] - np.cumsum(many) + many, many) + np.arange(many.sum())])
                 k = k + 1
-                more = ~true & (k < len(hashes))
-                more[more] &= hashes[k[more]] == h[more]
-                starts, k, h = starts[more], k[more], h[more]
-        return np.cumsum(hit[:-1]) > 0, list(zip(at, who, strict=True))
+        return np.cumsum(hit[:-1]) > 0, np.concatenate(at), np.concatenate(who)
 
 
 def _scan(index, keep_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
-        get = ix.vocab.get
+        get = ix.words.get
         for batch in batches:
             texts = batch.column(1)
             out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "items", "spans", "clean")}
@@ -106,10 +119,10 @@ def _scan(index, keep_spans: bool):
                 ids = np.zeros(first[-1], np.int64)
                 flat = np.fromiter(map(get, chain.from_iterable(docs), repeat(0)), np.int64, int(lens.sum()))
                 ids[np.arange(len(flat)) + np.repeat(np.arange(len(docs)), lens)] = flat
-                mask, found = ix.scan(ids)
+                mask, at, who = ix.scan(ids)
                 items: list[set[int]] = [set() for _ in docs]
-                for at, who in found:
-                    items[int(np.searchsorted(first, at[0], "right")) - 1].update(who.tolist())
+                for i, j in zip((np.searchsorted(first, at, "right") - 1).tolist(), who.tolist(), strict=True):
+                    items[i].add(j)
                 count = np.add.reduceat(np.append(mask, False).astype(np.int64), first[:-1]) if len(docs) else []
                 for i in range(len(docs)):
                     out["n_words"].append(int(lens[i]))
@@ -130,22 +143,42 @@ def _scan(index, keep_spans: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 32 << 20, keep_spans: bool = False) -> DataFrame:
+def segments(benchmark: DataFrame, window: int, most: int = 10_000) -> DataFrame:
+    """(name, text, bytes): normalised words of the items, those of more than `most` words in stretches that overlap by a
+    window less one word, so that the windows are the same; bytes is what a worker needs at most to hold the stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts, sizes = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                for lo in range(0, max(len(words) - window + 1, min(1, len(words))), most):
+                    own = words[lo : lo + most + window - 1]
+                    names.append(name)
+                    texts.append(b" ".join(own).decode("utf-8", "surrogatepass"))
+                    sizes.append(200 * len(own) + len(texts[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["name", "text", "bytes"])
+
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text"))
+    return materialise(small_batches(named).mapInArrow(run, "name string, text string, bytes long").distinct(), "windows")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = 64 << 20, keep_spans: bool = False, segment: int = 10_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted names), spans of hit words (if asked for).
 
-    The benchmark is broadcast if its texts are within `part_bytes`. A larger one is cut by a hash of its
-    items into parts within the bound; every part is broadcast in a pass of its own and the passes'
-    spans and items are united per document, so the result is the same.
+    The index of the benchmark's windows is broadcast if a worker holds it within `part_bytes` (about two bytes of text in
+    64). A larger benchmark is cut by a hash of its items' segments into parts of about that size; every part is broadcast
+    in a pass of its own and the passes' spans and items are united per document, so the result is the same.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text"))
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bench = segments(benchmark, window, segment)
+    total = bench.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
 
     def one(of: DataFrame, slim: DataFrame, spans: bool) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in of.collect()], window))
+        index = spark.sparkContext.broadcast(Index([(r["name"], r["text"]) for r in of.select("name", "text").collect()], window))  # bounded by part_bytes
         return slim.mapInArrow(_scan(index, spans), schema)
 
     slim = small_batches(docs).select("doc_id", "text")

@@ -265,8 +265,8 @@ def test_decontamination_matches_brute_force(spark):
     b = spark.createDataFrame(bench, "item_id long, text string").withColumn("doc_id", F.lit(1))
     d = spark.createDataFrame(docs, DOCS).withColumn("items", F.lit("clash")).withColumn("name", F.lit("clash")).repartition(3)
     want = decontaminate.brute_force(docs, bench)
-    for part in (32 << 20, 700):  # one broadcast, or many passes
-        out = decontaminate.contamination(d, b, part_bytes=part, keep_spans=True).collect()
+    for part, segment in ((32 << 20, 10_000), (50_000, 15)):  # one broadcast, or many passes and short segments
+        out = decontaminate.contamination(d, b, part_bytes=part, keep_spans=True, segment=segment).collect()
         assert len(out) == len(docs)
         assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in out} == want
         assert all(sum(s.end - s.start for s in r.spans) == r.n_hit for r in out)
