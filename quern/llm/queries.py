@@ -68,8 +68,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 16 << 20
 
 
-def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
+def op5_sharding(spark: SparkSession, sf_dir: str, limit: int = SHARD_BYTES) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), limit).drop("text")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +113,15 @@ QUERIES = {
 
 _WORDS6 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def sharding_sql(limit: int) -> str:
+    return f"""
+WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key, coalesce(strlen(text), 0)::BIGINT AS b FROM documents),
+s AS (SELECT d, key >> (60 - d) AS p, sum(b)::BIGINT AS b, count(*) AS n FROM k, range(61) t(d) GROUP BY ALL),
+a AS (SELECT k.doc_id, s.d, s.p, s.b, s.n, min(s.d) OVER (PARTITION BY k.key) AS least FROM k JOIN s ON k.key >> (60 - s.d) = s.p WHERE s.b <= {limit} OR s.d = 60)
+SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE right(format('{{:060b}}', p), d::INT) END AS shard, d::INT AS shard_depth, b AS shard_bytes, n AS shard_rows, b > {limit} AS oversized FROM a WHERE d = least"""
+
+
 ORACLES = {
     "op1_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -143,11 +152,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
 SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN octet_length(b) < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
 CASE WHEN octet_length(b) < 100 OR page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
-    "op5_sharding": f"""
-WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key, coalesce(strlen(text), 0)::BIGINT AS b FROM documents),
-s AS (SELECT d, key >> (60 - d) AS p, sum(b)::BIGINT AS b, count(*) AS n FROM k, range(61) t(d) WHERE d <= 30 GROUP BY ALL),
-a AS (SELECT k.doc_id, s.d, s.p, s.b, s.n, row_number() OVER (PARTITION BY k.doc_id ORDER BY s.d) AS r FROM k JOIN s ON k.key >> (60 - s.d) = s.p WHERE s.b <= {SHARD_BYTES})
-SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE right(format('{{:060b}}', p), d::INT) END AS shard, d::INT AS shard_depth, b AS shard_bytes, n AS shard_rows, false AS oversized FROM a WHERE r = 1""",
+    "op5_sharding": sharding_sql(SHARD_BYTES),
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS6}, []) AS w FROM documents),
 b AS (SELECT item_id, coalesce({_WORDS6}, []) AS w FROM benchmark),

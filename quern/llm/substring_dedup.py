@@ -11,9 +11,9 @@ that fixes it; a symbol whose stretch lies inside a window is interior to that w
 3. Windows of shared symbols are verified on 96-bit keys of their words; the first of each key is found.
 4. Candidates that are not the first of their key are repeats; every word that one covers is removed.
 
-Windows are judged on the input. Null texts have no words; documents shorter than a window keep all. Rows equal in id
-and text are one document and get equal results; different texts under one id are ordered by a hash of the text.
-A null id sorts first. Other columns are not read.
+Windows are judged on the input. Null texts have no words; documents shorter than a window keep all; very long texts are
+read whole. Ids are numbers. Rows equal in id and text are one document and get equal results; different texts under one
+id are ordered by a hash of the text. A null id sorts first. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import discard, doc_keys, materialise, public_id, small_batches
 
 #: Words that a task handles at a time, and different words it remembers.
-_CHUNK, _CACHE = 200_000, 250_000
+_CHUNK, _CACHE = 100_000, 150_000
 _FAR = 1 << 40
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
