@@ -1,7 +1,12 @@
 """Five stages over `documents`: language ID, SimHash near-dedup, substring dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and is the next stage's docs. All but the
-last return the columns of documents. Part of the corpus operators: it lives and goes with that subpackage.
+last return the columns of documents, whatever else they are called. Part of the corpus operators: it lives and goes with
+that subpackage.
+
+Ids are numbers and may be null or repeated: rows are told apart by id and text, and rows equal in both are one document,
+which the near-duplicate stage keeps once and the others treat alike. Null, empty and letterless texts go in the first
+stage. Whole texts are read however long they are. An empty table passes every stage empty.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup
-from quern.llm.common import NULL_ID, materialise
+from quern.llm.common import NULL_ID, fresh, materialise
 from quern.llm.queries import table, tokenizer_path
 
 
@@ -20,7 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not model.languages:
         worded = F.udf(lambda text: len(language_id.words_of(text)) > 0, "boolean")
         return docs.filter(worded("text"))
-    return language_id.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+    own = {c: fresh(docs, c)[0] for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    kept = language_id.predict(docs.withColumnsRenamed(own), model).filter("lang_pred <> 'und'")
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,23 +38,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word windows go; untouched texts stay as they are, and emptied documents go."""
     cut = substring_dedup.remove_repeats(docs, keys=True).filter("n_removed > 0").select("_id", "_h", "kept_text")
-    cut = materialise(cut, "cut")
-    unique = cut.filter("_h <> 0").isEmpty()  # _h is 0 if ids are unique; else it tells texts apart, and equal rows are cut alike
-    h = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    cut = cut if unique else cut.dropDuplicates(["_id", "_h"])
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_h": h}).join(cut, ["_id", "_h"], "left").filter("kept_text is null or kept_text <> ''")
-    return rows.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))).withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
+    i, h, kept = fresh(docs, "id", "h", "kept")
+    cut = materialise(cut, "cut").toDF(i, h, kept)
+    unique = cut.filter(F.col(h) != 0).isEmpty()  # the hash is 0 if ids are unique; else it tells texts apart, and equal rows are cut alike
+    cut = cut if unique else cut.dropDuplicates([i, h])
+    rows = docs.withColumns({i: F.coalesce("doc_id", F.lit(NULL_ID)), h: F.lit(0).cast("long") if unique else F.xxhash64("text")})
+    rows = rows.join(cut, [i, h], "left").filter(F.col(kept).isNull() | (F.col(kept) != ""))
+    rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long")))
+    return rows.withColumn("text", F.coalesce(kept, "text")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.xxhash64("text").alias("_h"))  # ids may be null or repeated
+    key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("h"))  # ids may be null or repeated
     found = decontaminate.contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = materialise(found.filter(decontaminate.is_contaminated()).select("doc_id._id", "doc_id._h").distinct(), "contaminated")
-    return docs.withColumns({"_id": key["_id"], "_h": key["_h"]}).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
+    gone = materialise(found.filter(decontaminate.is_contaminated()).select("doc_id.id", "doc_id.h").distinct(), "contaminated")
+    i, h = fresh(docs, "id", "h")
+    return docs.withColumns({i: key["id"], h: key["h"]}).join(gone.toDF(i, h), [i, h], "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of at most 2048 tokens."""
     pieces = packing.pieces_of(docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=False).drop("ids")
     return packing.pack(pieces)
 
@@ -60,7 +71,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language models, fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
+#: Language models, fingerprints and token ids are beyond SQL; tests hold run() against chained brute force.
 ORACLE_SQL = None
 
 

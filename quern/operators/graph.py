@@ -15,9 +15,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where none is configured (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a new local folder
+    serves a local master (tests); on a cluster each executor would write to a disk of its own, so that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="quern-"))
         found = _own[0]
