@@ -19,7 +19,12 @@ def slashes(c: Column) -> Column:
 
 
 def label_code(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(F.lit("U"), F.lpad(F.hex(F.ascii(x)), 4, "0"))), "_")
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(F.lit("U"), padded(F.hex(F.ascii(x)), 4))), "_")
+
+
+def padded(c: Column, width: int) -> Column:
+    """Zeros in front up to the width; longer texts stay whole."""
+    return F.lpad(c, F.greatest(F.length(c), F.lit(width)), F.lit("0"))
 
 
 def safe_stem(c: Column) -> Column:
@@ -40,27 +45,35 @@ def parse_reference(c: Column, names: list[str]) -> Column:
     """struct(inscription, page) of a reference such as "NAME, I, L. 4": first of `names` that equals or starts it."""
     whole = normalized_id(c)
     inscription = F.coalesce(*[F.when((whole == n) | whole.startswith(n + "_"), F.lit(n)) for n in names], F.lit(""))
-    tail = F.regexp_replace(F.coalesce(F.get(F.split(c, ","), F.lit(1)), F.lit("")), r"\s*L\.\s*\d+.*$", "")
+    tail = F.regexp_replace(F.coalesce(F.get(F.split(c, ","), F.lit(1)), F.lit("")), r"(?i)\bL\s*\.?\s*\d+.*$", "")
     page = normalized_id(tail)
     return F.struct(inscription.alias("inscription"), F.when((inscription != "") & (page != ""), F.concat_ws("_", inscription, page)).otherwise("").alias("page"))
 
 
-def filename_identity(c: Column) -> Column:
-    """struct(kind, word, crop, page) from the four filename families, in order; an unknown name raises."""
-    word, letter = F.regexp_extract(c, r"^word_(\d+)_char_(\d+)", 1), F.regexp_extract(c, r"^word_(\d+)_char_(\d+)", 2)
-    chart = F.regexp_extract(c, r"^col_\d+_p(\d+)", 1)
-    page = F.regexp_extract(c, r"^diff_page_(\d+)_p\d+", 1)
-    label, part = F.regexp_extract(c, r"^diff_(.+)_p(\d+)", 1), F.regexp_extract(c, r"^diff_(.+)_p(\d+)", 2)
-    make = lambda kind, w, crop, p: F.struct(F.lit(kind).alias("kind"), w.alias("word"), crop.alias("crop"), p.alias("page"))
+def filename_identity(c: Column, label: Column | None = None) -> Column:
+    """struct(kind, word, crop, page) from the four filename families, in order; an unknown name raises.
+
+    Numbers are padded, never cut. The last family is named by its class: the label given, or else the one in the name.
+    """
+    stem = F.regexp_replace(c, r"\.[^.]*$", "")
+    part = lambda pattern, k=1: F.regexp_extract(stem, f"(?i){pattern}", k)
+    number = lambda pattern, k, width: padded(F.regexp_replace(part(pattern, k), "^0+(?=.)", ""), width)
+    families = {"word": r"^word_(\d+)_char_(\d+)_", "chart": r"^col_(\d+)_p(\d+)$", "page": r"^diff_page_(\d+)_p(\d+)$", "label": r"^diff_(.+)_p(\d+)$"}
     none = F.lit("")
-    w = F.concat(F.lit("WORD_"), F.lpad(word, 4, "0"))
-    return (
-        F.when(word != "", make("word", w, F.concat(w, F.lit("_CHAR_"), letter), none))
-        .when(chart != "", make("chart", none, none, F.concat(F.lit("REFERENCE_CHART_P"), F.lpad(chart, 3, "0"))))
-        .when(page != "", make("page", none, none, F.concat(F.lit("DIFF_PAGE_"), F.lpad(page, 4, "0"))))
-        .when(label != "", make("label", none, F.concat(F.lit("DIFF_"), F.regexp_replace(label_code(label), "^$", ""), F.lit("_P"), part), none))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown file name: "), c)).cast("struct<kind:string,word:string,crop:string,page:string>"))
-    )
+    word = F.concat(F.lit("WORD_"), number(families["word"], 1, 4))
+    page = F.concat(F.lit("DIFF_PAGE_"), number(families["page"], 1, 4))
+    chart_page = number(families["chart"], 2, 3)
+    own = {
+        "word": (word, F.concat(word, F.lit("_CHAR_"), number(families["word"], 2, 2)), none),
+        "chart": (none, F.concat(F.lit("COL_"), number(families["chart"], 1, 2), F.lit("_P"), chart_page), F.concat(F.lit("REFERENCE_CHART_P"), chart_page)),
+        "page": (none, F.concat(page, F.lit("_P"), number(families["page"], 2, 3)), page),
+        "label": (none, F.concat(F.lit("DIFF_"), label_code(part(families["label"]) if label is None else label), F.lit("_P"), number(families["label"], 2, 3)), none),
+    }
+    out = F.raise_error(F.concat(F.lit("unknown file name: "), c)).cast("struct<kind:string,word:string,crop:string,page:string>")
+    for kind in reversed(families):
+        w, crop, p = own[kind]
+        out = F.when(part(families[kind]) != "", F.struct(F.lit(kind).alias("kind"), w.alias("word"), crop.alias("crop"), p.alias("page"))).otherwise(out)
+    return out
 
 
 @F.pandas_udf(StringType())

@@ -33,6 +33,13 @@ def softmax(scores: Column) -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
+def log_softmax(scores: Column) -> Column:
+    """Logarithms of `softmax`, stable for scores far apart."""
+    top = F.array_max(scores)
+    total = F.ln(F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return F.transform(scores, lambda x: x - top - total)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

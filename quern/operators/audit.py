@@ -20,11 +20,6 @@ def misaligned(a: DataFrame, b: DataFrame, key: list[str], signature: list[str])
 
 
 def roll_up(checks: DataFrame) -> DataFrame:
-    """checks (check, ok, detail): one row per check with bool_and, and the failed details sorted."""
-    return checks.groupBy("check").agg(F.bool_and("ok").alias("ok"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("detail")))).alias("details"))
-
-
-def guard_keys(df: DataFrame, json_col: str, word: str = "test", allowed: tuple[str, ...] = ("test_access",)) -> DataFrame:
-    """Rows of `df` whose JSON object has a top-level key containing `word` that is not allowed."""
-    keys = F.json_object_keys(json_col)
-    return df.filter(F.exists(keys, lambda k: F.lower(k).contains(word) & ~k.isin(*allowed)))
+    """checks (check, ok, detail): per check whether all hold, how many fail, and the first failed detail; null counts as failed."""
+    ok = F.coalesce("ok", F.lit(False))
+    return checks.groupBy("check").agg(F.bool_and(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.min(F.when(~ok, F.col("detail"))).alias("first"))

@@ -2,76 +2,80 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import itertools
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import number
+
 
 def word_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, code) over the distinct lower-case letter words of each text: bit is set when more word hashes have it than not."""
+    """(id, code) over the distinct lower-case letter words of each text: a bit is set in more word hashes than not.
+
+    One aggregate of 32 sums, each of two counters side by side, which is partial before the shuffle.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower(text_col), r"[^\p{L}]+"), lambda w: w != ""))
-    h = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 16), 16, -10).cast("long"))
-    per = docs.select(F.col(id_col).alias("id"), h.alias("h"))
-    bit = lambda i: F.aggregate("h", F.lit(0), lambda n, x: n + F.when(F.shiftright(x, 63 - i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1))
+    long = docs.select(F.col(id_col).alias("id"), F.explode_outer(words).alias("w"))
+    long = long.select("id", F.conv(F.substring(F.sha2("w", 256), 1, 16), 16, -10).cast("long").alias("h"))
+    pair = F.lit(0x0000000100000001).cast("long")
+    counts = long.groupBy("id").agg(F.count("h").alias("n"), *[F.coalesce(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)), F.lit(0)).alias(f"c{i}") for i in range(32)])
     code = F.lit(0).cast("long")
     for i in range(64):
-        code = F.shiftleft(code, 1).bitwiseOR(F.when(F.col(f"b{i}") > 0, 1).otherwise(0).cast("long"))
-    return per.select("id", *[bit(i).alias(f"b{i}") for i in range(64)]).select("id", code.alias("code"))
+        ones = F.shiftrightunsigned(f"c{i - 32}", 32) if i >= 32 else F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+        code = code.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return counts.select("id", code.alias("code"))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(code: Column, count: int) -> Column:
-    """array of (band, value): `count` bands cover all 64 bits, so codes within count - 1 bits agree on one at least."""
-    out, start = [], 0
-    for i in range(count):
-        width = 64 // count + (1 if i < 64 % count else 0)
-        part = F.shiftrightunsigned(code, 64 - start - width).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1).cast("long"))
-        out.append(F.struct(F.lit(i).alias("band"), part.alias("value")))
-        start += width
-    return F.array(*out)
+def masks(threshold: int) -> list[int]:
+    """Signed 64-bit masks such that two codes within `threshold` bits agree under one at least.
+
+    The bits are cut into threshold + k blocks, of which k at least hold no differing bit: a mask for every choice of k.
+    Three blocks, of 32 bits together at threshold 3, keep the classes of equal masked codes small; two do beyond it.
+    """
+    k = 3 if threshold <= 3 else 2
+    edges = [round(64 * i / (threshold + k)) for i in range(threshold + k + 1)]
+    blocks = [sum(1 << b for b in range(lo, hi)) for lo, hi in itertools.pairwise(edges)]
+    chosen = (sum(c) for c in itertools.combinations(blocks, k))
+    return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
 def near_pairs(codes: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, dist) of pairs of different codes within `threshold` bits, exactly: banded equi-joins, then verification.
+    """(a, b, dist) of pairs of different codes within `threshold` bits, exactly: equi-joins on masked codes, then verification.
 
-    codes: distinct `code`. Each pair comes from the first band that its codes share, so none is repeated.
+    codes: distinct `code`. Each pair comes from the first mask under which its codes agree, so none is repeated.
     """
-    banded = codes.select("code", F.explode(bands(F.col("code"), threshold + 1)).alias("k")).select("code", "k.band", "k.value")
-    x, y = banded.select(F.col("code").alias("a"), "band", "value"), banded.select(F.col("code").alias("b"), "band", "value")
-    pairs = x.join(y, ["band", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
-    first = F.lit(None)
-    for i, (p, q) in reversed(list(enumerate((F.get(bands(F.col("a"), threshold + 1), F.lit(i))["value"], F.get(bands(F.col("b"), threshold + 1), F.lit(i))["value"]) for i in range(threshold + 1)))):
-        first = F.when(p == q, i).otherwise(first)
-    return pairs.filter(F.col("band") == first).select("a", "b", hamming(F.col("a"), F.col("b")).alias("dist"))
+    own = [F.lit(m).cast("long") for m in masks(threshold)]
+    keyed = codes.select("code", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("code").bitwiseAND(m).alias("value")) for i, m in enumerate(own)])).alias("k")).select("code", "k.*")
+    x, y = keyed.select(F.col("code").alias("a"), "mask", "value"), keyed.select(F.col("code").alias("b"), "mask", "value")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = x.join(y, ["mask", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(m) == 0, i) for i, m in enumerate(own)])
+    return pairs.filter(F.col("mask") == first).select("a", "b", F.bit_count(differ).alias("dist"))
 
 
-def content_hash(df: DataFrame, order: list[str], line: Column, rows_per_part: int = 200_000) -> DataFrame:
-    """One row: sha256 over newline-joined lines in order (null lines are left out; null if there is none), and the number of rows.
+def content_hash(df: DataFrame, order: list[str], line: Column, fan: int = 1024) -> DataFrame:
+    """One row: a sha256 of the lines in order, and the number of rows.
 
-    Spark sorts; the digest, sequential by definition, is fed on the driver with one range partition of lines at a time.
+    A tree of three levels: the sha256 of each `fan` newline-joined lines, of each `fan` of those digests, and of what then
+    is left. Null lines are left out; the digest is null if there is none. Lines of equal order come in their own order.
     """
-    spark = df.sparkSession
-    lines = df.select(*order, line.alias("_line"))
-    n, given = lines.agg(F.count(F.lit(1)), F.count("_line")).first()
+    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
     keys = [*order, "_line"]
-    ranges = lines.filter("_line is not null").repartitionByRange(max(1, -(-given // rows_per_part)), *keys).sortWithinPartitions(*keys)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(batch.column(0).to_pylist())])], ["lines"])
-
-    digest = hashlib.sha256()
-    if given:
-        for i, r in enumerate(ranges.select("_line").mapInArrow(join, "lines string").toLocalIterator()):
-            digest.update(("\n" if i else "").encode() + r["lines"].encode())
-    return spark.createDataFrame([(digest.hexdigest() if given else None, n)], "dataset_sha256 string, n_rows long")
+    level = number(df.select(*order, line.alias("_line")).filter("_line is not null"), keys, "_i").select("_i", "_line")
+
+    def digest(rows: DataFrame, *by: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda x: x["_line"]), "\n")
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sha2(joined, 256).alias("_line"))
+
+    for _ in range(2):
+        level = digest(level.withColumn("_b", F.expr(f"(_i - 1) div {fan}")), "_b").select((F.col("_b") + 1).alias("_i"), "_line")
+    top = digest(level).select(F.when(F.col("_n") > 0, F.col("_line")).alias("dataset_sha256"))
+    return top.crossJoin(F.broadcast(total))  # one row each
 
 
 def crossing(df: DataFrame, key: str, split: str) -> DataFrame:

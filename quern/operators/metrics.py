@@ -65,3 +65,49 @@ def bootstrap(df: DataFrame, value: str, order: str, samples: int, seed: int = 2
     at = lambda j: F.pmod((F.col("b") * 7919 + j * 104729 + seed) * 48271 % 2147483647, F.size("v"))
     mean = F.aggregate(F.sequence(F.lit(1), F.size("v")), F.lit(0.0), lambda s, j: s + F.get("v", at(j.cast("long")).cast("int"))) / F.size("v")
     return draws.select(*by, mean.alias("m")).groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def full(pred: DataFrame, by: list[str]) -> DataFrame:
+    """The metric set per group: n, classes (of the truth), accuracy, balanced_accuracy, macro and weighted precision and F1, top3, top5.
+
+    pred: truth, pred, top (array of classes, best first) and the group columns, which must not be null.
+    """
+    t = class_table(pred, by).filter("support > 0")
+    weigh = lambda c: ratio(F.sum(F.col(c) * F.col("support")), F.sum("support"))
+    rates = t.groupBy(*by).agg(
+        F.sum("support").alias("n"), F.count(F.lit(1)).alias("classes"), ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"),
+        F.avg("precision").alias("macro_precision"), F.avg("f1").alias("macro_f1"), weigh("precision").alias("weighted_precision"), weigh("f1").alias("weighted_f1"),
+    )
+    hit = lambda k: F.avg(F.array_contains(F.slice("top", 1, k), F.col("truth")).cast("double")).alias(f"top{k}")
+    return rates.join(pred.groupBy(*by).agg(hit(3), hit(5)), by)
+
+
+def by_bin(pred: DataFrame, bin_col: str, bins: list[str]) -> DataFrame:
+    """The metric set of every bin in `bins`; an empty one has 0 in all columns."""
+    names = pred.sparkSession.createDataFrame([(b,) for b in bins], f"{bin_col} string")
+    return names.join(full(pred, [bin_col]), bin_col, "left").na.fill(0)
+
+
+def package(pred: DataFrame, shots: DataFrame) -> DataFrame:
+    """One wide row per sample: prediction, top classes, correctness, training count and its bin. shots: (truth, shots)."""
+    from quern.functions.text import frequency_bin_evaluation
+
+    t = pred.join(shots, "truth", "left").withColumn("shots", F.coalesce("shots", F.lit(0)))
+    return t.withColumns({"correct": F.col("truth") == F.col("pred"), "in_top3": F.array_contains(F.slice("top", 1, 3), F.col("truth")), "bin": frequency_bin_evaluation(F.col("shots"))})
+
+
+def strengths(df: DataFrame, part: str, value: str) -> DataFrame:
+    """(part, strength, strongest): mean over a part's metrics, and whether it is the largest (ties: the smallest name)."""
+    t = df.groupBy(part).agg(F.avg(value).alias("strength"))
+    best = t.agg(F.min_by(part, F.struct(-F.round("strength", 6), part)).alias("_best"))
+    return t.crossJoin(F.broadcast(best)).select(part, "strength", (F.col(part) == F.col("_best")).alias("strongest"))  # one row
+
+
+def weighted(df: DataFrame, by: list[str], value: str, weight: str, total: str) -> DataFrame:
+    """Mean of value weighted by counts, and the sum of total; a total that is no number raises, a group without weight has mean null."""
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"), F.sum(F.col(total).cast("double")).alias("total"))
+
+
+def report_line(name: str) -> Column:
+    """A line of a report from the columns of `describe`."""
+    return F.format_string("%s: n=%d, %.4f +/- %.4f", F.col(name), F.col("n"), F.col("mean"), F.col("sd"))

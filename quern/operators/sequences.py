@@ -71,3 +71,38 @@ def descending_average_rank(df: DataFrame, by: list[str], value: str) -> DataFra
     w = Window.partitionBy(*by).orderBy(F.desc(value))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
     return df.withColumn("avg_rank", F.rank().over(w) + (ties - 1) / F.lit(2.0))
+
+
+def suppress_edges(cells: DataFrame, by: list[str], at: str, value: str, interior, margin: int, least: int) -> DataFrame:
+    """cells with value 0 within `margin` of the first and last interior cell of each line, or on the whole line if it has
+    fewer than `least` interior cells."""
+    inside = cells.filter(interior).groupBy(*by).agg(F.min(at).alias("_a"), F.max(at).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    t = cells.join(inside, by, "left")
+    keep = (F.col("_n") >= least) & F.col(at).between(F.col("_a") + margin, F.col("_b") - margin)
+    return t.withColumn(value, F.when(keep, F.col(value)).otherwise(0.0)).drop("_a", "_b", "_n")
+
+
+def strips(pixels: DataFrame, image: str, height: int, edge: tuple[int, int], long_run: int, edge_run: int, ink: int, band: int) -> DataFrame:
+    """(image, y, x0, x1): runs of set pixels (image, y, x) that belong to a horizontal strip.
+
+    A row is a strip row if its longest run or its ink is long; rows near an edge (y up to edge[0], from edge[1]) need
+    less. Strip rows form bands; bands higher than `band` count near an edge only. Long runs of a band, and of the rows
+    next to it, are its strips.
+    """
+    near = lambda y: (F.col(y) <= edge[0]) | (F.col(y) >= edge[1])
+    runs = islands(pixels, [image, "y"], "x")
+    rows = runs.groupBy(image, "y").agg(F.max("n").alias("longest"), F.sum("n").alias("ink"))
+    strip = rows.filter((F.col("longest") >= long_run) | (near("y") & (F.col("longest") >= edge_run)) | (F.col("ink") >= ink))
+    bands = islands(strip, [image], "y").filter((F.col("n") <= band) | (F.col("first") <= edge[0]) | (F.col("last") + 1 >= edge[1]))
+    reach = bands.select(image, F.explode(F.sequence(F.greatest(F.lit(0), F.col("first") - 1), F.least(F.lit(height - 1), F.col("last") + 1))).alias("y")).distinct()
+    cutoff = F.when(near("y"), edge_run).otherwise(long_run)
+    return runs.join(reach, [image, "y"]).filter(F.col("n") >= cutoff).select(image, "y", F.col("first").alias("x0"), F.col("last").alias("x1"))
+
+
+def link(peaks: DataFrame, by: list[str], at: str, value: str, drift: float, reach: float) -> DataFrame:
+    """(by, track, n, first, last, mean): stretches of one peak a window in which each lies within `reach` of its
+    predecessor plus `drift`; windows without a peak do not break a track."""
+    w = Window.partitionBy(*by).orderBy(at)
+    step = F.col(value) - F.lag(value).over(w) - drift
+    t = peaks.withColumn("_new", (step.isNull() | (F.abs(step) > reach)).cast("long")).withColumn("track", F.sum("_new").over(w))
+    return t.groupBy(*by, "track").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.avg(value).alias("mean"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.vectors import doubles, norm, squared_distance
+from quern.functions.vectors import dot, doubles, log_softmax, norm, squared_distance
 
 #: Most classes whose prototypes go to every task in one row.
 MAX_CLASSES = 20_000
@@ -50,3 +52,60 @@ def route(transport: Column, direct: Column, shots: Column, margin: Column, max_
 def accept(dist: Column, margin: Column, label: Column, threshold: Column, min_margin: float = 0.01) -> Column:
     """The label, or "_" when it is too far or too close to the next one."""
     return F.when((dist <= threshold) & (margin >= min_margin), label).otherwise(F.lit("_"))
+
+
+def log_scores(vectors: DataFrame, protos: DataFrame, temperature: float, vector: str = "embedding") -> DataFrame:
+    """`vectors` columns but the vector, cls and logp: log-probability of each class by distance over temperature."""
+    ranked = ranked_classes(vectors, protos, vector)
+    both = F.arrays_zip(F.transform("ranked", lambda x: x["cls"]).alias("cls"), log_softmax(F.transform("ranked", lambda x: -x["dist"] / temperature)).alias("logp"))
+    return ranked.withColumn("_s", F.explode(both)).select(*[c for c in vectors.columns if c != vector], F.col("_s.cls").alias("cls"), F.col("_s.logp").alias("logp"))
+
+
+def token_transport(vectors: DataFrame, protos: DataFrame, vector: str, tokens: int, match: float = 0.08, temperature: float = 0.12, local: float = 0.65) -> DataFrame:
+    """`vectors` columns but the vector, and scores: array of (cls, score) by soft token matching in both directions.
+
+    A vector is cut into `tokens` tokens, whose lengths say how reliable they are. Each token takes the soft maximum of its
+    products with the other side's tokens; their reliable means in both directions, averaged, are the local part, and
+    the product of the whole vectors is the rest.
+    """
+    packed = protos.agg(F.array_sort(F.collect_list(F.struct("cls", "proto"))).alias("_protos"))  # bounded as in ranked_classes
+    cut_up = lambda v: F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.slice(v, i * (F.size(v) / tokens).cast("int") + 1, (F.size(v) / tokens).cast("int")))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    soft = lambda one, others: F.lit(match) * F.ln(total(F.transform(others, lambda o: F.exp(dot(one, o) / match))))
+
+    def side(own: Column, others: Column) -> Column:
+        return total(F.transform(own, lambda t: soft(t, others) * norm(t))) / F.greatest(total(F.transform(own, norm)), F.lit(1e-6))
+
+    v = doubles(vector)
+    score = lambda p: (F.lit(local) * 0.5 * (side(cut_up(v), cut_up(p["proto"])) + side(cut_up(p["proto"]), cut_up(v))) + F.lit(1 - local) * dot(v, p["proto"])) / temperature
+    scores = F.transform("_protos", lambda p: F.struct(p["cls"].alias("cls"), score(p).alias("score")))
+    return vectors.crossJoin(F.broadcast(packed)).select(*[c for c in vectors.columns if c != vector], scores.alias("scores"))
+
+
+def exemplar_min(queries: DataFrame, rows: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
+    """(key, cls, dist2): least squared distance of each query to any row of each class.
+
+    Queries and rows are dealt into blocks by a hash; every pair of blocks is one group of bounded size, and its least
+    distances per query and class are all that leaves it. Null and empty vectors take no part.
+    """
+    used = lambda df: df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    nq, nr = (max(1, -(-used(df).count() // block)) for df in (queries, rows))
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    q = used(queries).select(F.col(key).alias("k"), doubles(vector).alias("v"), deal(nq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("j"))
+    r = used(rows).select(F.col(label).alias("c"), doubles(vector).alias("v"), deal(nr).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"))
+    kinds = {c: df.schema[n].dataType.simpleString() for c, df, n in (("k", queries, key), ("c", rows, label))}
+
+    def least(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks().sort_by("c")
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        kind = b.column("c").combine_chunks().dictionary_encode()
+        first = np.flatnonzero(np.diff(kind.indices.to_numpy(), prepend=-1)) if len(b) else np.zeros(0, np.int64)
+        if not len(a) or not len(b):
+            return pa.table({"k": a.column("k").slice(0, 0), "c": b.column("c").slice(0, 0), "d": pa.array([], pa.float64())})
+        x, y = matrix(a), matrix(b)
+        d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0)
+        d = np.minimum.reduceat(d, first, axis=1)
+        return pa.table({"k": a.column("k").take(pa.array(np.repeat(np.arange(len(a)), len(first)))), "c": b.column("c").take(pa.array(np.tile(first, len(a)))), "d": pa.array(d.ravel())})
+
+    got = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInArrow(least, f"k {kinds['k']}, c {kinds['c']}, d double")
+    return got.groupBy(F.col("k").alias(key), F.col("c").alias("cls")).agg(F.min("d").alias("dist2"))

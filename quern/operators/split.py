@@ -1,51 +1,76 @@
-"""Group-safe splitting and deterministic sampling."""
+"""Group-safe splitting and deterministic sampling. Random order is the order of a hash, so every result can be repeated."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import number, number_within, running_total
 
-def greedy_groups(groups: DataFrame, share: float = 0.15) -> DataFrame:
-    """(grp, split) for rows (grp, cls, n): whole groups go to test or validation, the emptier first, until each holds
-    its share, preferring groups with classes new to it, then small overshoot, size, and hash order; no class leaves train
-    without a row. The choice is sequential by definition, so the table of groups, not of rows, is one pandas group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf.groupby("grp")["n"].sum()
-        classes = {g: dict(zip(d["cls"], d["n"], strict=True)) for g, d in pdf.groupby("grp")}
-        left = pdf.groupby("cls")["n"].sum().to_dict()
-        target = max(1, round(share * int(size.sum())))
-        order = pdf.drop_duplicates("grp").sort_values(["tie", "grp"])["grp"].tolist()
-        rank, split = {g: i for i, g in enumerate(order)}, dict.fromkeys(order, "train")
-        held, seen = {"test": 0, "validation": 0}, {"test": set(), "validation": set()}
-        while True:
-            side = min((s for s in ("test", "validation") if held[s] < target), key=lambda s: (held[s], s), default=None)
-            open_groups = [g for g in order if split[g] == "train" and all(left[c] - n > 0 for c, n in classes[g].items())]
-            if side is None or not open_groups:
-                break
-            best = max(open_groups, key=lambda g: (len(set(classes[g]) - seen[side]), -max(0, held[side] + size[g] - target), size[g], -rank[g]))
-            split[best] = side
-            held[side] += int(size[best])
-            seen[side] |= set(classes[best])
-            for c, n in classes[best].items():
-                left[c] -= n
-        return pd.DataFrame({"grp": list(split), "split": list(split.values())})
-
-    kind = groups.schema["grp"].dataType.simpleString()
-    t = groups.withColumn("tie", F.md5(F.col("grp").cast("string").cast("binary")))
-    return t.groupBy(F.lit(1).alias("_one")).applyInPandas(run, f"grp {kind}, split string")
+
+def hashed(*keys) -> Column:
+    """Order of chance: md5 of the keys as text, joined by colons."""
+    return F.md5(F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
+
+
+def group_split(groups: DataFrame, share: float = 0.15) -> DataFrame:
+    """(grp, split) for rows (grp, cls, n): whole groups in test, validation and train.
+
+    The largest group of each class (ties: the smallest name) is its anchor and stays in train, so no class leaves train.
+    The others come in the order of their hash: while the rows before a group are under the share of all rows, it is
+    test; while they are under twice that, validation; then train. Each held-out part exceeds its share by less than its last group.
+    """
+    anchors = groups.groupBy("cls").agg(F.min_by("grp", F.struct(-F.col("n"), "grp")).alias("grp")).select("grp").distinct().withColumn("anchor", F.lit(True))
+    sizes = groups.groupBy("grp").agg(F.sum("n").alias("n")).join(anchors, "grp", "left").withColumn("h", hashed("grp"))
+    target = sizes.agg(F.greatest(F.lit(1), F.bround(F.lit(share) * F.sum("n"))).cast("long").alias("target"))
+    placed = running_total(sizes.filter("anchor is null"), ["h", "grp"], "n").crossJoin(F.broadcast(target))  # one row
+    split = F.when(F.col("before") < F.col("target"), "test").when(F.col("before") < 2 * F.col("target"), "validation").otherwise("train")
+    return placed.select("grp", split.alias("split")).unionByName(sizes.filter("anchor").select("grp", F.lit("train").alias("split")))
+
+
+def legacy_split(keys: DataFrame, label: str, key: str) -> DataFrame:
+    """(label, key, split) per label 70/15/15 by distinct keys in hashed order; small labels keep one key at least in train."""
+    rows = number_within(keys.select(label, key).distinct().withColumn("_h", hashed(label, key)), [label], ["_h", key], "_k")
+    count = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    train = F.when(n < 3, F.greatest(F.lit(1), n - 1)).otherwise(F.least(F.greatest(F.lit(1), F.bround(n * F.lit(0.7))), n - 2))
+    held = n - train
+    validation = F.when(n < 3, F.lit(0)).otherwise(F.least(F.greatest(F.lit(1), F.bround(n * F.lit(0.15))), held - 1))
+    split = F.when(F.col("_k") <= train, "train").when(F.col("_k") <= train + validation, "validation").otherwise("test")
+    return rows.join(count, label).select(label, key, split.alias("split"))
+
+
+def cut(df: DataFrame, key: str, share: float = 0.1) -> DataFrame:
+    """df with `held`: true for the first `share` of the rows (rounded down) in hashed order of the key."""
+    rows = number(df.withColumn("_h", hashed(key)), ["_h", key], "_n")
+    total = rows.agg((F.count(F.lit(1)) * F.lit(share)).cast("long").alias("_most"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("held", F.col("_n") <= F.col("_most")).drop("_h", "_n", "_most")  # one row
 
 
 def stratified(df: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """The k rows of each class with the smallest md5 of the key."""
-    h = F.md5(F.col(key).cast("string").cast("binary"))
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(h, key))).filter(F.col("_r") <= k).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key), key))).filter(F.col("_r") <= k).drop("_r")
 
 
 def weighted_without_replacement(df: DataFrame, by: list[str], weight: str, uniform: str, k: int) -> DataFrame:
-    """Efraimidis-Spirakis: the k rows of each group with the largest -ln-scaled keys, from a uniform column in (0, 1]."""
+    """Efraimidis-Spirakis: the k rows of each group with the smallest exponential times, from a uniform column in (0, 1]."""
     race = -F.ln(F.col(uniform)) / F.col(weight)
-    w = Window.partitionBy(*by).orderBy(race) if by else Window.orderBy(race)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(race))).filter(F.col("_r") <= k).drop("_r")
+
+
+def episodes(rows: DataFrame, label: str, key: str, parent: str, count: int, ways: int, shots: int, queries: int, seed: int = 2026) -> DataFrame:
+    """(episode, label, key, role): `count` episodes of `ways` classes, with `shots` support and `queries` query rows each.
+
+    Rows of a class come from different parents while there are enough; what then is missing is drawn again from the class.
+    """
+    spark, need = rows.sparkSession, shots + queries
+    drawn = rows.select(label).distinct().crossJoin(F.broadcast(spark.range(1, count + 1).toDF("episode")))
+    drawn = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("episode").orderBy(hashed(F.lit(seed), "episode", label), label))).filter(F.col("_r") <= ways).drop("_r")
+    own = drawn.join(rows.select(label, key, parent), label)
+    one = own.withColumn("_r", F.row_number().over(Window.partitionBy("episode", label, parent).orderBy(hashed(F.lit(seed), "episode", key), key))).filter("_r = 1")
+    first = one.withColumn("_k", F.row_number().over(Window.partitionBy("episode", label).orderBy(hashed(F.lit(seed), "episode", parent), parent))).filter(F.col("_k") <= need)
+    have = first.groupBy("episode", label).agg(F.count(F.lit(1)).alias("_have"))
+    spare = own.withColumn("_k", F.row_number().over(Window.partitionBy("episode", label).orderBy(hashed(F.lit(seed), F.lit("again"), "episode", key), key))).filter(F.col("_k") <= need)
+    again = spare.join(have, ["episode", label]).filter(F.col("_k") <= need - F.col("_have")).withColumn("_k", F.col("_k") + F.col("_have"))
+    out = first.select("episode", label, key, "_k").unionByName(again.select("episode", label, key, "_k"))
+    return out.select("episode", label, key, F.when(F.col("_k") <= shots, "support").otherwise("query").alias("role"))

@@ -228,7 +228,7 @@ def leakage_audit_counts(spark, sf):
     return row("text", dedup.crossing(d, "h", "split")).union(row("source", dedup.crossing(d, "source", "split"))).union(row("unlabelled", d.join(table(spark, sf, "labels"), "doc_id", "left_anti"))).union(row("benchmark", d.join(b, "h", "left_semi")))
 
 
-@query(f"SELECT sha256(string_agg(split || chr(9) || doc_id || chr(9) || h, chr(10) ORDER BY split, doc_id)) AS dataset_sha256, count(*) AS n_rows FROM (SELECT doc_id, {SPLIT} AS split, sha256(coalesce(text, '')) AS h FROM documents)")
+@query(f"WITH l0 AS (SELECT row_number() OVER (ORDER BY split, doc_id, line) - 1 AS i, line FROM (SELECT doc_id, split, split || chr(9) || doc_id || chr(9) || h AS line FROM (SELECT doc_id, {SPLIT} AS split, sha256(coalesce(text, '')) AS h FROM documents))), l1 AS (SELECT i // 1024 AS i, sha256(string_agg(line, chr(10) ORDER BY i)) AS line FROM l0 GROUP BY i // 1024), l2 AS (SELECT i // 1024 AS i, sha256(string_agg(line, chr(10) ORDER BY i)) AS line FROM l1 GROUP BY i // 1024) SELECT sha256(string_agg(line, chr(10) ORDER BY i)) AS dataset_sha256, (SELECT count(*) FROM documents) AS n_rows FROM l2")
 def ordered_dataset_hash(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.expr(SPLIT).alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     return dedup.content_hash(d, ["split", "doc_id"], F.concat("split", F.lit("\t"), F.col("doc_id").cast("string"), F.lit("\t"), "h"))
@@ -241,12 +241,6 @@ def split_class_distribution(spark, sf):
     return d.groupBy("lang").agg(count("train"), count("validation"), count("test"), F.count_distinct("source").alias("sources"))
 
 
-@query("SELECT source || ':' || lang AS label, row_number() OVER (ORDER BY source || ':' || lang)::INT AS idx FROM (SELECT DISTINCT source, lang FROM documents)")
-def label_dictionary(spark, sf):
-    d = table(spark, sf, "documents").select(F.concat_ws(":", "source", "lang").alias("label")).distinct()
-    return d.withColumn("idx", F.row_number().over(Window.orderBy("label")))
-
-
 @query(r"SELECT page_id, trim(regexp_replace(upper(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '[^A-Z0-9]+', '_', 'g'), '_') AS host_id, CASE WHEN regexp_extract(url, '/([a-z]{2})/', 1) <> '' THEN 'LANG::' || regexp_extract(url, '/([a-z]{2})/', 1) ELSE 'HOST::' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS grp, lpad(regexp_extract(url, '/(\d+)', 1), 6, '0') AS item FROM pages")
 def identity_from_url(spark, sf):
     host, lang = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.regexp_extract("url", "/([a-z]{2})/", 1)
@@ -340,7 +334,7 @@ def local_maxima_daily(spark, sf):
     return sequences.local_maxima(daily(spark, sf), ["event_type"], "d", "n", 2)
 
 
-@query()
+@query(f"WITH {H_SQL}, p AS (SELECT event_type, d, n FROM (SELECT *, coalesce(lag(n) OVER w, -1) AS p, coalesce(lead(n) OVER w, -1) AS q FROM h WINDOW w AS (PARTITION BY event_type ORDER BY d)) WHERE n >= p AND n > q AND n >= 2), k AS (SELECT event_type, list_reduce(list([d] ORDER BY n DESC, d), lambda a, b: CASE WHEN len(list_filter(a, lambda x: abs(x - b[1]) < 7)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM p GROUP BY event_type) SELECT p.* FROM p JOIN k USING (event_type) WHERE list_contains(kept, d)")
 def nms_peaks(spark, sf):
     return sequences.suppress(sequences.local_maxima(daily(spark, sf), ["event_type"], "d", "n", 2), ["event_type"], "d", "n", 7)
 
@@ -398,54 +392,17 @@ def run_components(spark, sf):
     return t.select("vec_id", "area", "x0", "y0", "x1", "y1")
 
 
-@query("SELECT vec_id, row_number() OVER (ORDER BY round_even(embedding[2]::DOUBLE / 0.05, 0), embedding[1], vec_id)::INT AS idx FROM embeddings")
-def reading_order_renumber(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return e.select("vec_id", F.row_number().over(Window.orderBy(F.bround(F.col("y") / 0.05, 0), "x", "vec_id")).alias("idx"))
-
-
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
 def text_assembly(spark, sf):
     t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"), F.sum(F.length("text")).alias("chars"))
     return t.select("conv_id", F.array_join(F.transform("r", lambda s: s["role"]), " ").alias("roles"), "chars")
 
 
-@query("SELECT chk AS \"check\", bool_and(ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM (SELECT 'ids' AS chk, count(*) = 1 AS ok FROM events GROUP BY event_id UNION ALL SELECT 'props', json_valid(props) FROM events UNION ALL SELECT 'value', value >= 0 FROM events) GROUP BY 1")
-def audit_rollup(spark, sf):
-    e = table(spark, sf, "events")
-    ids = e.groupBy("event_id").agg((F.count(F.lit(1)) == 1).alias("ok")).select(F.lit("ids").alias("check"), "ok", F.col("event_id").cast("string").alias("detail"))
-    rest = e.select(F.explode(F.array(F.struct(F.lit("props").alias("check"), F.json_object_keys("props").isNotNull().alias("ok")), F.struct(F.lit("value").alias("check"), (F.col("value") >= 0).alias("ok")))).alias("c"), "event_id").select("c.*", F.col("event_id").cast("string").alias("detail"))
-    return ids.unionByName(rest).groupBy("check").agg(F.bool_and("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
-
-
-@query("SELECT event_type, count(*) AS n FROM events WHERE list_contains(json_keys(props), 'k') GROUP BY event_type")
-def json_key_guard(spark, sf):
-    return audit.guard_keys(table(spark, sf, "events"), "props", "k", ()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, ((r - 1) // 48 + 1)::INT AS sheet, ((r - 1) % 48 + 1)::INT AS tile FROM (SELECT doc_id, row_number() OVER (ORDER BY lang, doc_id) AS r FROM documents)")
-def paged_index(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.orderBy("lang", "doc_id")).alias("r"))
-    return t.select("doc_id", (F.floor((F.col("r") - 1) / 48) + 1).cast("int").alias("sheet"), ((F.col("r") - 1) % 48 + 1).alias("tile"))
-
-
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def missing_artifacts(spark, sf):
     return table(spark, sf, "documents").select("doc_id").distinct().join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
-@query()
-def group_safe_split(spark, sf):
-    g = table(spark, sf, "documents").groupBy(F.col("source").alias("grp"), F.col("lang").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    return split.greedy_groups(g)
-
-
-@query("SELECT count(DISTINCT source) AS n_groups, 0::BIGINT AS crossing FROM documents")
-def group_safe_split_invariants(spark, sf):
-    s = group_safe_split(spark, sf)
-    return s.groupBy("grp").agg(F.count_distinct("split").alias("k")).agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("k") > 1).alias("crossing"))
-
-
 @query("SELECT p_brand, p_type, round(quantile_cont(p_retailprice, 0.28), 4) AS low, round(quantile_cont(p_retailprice, 0.992), 4) AS high, round(median(p_size), 4) AS mid FROM part GROUP BY ALL")
 def percentile_stretch(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.round(F.percentile("p_retailprice", F.lit(0.28)), 4).alias("low"), F.round(F.percentile("p_retailprice", F.lit(0.992)), 4).alias("high"), F.round(F.median("p_size"), 4).alias("mid"))

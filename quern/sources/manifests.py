@@ -55,5 +55,13 @@ def write_csv(df: DataFrame, path: str, on_empty: str = "write") -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line, into a new folder only; numbers that JSON lacks raise."""
+    checks = [F.assert_true(F.coalesce(~F.isnan(f.name) & (F.abs(f.name) < float("inf")), F.lit(True)), f"{f.name} is no JSON number").alias(f.name) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    if checks:
+        df.select(*checks).write.format("noop").mode("overwrite").save()
+    df.write.mode("errorifexists").json(path)
+
+
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("errorifexists").partitionBy(split).parquet(path)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import audit, dedup, geometry, metrics, sequences, similarity, split
-from quern.plans.registry import ORACLES, QUERIES
+from quern.operators import audit, dedup, geometry, governance, manifest, metrics, ordered, sequences, shapes, similarity, split
+from quern.plans.all import ORACLES, QUERIES
 from quern.sources import manifests
+from quern.streaming import crossing
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,14 +43,17 @@ def test_banded_pairs_equal_brute_force(spark, threshold):
     assert {(r.a, r.b, r.dist) for r in got} == want and len(got) == len(want)
 
 
-def test_content_hash_in_bounded_parts(spark):
+def test_content_hash_is_a_tree(spark):
     import hashlib
 
-    rows = [(i % 7, f"ü{i}") for i in range(500)] + [(3, None), (None, "first")]
+    rows = [(i % 7, f"ü{i}") for i in range(500)] + [(3, None), (None, "first"), (3, "ü3")]
     df = spark.createDataFrame(rows, "k int, line string").repartition(5)
     lines = [x for _, x in sorted(((-1 if k is None else k, x) for k, x in rows if x is not None))]
-    got = dedup.content_hash(df, ["k"], F.col("line"), rows_per_part=60).first()
-    assert (got.dataset_sha256, got.n_rows) == (hashlib.sha256("\n".join(lines).encode()).hexdigest(), len(rows))
+    sha = lambda own: hashlib.sha256("\n".join(own).encode()).hexdigest()
+    for _ in range(2):
+        lines = [sha(lines[i : i + 6]) for i in range(0, len(lines), 6)]
+    assert len(lines) > 10
+    assert tuple(dedup.content_hash(df, ["k"], F.col("line"), fan=6).first()) == (sha(lines), len(rows))
     assert tuple(dedup.content_hash(df.limit(0), ["k"], F.col("line")).first()) == (None, 0)
 
 
@@ -74,10 +78,19 @@ def test_text_facts(spark):
     assert f("a-b c.", T.normalized_id) == "A_B_C"
     ref = lambda v: f(v, lambda c: T.parse_reference(c, ["PEDT", "PELA"]))
     assert ref("PEDT, I, L. 4") == ("PEDT", "PEDT_I") and ref("PELA, V L. 5") == ("PELA", "PELA_V") and ref("Unknown") == ("", "")
+    assert ref("PEDT, I l. 4") == ref("pedt, I L 4") == ("PEDT", "PEDT_I") and ref("PEDT, XL4") == ("PEDT", "PEDT_XL4") and ref("PELA") == ("PELA", "")
     assert f("word_0001_char_01_0905.png", T.filename_identity)[1:3] == ("WORD_0001", "WORD_0001_CHAR_01")
-    assert f("col_1_p001.png", T.filename_identity).page == "REFERENCE_CHART_P001"
-    assert f("diff_page_39_p001.png", T.filename_identity).page == "DIFF_PAGE_0039"
+    assert f("WORD_12345_char_1_x.png", T.filename_identity)[1:3] == ("WORD_12345", "WORD_12345_CHAR_01")
+    assert f("col_1_p001.png", T.filename_identity)[2:] == ("COL_01_P001", "REFERENCE_CHART_P001")
+    assert f("diff_page_39_p001.png", T.filename_identity)[2:] == ("DIFF_PAGE_0039_P001", "DIFF_PAGE_0039")
     assert f("diff_अ_p001.png", T.filename_identity).crop == "DIFF_U0905_P001"
+    assert f("diff_x_p1234.png", lambda c: T.filename_identity(c, F.lit("\U0001f600"))).crop == "DIFF_U1F600_P1234"
+    assert f("a b/c d e.tar.png", T.safe_stem) == "c_d_e.tar"
+    bins = lambda g: [f(n, lambda c, g=g: g(c.cast("int"))) for n in ("1", "2", "9", "10", "20")]
+    assert bins(T.frequency_bin_comparison) == bins(T.frequency_bin_strict) == ["one_shot", "2_4", "5_9", "10_19", "20_plus"]
+    assert f("0", lambda c: T.frequency_bin_comparison(c.cast("int"))) == "one_shot"
+    with pytest.raises(Exception, match="below one"):
+        f("0", lambda c: T.frequency_bin_strict(c.cast("int")))
     with pytest.raises(Exception, match="unknown file name"):
         f("other.png", T.filename_identity)
     assert f("किं", T.label_parts) == ("क", "ि", True)
@@ -110,7 +123,7 @@ def test_greedy_split_keeps_groups_and_classes(spark):
     rng = random.Random(1)
     rows = [(f"g{i}", rng.choice("abc"), rng.randrange(1, 9)) for i in range(60)]
     groups = spark.createDataFrame(rows, "grp string, cls string, n long").groupBy("grp", "cls").agg(F.sum("n").alias("n"))
-    got = {r.grp: r.split for r in split.greedy_groups(groups).collect()}
+    got = {r.grp: r.split for r in split.group_split(groups).collect()}
     assert set(got) == {r[0] for r in rows} and set(got.values()) == {"train", "validation", "test"}
     assert {c for g, c, _ in rows if got[g] == "train"} == {"a", "b", "c"}
 
@@ -139,3 +152,147 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numbers_and_totals_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), rng.randrange(100), i, rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int, i int, v int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    got = {r.i: (r.idx, r.before) for r in ordered.running_total(ordered.number(df, ["x", "i"]), ["x", "i"], "v").collect()}
+    assert got == {r[2]: (k + 1, sum(q[3] for q in order[:k])) for k, r in enumerate(order)}
+    own = {r.i: r.idx for r in ordered.number_within(df, ["g"], ["x", "i"]).collect()}
+    assert own == {r[2]: k + 1 for g in "ab" for k, r in enumerate(q for q in order if q[0] == g)}
+    assert ordered.number(df.limit(0), ["x"]).count() == 0
+
+
+def test_canonical_manifest_inherits_and_raises(spark):
+    originals = spark.createDataFrame([("A", "a.png", "h1", 1, None, "INS", "P", "", "C1"), ("B", "b.png", "h2", 2, "", "", "", "W1", "C2")], "class_label string, name string, file_sha256 string, perceptual_hash long, estampage_id string, inscription_id string, page_id string, word_id string, original_crop_id string")
+    made = manifest.provenance(spark.createDataFrame([("A", "o\\x/a1.png", "in/zz.png", 1), ("A", "o/a1.png", "in/a.png", 2)], "label string, output string, source string, at int"), "label", "output", "source", "at")
+    derived = spark.createDataFrame([("A", "a1.png", "h3", 9)], "class_label string, name string, file_sha256 string, perceptual_hash long")
+    rows = {r.name: r for r in manifest.canonical(originals, derived, made).collect()}
+    assert rows["a1.png"].source_group == rows["a.png"].source_group == "INSCRIPTION::INS" and rows["a1.png"].augmentation_parent_id == "C1" and rows["a1.png"].is_augmented
+    assert rows["b.png"].source_group == "WORD::W1" and rows["a.png"].estampage_id == ""
+    with pytest.raises(Exception, match="no provenance or original: lost.png"):
+        manifest.canonical(originals, spark.createDataFrame([("A", "lost.png", "h", 1)], derived.schema), made).collect()
+
+
+def test_splits_exclude_collisions(spark):
+    rows = [("a", "g1", False, "h1", 0b1, ""), ("b", "g2", False, "h2", 0b111111 << 20, ""), ("a1", "g1", True, "h9", 0b111 << 20, "a"), ("a2", "g1", True, "h2", 1 << 40, "a"), ("a3", "g1", True, "h8", 1 << 50, "a"), ("b1", "g2", True, "h7", 1 << 60, "b"), ("a4", "g1", True, None, None, "a")]
+    m = spark.createDataFrame(rows, "name string, source_group string, is_augmented boolean, file_sha256 string, perceptual_hash long, augmentation_parent_id string")
+    got = {r.name: r.split for r in manifest.apply_splits(m, spark.createDataFrame([("g1", "train"), ("g2", "test")], "grp string, split string"), 3).collect()}
+    assert got == {"a": "train", "b": "test", "a1": "excluded_perceptual_collision", "a2": "excluded_perceptual_collision", "a3": "train", "b1": "excluded_parent_not_train", "a4": "train"}
+
+
+def test_strict_values_raise(spark):
+    one = lambda v, g: spark.createDataFrame([(v,)], "x string").select(g(F.col("x")).alias("r")).first().r
+    assert (one(" TRUE", governance.truth), one("3.0", governance.whole), one("1e-3", governance.finite)) == (True, 3, 0.001)
+    for bad, g in (("yes", governance.truth), ("2.5", governance.whole), ("inf", governance.finite), ("", governance.finite), (None, governance.whole)):
+        with pytest.raises(Exception, match="no (number|whole number|truth value)"):
+            one(bad, g)
+    assert one("a" * 64, governance.is_digest) and not one("A" * 64, governance.is_digest) and not one(None, governance.is_digest)
+    assert one("1", lambda c: governance.close(c.cast("double"), F.lit(1 + 1e-10))) and not one("1", lambda c: governance.close(c.cast("double"), F.lit(1.001)))
+
+
+def test_key_guard_walks_the_tree(spark):
+    docs = [('{"a": [{"b": {"Test_x": 1}}]}',), ('{"a": "test: \\"test\\": 1", "test_access": {"c": ["test"]}}',), ('{"latest": null}',), (None,), ("{}",)]
+    got = [r.doc[:10] for r in governance.guarded(spark.createDataFrame(docs, "doc string"), "doc").collect()]
+    assert got == [docs[0][0][:10], docs[2][0][:10]]
+
+
+def test_frozen_tables_and_verification(spark):
+    t = spark.createDataFrame([("train", "x"), ("train", "y"), ("train", "y"), ("test", "z")], "part string, line string")
+    a = governance.frozen(t, "part", F.col("line"))
+    again = governance.frozen(t.orderBy(F.desc("line")).repartition(3), "part", F.col("line"))
+    once = governance.frozen(t.distinct().union(t.filter("line = 'x'")), "part", F.col("line"))
+    status = lambda b, *d: {r.part: r.status for r in governance.verify_frozen(a, b, "part", d).collect()}
+    assert status(again) == {"train": "match", "test": "match"} and status(once, "test") == {"train": "mismatch", "test": "deferred"}
+    assert status(again.filter("part = 'test'").union(again.filter("part = 'test'").withColumn("part", F.lit("new")))) == {"train": "missing", "test": "match", "new": "extra"}
+
+
+def test_json_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5), (2, None)], "id int, x double")
+    manifests.write_json(df, f"file://{tmp_path}/j")
+    assert sorted(map(tuple, spark.read.json(f"file://{tmp_path}/j").select("id", "x").collect())) == [(1, 0.5), (2, None)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        manifests.write_json(df, f"file://{tmp_path}/j")
+    with pytest.raises(Exception, match="no JSON number"):
+        manifests.write_json(df.union(spark.createDataFrame([(3, float("nan"))], df.schema)), f"file://{tmp_path}/k")
+
+
+def test_files_and_json_scans(spark, tmp_path):
+    import hashlib
+
+    for name in ("क/a.PNG", "क/b.txt", "ख/c.jpg"):
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_bytes(name.encode())
+    got = {(r.label, r.name) for r in manifests.list_files(spark, f"file://{tmp_path}/f").collect()}
+    assert len(got) == 2 and {n for _, n in got} == {"a.PNG", "c.jpg"}
+    assert {r.sha256 for r in manifests.file_hashes(spark, f"file://{tmp_path}/f").collect()} == {hashlib.sha256(n.encode()).hexdigest() for n in ("क/a.PNG", "क/b.txt", "ख/c.jpg")}
+    (tmp_path / "one.json").write_text('{"a": {"b": [1, 2]}}')
+    assert manifests.read_json(spark, f"file://{tmp_path}/one.json").first().a.b == [1, 2]
+    rows = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("l", 1, "only")], "key string, at int, v string")
+    assert {(r.key, r.v) for r in manifests.keep_last(rows, ["key"], "at").collect()} == {("k", "new"), ("l", "only")}
+    manifests.write_split(rows.withColumn("split", F.col("key")), f"file://{tmp_path}/s")
+    assert sorted(r.split for r in spark.read.parquet(f"file://{tmp_path}/s").collect()) == ["k", "k", "l"]
+
+
+def test_vectors_and_boxes(spark):
+    row = spark.range(1).select(V.cosine(V.doubles(F.array(F.lit(1), F.lit(0))), V.doubles(F.array(F.lit(1), F.lit(1)))).alias("c"), V.sigmoid(F.lit(0.0)).alias("s"), V.log_softmax(F.array(F.lit(1000.0), F.lit(0.0))).alias("l")).first()
+    assert row.c == pytest.approx(0.5**0.5) and row.s == 0.5 and row.l == [0.0, -1000.0]
+    box = lambda x0, y0, x1, y1: {k: F.lit(v) for k, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)}
+    touch = spark.range(1).select(geometry.overlaps_expanded(box(0, 0, 5, 5), box(8, 0, 9, 5), 3).alias("a"), geometry.overlaps_expanded(box(0, 0, 5, 5), box(9, 0, 9, 5), 3).alias("b")).first()
+    assert touch.a and not touch.b
+
+
+def test_component_rules(spark):
+    rows = [("edge", 2, 300, 250, 320, 500), ("inner", 3, 300, 250, 320, 5000), ("strip", 100, 100, 200, 107, 400), ("thick", 100, 100, 200, 108, 600), ("speck", 500, 500, 502, 502, 9)]
+    t = spark.createDataFrame(rows, "id string, x0 int, y0 int, x1 int, y1 int, area int").selectExpr("*", "1 AS image", "0.5D AS depth", "0.2D AS alpha", "1000 AS page_w", "700 AS page_h")
+    got = {r.id: (r.b, r.kind) for r in shapes.classified(t).withColumn("b", shapes.border_or_strip()).collect()}
+    assert got == {"edge": (True, "rejected"), "inner": (False, "rejected"), "strip": (True, "rejected"), "thick": (False, "main"), "speck": (False, "dot")}
+
+
+def test_samplers(spark):
+    rows = spark.range(200).selectExpr("id", "id % 4 AS g", "1.0D AS w", "(id + 1) / 201.0D AS u")
+    got = [r.id for r in split.weighted_without_replacement(rows, ["g"], "w", "u", 3).collect()]
+    assert sorted(got) == list(range(188, 200))
+    few = spark.createDataFrame([("a", i, 1) for i in range(2)] + [("b", 10 + i, i) for i in range(9)], "label string, id int, parent int")
+    e = split.episodes(few, "label", "id", "parent", 2, 2, 2, 2).collect()
+    assert len({(r.episode, r.label) for r in e}) == 4
+    b = [r for r in e if r.label == "b"]
+    assert len(b) == 8 and len({(r.episode, r.id) for r in b}) == 8 and sum(r.role == "support" for r in b) == 4
+    a = [r for r in e if r.label == "a"]
+    assert len(a) == 6  # one row of its only parent, and both rows drawn again
+
+
+def test_windowed_counts_batch_and_stream(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 01:10:00"), ("a", "2024-01-01 06:00:00")]
+    df = spark.createDataFrame(rows, "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = {("a", 2), ("b", 1), ("a", 1)}
+    assert {(r.k, r.n) for r in crossing.windowed_counts(df, "ts", "k").collect()} == want
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = crossing.windowed_counts(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in"), "ts", "k")
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.k, r.n) for r in spark.table("counts").collect()} == want
+
+
+def test_exemplar_minimum_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 6))
+    rows = spark.createDataFrame([(i, "abc"[i % 3], v) for i, v in enumerate(x.tolist())] + [(500, "a", None)], "id long, label string, v array<double>")
+    got = {(r.id, r.cls): r.dist2 for r in similarity.exemplar_min(rows.filter("id % 10 = 0"), rows, "id", "label", "v", block=16).collect()}
+    want = {(i, c): min(((x[i] - x[j]) ** 2).sum() for j in range(120) if "abc"[j % 3] == c) for i in range(0, 120, 10) for c in "abc"}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_local_folder_is_refused_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quern.operators import graph
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
