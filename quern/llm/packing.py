@@ -101,7 +101,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
 def price_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int, bound: np.ndarray) -> np.ndarray:
     """Knapsack by dynamic programming: counts of each size within capacity that maximise the summed prices."""
     best = np.zeros(capacity + 1)
-    take: list[tuple[int, int, np.ndarray]] = []
+    take: list[tuple[int, int, int, np.ndarray]] = []
     for i in np.argsort(-sizes):
         left, step = int(min(bound[i], capacity // sizes[i])), 1
         while left > 0:  # binary splitting of the bound
@@ -111,25 +111,23 @@ def price_configuration(sizes: np.ndarray, prices: np.ndarray, capacity: int, bo
                 break
             with_it = best[: capacity + 1 - w] + prices[i] * k
             better = with_it > best[w:] + 1e-15
-            if better.any():
-                mask = np.zeros(capacity + 1, bool)
-                mask[w:] = better
-                take.append((int(i), k, mask))
-                best[w:] = np.where(better, with_it, best[w:])
+            take.append((int(i), k, w, better))
+            np.copyto(best[w:], with_it, where=better)
             left, step = left - k, step * 2
     counts, room = np.zeros(len(sizes), np.int64), capacity
-    for i, k, mask in reversed(take):
-        if mask[room]:
+    for i, k, w, better in reversed(take):
+        if room >= w and better[room - w]:
             counts[i] += k
-            room -= int(sizes[i]) * k
+            room -= w
     return counts
 
 
-def linear_program(need: dict[int, int], capacity: int, least: float = 1 / 32, among: int = 96, eps: float = 0.3) -> Iterator[tuple[dict[int, int], int, dict[int, int]]]:
+def linear_program(need: dict[int, int], capacity: int, least: float = 1 / 32, among: tuple[int, ...] = (48, 192), eps: float = 0.3) -> Iterator[tuple[dict[int, int], int, dict[int, int]]]:
     """Configurations, the whole times each is used, and what is then left of each length.
 
     Prices start at the lengths (over capacity: a feasible dual, whose value is tokens / capacity) and fall by
-    exp(-eps * served share). A knapsack among the least served lengths, or else all, gives each round's configuration.
+    exp(-eps * served share). A knapsack gives each round's configuration, among `among` lengths, the half of them the least
+    served and the others of chance, or else more, or else all.
     Only full ones are used, which are tight in the dual (gap 0), as often as no length is served over; rounds go on
     while there is one and more than `least` of the pieces are left.
     """
@@ -140,7 +138,8 @@ def linear_program(need: dict[int, int], capacity: int, least: float = 1 / 32, a
         open_ = np.flatnonzero(rest)
         served = 1 - rest / whole
         order = open_[np.lexsort((rng.random(len(open_)), np.floor(served[open_] * 8)))]
-        for own in (order[:among], order) if len(order) > among else (order,):
+        chance = rng.permutation(order)
+        for own in (*(np.union1d(order[: k // 2], chance[: k // 2]) for k in among if k < len(order)), order):
             weight = np.exp(-eps * served[own]) * (1 + sizes[own] / capacity)  # long pieces first
             counts = price_configuration(sizes[own], sizes[own] * (1 + weight / (4 * capacity)), capacity, rest[own])
             full = counts @ sizes[own] == capacity  # the weights only choose among the fullest
