@@ -26,16 +26,19 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialise, small_batches
 
 MARK = "▁"
-#: Number signs that regular expressions count as word characters; they are no letters.
-_SIGNS = re.escape("".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
-_WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,64}}")
+_WORD = re.compile(r"[^\W\d_]{1,64}")
 _FLOOR = 1e-7
 #: Words whose scores a worker remembers before it starts anew, and characters scored at a time.
 _CACHE, _CHUNK = 150_000, 500_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in stretches of at most 64."""
+    words = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    # Number signs such as fractions are word characters to regular expressions, but no letters.
+    return [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -224,6 +227,7 @@ def train(docs: DataFrame, vocab_path: str, rows_per_language: int = 1500, round
     if not languages:
         return Model([], pieces, np.zeros((len(pieces), 0)))
     share = spark.createDataFrame([(k, min(1.0, rows_per_language / n)) for k, n in sizes.items()], "lang string, share double")
+    share = F.broadcast(share) if len(sizes) <= 10_000 else share  # one row a language
     chosen = rows.withColumn("lang", F.col("lang").cast("string")).join(share, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
