@@ -205,11 +205,12 @@ def weighted_running_mean(spark, sf):
 TEXTS = "CASE doc_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN ' FALSE' WHEN 2 THEN '1.0' WHEN 3 THEN '2.5' WHEN 4 THEN 'nan' WHEN 5 THEN '' WHEN 6 THEN 'x1' ELSE doc_id::STRING END"
 
 
-@query(f"SELECT doc_id, CASE lower(trim(t)) WHEN 'true' THEN true WHEN 'false' THEN false END AS as_truth, CASE WHEN isfinite(try_cast(t AS DOUBLE)) THEN try_cast(t AS DOUBLE) END AS as_number, CASE WHEN isfinite(try_cast(t AS DOUBLE)) AND try_cast(t AS DOUBLE) = floor(try_cast(t AS DOUBLE)) THEN try_cast(t AS DOUBLE)::BIGINT END AS as_whole FROM (SELECT doc_id, {TEXTS} AS t FROM documents)")
+@query(f"SELECT doc_id, coalesce(CASE lower(trim(t)) WHEN 'true' THEN 'yes' WHEN 'false' THEN 'no' END, 'none') AS as_truth, coalesce(x, -1) AS as_number, coalesce(CASE WHEN x = floor(x) THEN x::BIGINT END, -1) AS as_whole FROM (SELECT doc_id, t, CASE WHEN isfinite(try_cast(t AS DOUBLE)) THEN try_cast(t AS DOUBLE) END AS x FROM (SELECT doc_id, {TEXTS} AS t FROM documents))")
 def strict_coercion(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.expr(TEXTS.replace("::STRING", "").replace("ELSE doc_id", "ELSE cast(doc_id AS string)")).alias("t"))
     t = F.col("t")
-    return d.select("doc_id", governance.truth(t, False).alias("as_truth"), governance.finite(t, False).alias("as_number"), governance.whole(t, False).alias("as_whole"))
+    truth = governance.truth(t, False)
+    return d.select("doc_id", F.when(truth, "yes").when(~truth, "no").otherwise("none").alias("as_truth"), F.coalesce(governance.finite(t, False), F.lit(-1.0)).alias("as_number"), F.coalesce(governance.whole(t, False), F.lit(-1).cast("long")).alias("as_whole"))
 
 
 @query(f"{B_SQL} SELECT vec_id, 'rapt' AS model, truth AS target_index, pred AS prediction_label FROM p UNION ALL SELECT vec_id, 'resnet', truth, pred FROM pb")
