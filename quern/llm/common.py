@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.graph import components, discard, materialise, shared_dir, star_edges
 
-__all__ = ["NULL_ID", "components", "discard", "doc_keys", "fresh", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
+__all__ = ["NULL_ID", "components", "discard", "doc_keys", "fresh", "hot_keys", "join_hot", "materialise", "public_id", "shared_dir", "small_batches", "star_edges"]
 
 #: Stands for a null id inside joins; sorts before all other ids.
 NULL_ID = -(1 << 63)
@@ -43,6 +43,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key is hot if it has more than SALTS rows and over one HOT-th of all, so fewer than HOT keys are hot.
+HOT, SALTS = 1_024, 64
+
+
+def hot_keys(counts: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """The hot keys of `counts`, which hold each key once with its number of rows. counts are read twice: pass a written table."""
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return counts.filter((F.col(count) > SALTS) & (F.col(count) * HOT > total)).select(key)
+
+
+def join_hot(rows: DataFrame, labels: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with labels, which hold each key once, so that no task meets all rows of a hot key.
+
+    The hot keys, fewer than HOT, are broadcast. Their rows are dealt over SALTS tasks by a hash of the columns `spread`,
+    and each task has a copy of the label. Null keys match nothing.
+    """
+    salt, heat = fresh(rows, "salt", "heat")
+    hot = F.broadcast(hot.withColumn(heat, F.lit(True)))
+    deal = F.when(F.col(heat), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col(heat), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn(salt, deal).drop(heat)
+    right = labels.join(hot, key, "left").withColumn(salt, F.explode(copies)).drop(heat)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def public_id(col) -> F.Column:
     """The id as given: null again where it was null."""
     return F.nullif(col, F.lit(NULL_ID))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, doc_keys, materialise, public_id, small_batches
+from quern.llm.common import discard, doc_keys, hot_keys, join_hot, materialise, public_id, small_batches
 
 #: Words that a task handles at a time, and different words it remembers.
 _CHUNK, _CACHE = 100_000, 150_000
@@ -245,11 +245,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5, keys: boo
         raise ValueError("window must be 2 to 31 words")  # a window's place in its anchor's mask is one bit of an int
     keyed = doc_keys(small_batches(docs))
     picked = materialise(keyed.mapInArrow(_pick(window, rounds), "name long, _id long, _h long, base int, mask int"), "anchors")
-    shared = materialise(picked.groupBy("name").count().filter("count > 1").select("name"), "shared")
+    shared = materialise(picked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     digest = keyed.filter("_text is not null").select(F.unhex(F.sha2("_text", 256)).alias("d"), "_id", "_h")
-    groups = digest.groupBy("d").agg(F.min(F.struct("_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "m")
-    copies = materialise(digest.join(groups, "d").filter(F.struct("_id", "_h") != F.col("m")).select("_id", "_h").distinct(), "copies")
-    near = picked.join(shared, "name").groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
+    groups = digest.groupBy("d").agg(F.min(F.struct("_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = materialise(groups, "groups")
+    copies = materialise(join_hot(digest, groups.drop("n"), "d", hot_keys(groups, "d"), ["_id", "_h"]).filter(F.struct("_id", "_h") != F.col("m")).select("_id", "_h").distinct(), "copies")
+    near = join_hot(picked, shared.drop("n"), "name", hot_keys(shared, "name"), ["_id", "_h", "base"]).groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
     near = materialise(near.join(copies, ["_id", "_h"], "left_anti"), "candidates")
     discard(picked, shared)
     keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b int, _id long, _h long, start int")

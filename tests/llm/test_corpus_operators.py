@@ -623,3 +623,17 @@ def test_encoder_equals_tokenizer_over_many_scripts():
         assert mine.encode(text) == real.encode(text, add_special_tokens=False).ids
 
     same()
+
+
+def test_join_hot_equals_join(spark):
+    keys = ["hot"] * 700 + [f"k{i % 300}" for i in range(1400)] + [None] * 20
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k string").repartition(5)
+    labels = common.materialise(rows.filter("k is not null and k <> 'k7'").groupBy("k").agg(F.count(F.lit(1)).alias("n")), "labels")
+    hot = common.hot_keys(labels, "k")
+    assert [r.k for r in hot.collect()] == ["hot"]
+    for how in ("inner", "left"):
+        got = common.join_hot(rows, labels, "k", hot, ["id"], how)
+        assert got.columns == ["k", "id", "n"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(labels, "k", how).collect()))
+    none = labels.limit(0)
+    assert common.hot_keys(none, "k").isEmpty() and common.join_hot(rows, none, "k", common.hot_keys(none, "k"), ["id"]).isEmpty()
