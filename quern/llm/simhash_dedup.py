@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, components, materialise, small_batches, star_edges
+from quern.llm.common import NULL_ID, components, hot_keys, join_hot, materialise, small_batches, star_edges
 
 _CHUNK = 65_536
 
@@ -166,19 +166,19 @@ def trie_edges(codes: DataFrame, budget: int = 2, leaf: int = 2048, step: int =
 
 
 def _groups(classes: DataFrame, budget: int, leaf: int) -> DataFrame:
-    """classes (distinct fp, least) with root, the same for linked fingerprints."""
+    """classes (distinct fp, least, perhaps more) with root, the same for linked fingerprints."""
     classes = materialise(classes, "classes")
     roots = components(trie_edges(classes, budget, leaf))
-    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id of its linked group) of every row."""
     prints = materialise(fingerprints(docs).drop("_h"), "prints")
-    whole = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), budget, leaf)
+    whole = _groups(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), budget, leaf)
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialise(whole.join(least, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = materialise(whole.join(least, "root").select("fp", "n", "component_id"), "labels")
+    return join_hot(prints, labels.drop("n"), "fp", hot_keys(labels, "fp"), ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, budget: int = 2, leaf: int = 2048) -> DataFrame:
