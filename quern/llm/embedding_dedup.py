@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import components, materialise, star_edges
+from quern.llm.common import components, hot_keys, join_hot, materialise, star_edges
 
 
 @dataclass
@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, target_recall: f
     labels = distinct.select("v", "rep", "n", "node").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = labels.join(least, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
-    linked = rows.filter("v is not null").join(labels, "v").select("id", "n_links", "component_id")
+    linked = join_hot(rows.filter("v is not null"), labels, "v", hot_keys(distinct, "v"), ["id"]).select("id", "n_links", "component_id")
     alone = rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
