@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, shared_dir
+from quern.llm.common import hot_keys, join_hot, materialise, shared_dir
 
 CRLF = "\r\n"
 
@@ -43,10 +43,11 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes:
     rows = pages.select("page_id", F.col("url").alias("url"), (F.lit(date) if isinstance(date, str) else date).cast("string").alias("date"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("page_id", "url", "date", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("check"), "payload")
     slim = rows.drop("payload", "url", "date")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min("bytes").alias("b0"), F.max("bytes").alias("b1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min("bytes").alias("b0"), F.max("bytes").alias("b1"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.count(F.lit(1)).alias("n"))
     # Equal digests must be equal bytes: length and a second hash agree over the whole group.
-    first = first.select("digest", "first_id", F.assert_true((F.col("b0") == F.col("b1")) & (F.col("c0") == F.col("c1")), "two payloads share a digest").alias("ok"), "b0").filter("ok is null").drop("ok")
-    joined = rows.drop("check", "payload").join(first.drop("b0"), "digest")
+    first = first.select("digest", "first_id", F.assert_true((F.col("b0") == F.col("b1")) & (F.col("c0") == F.col("c1")), "two payloads share a digest").alias("ok"), "n").filter("ok is null").drop("ok")
+    first = materialise(first, "first")
+    joined = join_hot(rows.drop("check", "payload"), first.drop("n"), "digest", hot_keys(first, "digest"), ["page_id", "url"])
     response = (F.col("bytes") < min_revisit_bytes) | F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(response, "response").otherwise("revisit")
     header = F.concat(
@@ -74,7 +75,8 @@ def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
     records, payloads = spark.read.parquet(archive.records), spark.read.parquet(archive.payloads)
     text = F.decode("header", "UTF-8")
     wants = records.withColumn("want", F.when(_field(text, "WARC-Type") == "response", F.col("digest")))
-    rows = wants.join(payloads.withColumnRenamed("digest", "want"), "want", "left")
+    counts = materialise(wants.filter("want is not null").groupBy("want").agg(F.count(F.lit(1)).alias("n")), "wanted")
+    rows = join_hot(wants, payloads.withColumnRenamed("digest", "want"), "want", hot_keys(counts, "want"), ["page_id", "header"], "left")
     body = F.when(F.col("want").isNull(), F.lit(b"")).otherwise(F.coalesce("payload", F.raise_error(F.lit("a payload is missing")).cast("binary")))
     return rows.select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
@@ -102,6 +104,7 @@ def read_archive(spark: SparkSession, archive: Archive, with_payload: bool = Fal
     parsed = parse_records(read_records(spark, archive))
     parsed = parsed.select("page_id", "record_type", "refers_to", F.when(F.col("body_ok"), F.col("digest")).otherwise(F.raise_error(F.lit("a record is damaged")).cast("string")).alias("digest"), F.octet_length("body").cast("long").alias("own_bytes"))
     parsed = materialise(parsed, "captures")
-    held = parsed.filter("record_type = 'response'").groupBy("digest").agg(F.min("own_bytes").alias("payload_bytes"))
-    out = parsed.join(held, "digest", "left").select("page_id", "record_type", "refers_to", "digest", F.coalesce("payload_bytes", F.raise_error(F.lit("a revisit has no response")).cast("long")).alias("payload_bytes"))
+    held = parsed.groupBy("digest").agg(F.min(F.when(F.col("record_type") == "response", F.col("own_bytes"))).alias("payload_bytes"), F.count(F.lit(1)).alias("n"))
+    held = materialise(held, "held")
+    out = join_hot(parsed, held.drop("n"), "digest", hot_keys(held, "digest"), ["page_id"], "left").select("page_id", "record_type", "refers_to", "digest", F.coalesce("payload_bytes", F.raise_error(F.lit("a revisit has no response")).cast("long")).alias("payload_bytes"))
     return out.join(spark.read.parquet(archive.payloads), "digest") if with_payload else out
