@@ -250,7 +250,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 5, keys: boo
     groups = digest.groupBy("d").agg(F.min(F.struct("_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = materialise(groups, "groups")
     copies = materialise(join_hot(digest, groups.drop("n"), "d", hot_keys(groups, "d"), ["_id", "_h"]).filter(F.struct("_id", "_h") != F.col("m")).select("_id", "_h").distinct(), "copies")
-    near = join_hot(picked, shared.drop("n"), "name", hot_keys(shared, "name"), ["_id", "_h", "base"]).groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
+    hot = F.broadcast(hot_keys(shared, "name"))  # anchors of hot symbols are known to be shared without meeting in a task
+    near = picked.join(hot, "name", "left_anti").join(shared.drop("n"), "name").unionByName(picked.join(hot, "name", "left_semi"))
+    near = near.groupBy("_id", "_h").agg(F.collect_list("base").alias("bases"), F.collect_list("mask").alias("masks"))
     near = materialise(near.join(copies, ["_id", "_h"], "left_anti"), "candidates")
     discard(picked, shared)
     keys = keyed.join(near, ["_id", "_h"]).select("_id", "_h", "_text", "bases", "masks").mapInArrow(_verify(window), "a long, b int, _id long, _h long, start int")
