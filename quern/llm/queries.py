@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, embedding_dedup, html_text, language_id, packing, sharding, simhash_dedup, substring_dedup, url_filter, warc
+from quern.llm import chat_format, decontaminate, embedding_dedup, html_text, language_id, lexical_search, merkle, packing, sharding, simhash_dedup, substring_dedup, url_filter, warc
+from quern.llm.common import materialise
 
 #: Where the public vocabularies lie; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -98,6 +99,35 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tampered() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    other = F.when(tampered() & F.col("text").contains("\n"), leaf(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    found = merkle.build(docs.select(merkle.group_key(F.col("source")).alias("tree"), F.col("doc_id").alias("id"), leaf(F.col("text")).alias("digest"), other.alias("other")))
+    out = merkle.prove(found).withColumn("folded_root", merkle.fold(F.coalesce("other", "digest"), F.col("path")))
+    proof = F.sha2(F.array_join("path", "").cast("binary"), 256)
+    root = F.lit(found.root).cast("string")
+    return out.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The conversation that every run of op13 adds to the table.
+CONFLICT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame(CONFLICT, "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(materialise(chat_format.format_conversations(rows.unionByName(more)), "chat"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -109,6 +139,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_chat_format": op13_chat_format,
 }
 
 _WORDS6 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -164,4 +197,36 @@ h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, range(13) t(j) WHERE
 t AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE poly AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(k))),
+d AS (SELECT doc_id, source, lang, n_chars, text, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]))) % 2 = 0 AS bad FROM documents, poly),
+f AS (SELECT *, CASE WHEN bad THEN replace(text, chr(10), '') ELSE text END AS other FROM d),
+l AS (SELECT doc_id, source, sha256(h || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf, sha256(h || coalesce(strlen(other)::VARCHAR || ':' || other, '-')) AS seen,
+ row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+ FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS h FROM f)),
+a AS (SELECT source, 0 AS level, i, n, leaf AS x FROM l UNION ALL SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(x, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY source, level, i // 3, n),
+s AS (SELECT source, x, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS level, i, n, x FROM s UNION ALL SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(x, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY level, i // 3, n),
+g AS (SELECT source, level, i // 3 AS run, list(x ORDER BY i) AS xs FROM a WHERE n > 1 GROUP BY ALL),
+k AS (SELECT level, i // 3 AS run, list(x ORDER BY i) AS xs FROM b WHERE n > 1 GROUP BY ALL),
+p AS (SELECT doc_id, g.level, (l.i // (3 ** g.level)::BIGINT) % 3 AS o, xs FROM l JOIN g ON g.source IS NOT DISTINCT FROM l.source AND g.run = l.i // (3 ** (g.level + 1))::BIGINT
+ UNION ALL SELECT doc_id, 1000 + k.level, (s.i // (3 ** k.level)::BIGINT) % 3, xs FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN k ON k.run = s.i // (3 ** (k.level + 1))::BIGINT),
+q AS (SELECT doc_id, list({'l': array_to_string(xs[1:o], ''), 'r': array_to_string(xs[o + 2:], '')} ORDER BY level) AS steps FROM p GROUP BY doc_id),
+c AS (SELECT l.doc_id, leaf, s.x AS subroot, (SELECT x FROM b WHERE n = 1) AS root, coalesce(steps, []) AS steps, seen FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN q ON q.doc_id = l.doc_id),
+z AS (SELECT *, list_reduce([{'l': '', 'r': seen}] || steps, lambda v, w: {'l': '', 'r': sha256(w.l || v.r || w.r)}).r AS folded_root FROM c)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda w: w.l || w.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM z""",
+    "op12_lexical_search": rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS6}, []) AS w FROM documents),
+g AS (SELECT count(*) AS all_docs, sum(len(w))::BIGINT AS all_terms FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(coalesce({_WORDS6}, [])) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_docs) // all_terms))))::BIGINT AS score FROM q JOIN f USING (term) JOIN v USING (term), g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_chat_format": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(k)),
+e AS (SELECT *, length('### ' || role || ': ' || regexp_replace(regexp_replace(text, '(\\*)({chat_format.CONTROL})', '\1\1\\\2', 'g'), '(\\+)$', '\1\1') || '</turn>' || chr(10)) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
 }
