@@ -65,12 +65,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-#: Bytes of text in a shard of the registered query.
-SHARD_BYTES = 16 << 20
+#: Bytes of text in a shard of the registered query, at most, and the number of shards that a table is worth at least.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 
 
-def op5_sharding(spark: SparkSession, sf_dir: str, limit: int = SHARD_BYTES) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), limit).drop("text")
+def op5_sharding(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    total = 0 if limit else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return sharding.shard(docs, limit or min(SHARD_BYTES, max(1, total // LEAST_SHARDS))).drop("text")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +149,7 @@ QUERIES = {
 _WORDS6 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-def sharding_sql(limit: int) -> str:
+def sharding_sql(limit: int | str) -> str:
     return f"""
 WITH k AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key, coalesce(strlen(text), 0)::BIGINT AS b FROM documents),
 s AS (SELECT d, key >> (60 - d) AS p, sum(b)::BIGINT AS b, count(*) AS n FROM k, range(61) t(d) GROUP BY ALL),
@@ -185,7 +187,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
 SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN octet_length(b) < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
 CASE WHEN octet_length(b) < 100 OR page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
-    "op5_sharding": sharding_sql(SHARD_BYTES),
+    "op5_sharding": sharding_sql(f"(SELECT least({SHARD_BYTES}, greatest(1, sum(b) // {LEAST_SHARDS})) FROM k)"),
     "op6_decontamination": rf"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS6}, []) AS w FROM documents),
 b AS (SELECT item_id, coalesce({_WORDS6}, []) AS w FROM benchmark),

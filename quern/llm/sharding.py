@@ -1,7 +1,7 @@
 """Extendible hashing: a directory indexed by hash-prefix bits in which only oversized buckets split on another bit.
 
 Rows are keyed by the first 60 bits of md5(id). The directory starts as one bucket; a bucket over the byte limit
-splits on its next bit until it fits. Byte sums are pre-aggregated by prefix, so no row moves while the directory
+splits on its next bit until it fits. A bucket without rows is not listed. Byte sums are pre-aggregated by prefix, so no row moves while the directory
 grows, and each later round reads only the rows still in oversized buckets. A bucket whose rows share all 60 bits
 (repeats of one id, or one row over the limit) cannot be split; it stays and is flagged.
 
@@ -49,22 +49,25 @@ def directory(sized: DataFrame, limit: int, step: int = 12) -> DataFrame:
         depth = deep
 
 
+def middle_depth(buckets: dict[int, int]) -> int:
+    """The greatest depth at which buckets (their number by depth), listed under each of their prefixes of that depth, are at most doubled."""
+    entries = lambda middle: sum(n << max(0, middle - depth) for depth, n in buckets.items())
+    middle = min(buckets, default=0)
+    while middle < BITS and entries(middle + 1) <= 2 * sum(buckets.values()):
+        middle += 1
+    return middle
+
+
 def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, and shard (prefix bits as text), shard_depth, shard_bytes, shard_rows, oversized.
 
-    Buckets partition the key space. Rows meet them on the prefix of a middle depth, at which half of the buckets are at
-    most that deep: shallower buckets are listed under each of their prefixes (never more than there are prefixes), deeper
-    ones under their own, and the key's range decides. So one oversized row, whose bucket lies 60 bits deep, lengthens
-    the list of its own prefix only.
+    Buckets partition the key space. Rows meet them on the prefix of a middle depth: deeper buckets are listed under their
+    own prefix of that depth, shallower ones under each of theirs, and the key's range decides. The middle is the greatest
+    depth at which that list is no more than twice the number of buckets, which are at most the rows.
     """
     sized = docs.select(key_bits(F.col(id_col)).alias("key"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     buckets = directory(sized, limit)
-    per_depth = sorted((r["depth"], r["count"]) for r in buckets.groupBy("depth").count().collect())  # at most 61 rows
-    seen, middle, total = 0, 0, sum(n for _, n in per_depth)
-    for middle, n in per_depth:
-        seen += n
-        if 2 * seen >= total:
-            break
+    middle = middle_depth({r["depth"]: r["count"] for r in buckets.groupBy("depth").count().collect()})  # at most 61 rows
     first = F.expr(f"shiftleft(shiftrightunsigned(prefix, depth - least(depth, {middle})), {middle} - least(depth, {middle}))")
     listed = buckets.select(
         F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {middle} - least(depth, {middle})) - 1"))).alias("near"),

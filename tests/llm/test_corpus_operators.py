@@ -625,6 +625,26 @@ def test_encoder_equals_tokenizer_over_many_scripts():
     same()
 
 
+@pytest.mark.parametrize("large,small", [(2, 1), (30, 20), (40, 0), (0, 50)])
+def test_sharding_with_many_oversized_rows(spark, tmp_path, large, small):
+    import duckdb
+
+    rows = [(i, "x" * 500) for i in range(large)] + [(1000 + i, "y" * (1 + i % 7)) for i in range(small)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want, got = con.sql(queries.sharding_sql(100)), queries.op5_sharding(spark, f"file://{tmp_path}", 100)
+    assert sorted(map(str, map(tuple, got.select(want.columns).collect()))) == sorted(map(str, want.fetchall()))
+    assert got.filter("oversized").count() == large
+
+
+def test_sharding_lists_at_most_twice_the_buckets():
+    for buckets in ({}, {0: 1}, {60: 5}, {5: 10, 60: 11}, {1: 1, 60: 1}, {20: 10**6, 21: 3, 60: 10**6}, {3: 2, 4: 8, 9: 1}):
+        middle = sharding.middle_depth(buckets)
+        assert sum(n << max(0, middle - d) for d, n in buckets.items()) <= 2 * sum(buckets.values())
+    assert sharding.middle_depth({60: 5}) == 60 and sharding.middle_depth({20: 10**6, 60: 10**6}) == 21
+
+
 def test_join_hot_equals_join(spark):
     keys = ["hot"] * 700 + [f"k{i % 300}" for i in range(1400)] + [None] * 20
     rows = spark.createDataFrame(list(enumerate(keys)), "id long, k string").repartition(5)
