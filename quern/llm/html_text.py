@@ -1,7 +1,8 @@
 """HTML extraction by layout-aware rendering.
 
-A tree builder applies the implied end tags of HTML; visibility rules drop elements that a browser would not show;
-a renderer writes every visible text in order, with blank lines around blocks, list markers, preformatted text kept,
+A tokenizer reads each character a bounded number of times; what is unfinished at the end of the page (a tag, a comment) is
+dropped, as browsers do. A tree builder applies the implied end tags of HTML; visibility rules drop elements that a browser
+would not show (`visibility` is inherited and may be turned back on inside; a closed `details` shows its summary); a renderer writes every visible text in order, with blank lines around blocks, list markers, preformatted text kept,
 and the cells of data tables padded to the width of their columns.
 
 Neither builder nor renderer recurses with the nesting, and what they write is bounded by a small factor of the page:
@@ -10,6 +11,7 @@ Neither builder nor renderer recurses with the nesting, and what they write is b
 - a table that holds another table is a layout table, whose cells are blocks one below the other;
 - in a data table, cells wider than `ALIGN` columns neither widen their column nor are padded, and a cell that spans
   columns is padded to at most four times that;
+- a cell that spans rows keeps its columns free in the next rows, for `ROWS` rows at most;
 - a row in which a cell has several lines writes its cells one below the other.
 
 Null and empty pages give an empty text. Malformed declarations are comments, as browsers read them; numbers of more than
@@ -20,8 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
-from html.parser import HTMLParser
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,33 +45,109 @@ IMPLIED = {
     "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}),
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Elements whose content is text up to their end tag: without and with character references.
+RAW, RAW_REFS = frozenset("script style xmp iframe noembed noframes".split()), frozenset("title textarea".split())
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\t\n\r\f />]*)|(!--)|[!?]|/(?=.))", re.S)
+_GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[\t\n\r\f /]*", r"[^\t\n\r\f />][^\t\n\r\f />=]*", r"[\t\n\r\f ]*=[\t\n\r\f ]*", r"[^\t\n\r\f >]+"))
+_COMMENT_END = re.compile("--!?>")
 _SPACE = re.compile("[ \t\n\r\f]+")
 _NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
-#: Layout bounds in columns.
-INDENT, ALIGN = 40, 40
+#: Layout bounds in columns, and rows that a cell can span.
+INDENT, ALIGN, ROWS = 40, 40, 32
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "nested", "tag")
+    """`ghost`: keeps its place, but its own texts are not shown (`visibility`)."""
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs, self.kids, self.nested = tag, attrs, [], False
+    __slots__ = ("attrs", "ghost", "kids", "nested", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str | None], ghost: bool = False) -> None:
+        self.tag, self.attrs, self.kids, self.nested, self.ghost = tag, attrs, [], False, ghost
+
+    def style(self, name: str) -> str | None:
+        """What the element's own style says of a property, last."""
+        own = self.attrs.get("style")
+        return {k.lower(): v.lower() for k, v in _STYLE.findall(own)}.get(name) if own else None
 
     def number(self, name: str, default: int) -> int:
         found = _NUMBER.match(self.attrs.get(name) or "")
         return int(found[1]) if found else default
 
 
-class Builder(HTMLParser):
+def tokens(html: str) -> Iterator[tuple[str, str, list]]:
+    """("text", data, []), ("start", tag, attributes) and ("end", tag, []) in order.
+
+    Every step goes on where the last one stopped, and what has no end runs to the end of the page, so time is linear.
+    """
+    at, begin, n = 0, 0, len(html)
+    while (at := html.find("<", at)) >= 0:
+        found = _TAG.match(html, at)
+        if not found:
+            at += 1
+            continue
+        if begin < at:
+            yield "text", unescape(html[begin:at]), []
+        tag, begin = found[2], n
+        if not tag:
+            end = _COMMENT_END.search(html, at + 2) if found[3] else None
+            stop = end.end() if end else 0 if found[3] else html.find(">", at + 1) + 1
+            if not stop:
+                return
+            at = begin = stop
+            continue
+        at, attrs, tag = found.end(), [], tag.lower()
+        while True:
+            at = _GAP.match(html, at).end()
+            if at >= n:
+                return
+            if html[at] == ">":
+                break
+            name = _NAME.match(html, at)
+            equals, value = _EQUALS.match(html, name.end()), None
+            at = equals.end() if equals else name.end()
+            if equals and html[at : at + 1] in ('"', "'"):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return
+                value, at = html[at + 1 : end], end + 1
+            elif equals:
+                bare = _BARE.match(html, at)
+                value, at = (bare[0], bare.end()) if bare else ("", at)
+            attrs.append((name[0].lower(), unescape(value) if value else value))
+        at = begin = at + 1
+        if found[1]:
+            yield "end", tag, []
+            continue
+        yield "start", tag, attrs
+        if tag in RAW or tag in RAW_REFS:
+            end = re.compile(rf"</{tag}(?=[\t\n\r\f />])", re.I).search(html, at)
+            stop = end.start() if end else n
+            if at < stop:
+                yield "text", html[at:stop] if tag in RAW else unescape(html[at:stop]), []
+            at = begin = stop
+    if begin < n:
+        yield "text", unescape(html[begin:]), []
+
+
+class Builder:
     """The tree of a page. `at` holds the places of the open elements by tag, so that no step walks the open elements."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
         self.at: dict[str, list[int]] = {}
 
+    def feed(self, html: str) -> Node:
+        for kind, what, attrs in tokens(html):
+            if kind == "text":
+                self.handle_data(what)
+            elif kind == "start":
+                self.handle_starttag(what, attrs)
+            else:
+                self.handle_endtag(what)
+        return self.root
+
     def _last(self, tag: str) -> int:
         places = self.at.get(tag)
         return places[-1] if places else -1
@@ -98,7 +177,10 @@ class Builder(HTMLParser):
             self._end(*IMPLIED[tag])
         if self.open[-1].tag == "head" and tag in BLOCK:
             self._cut(len(self.open) - 1)
-        node = Node(tag, dict(reversed(attrs)))
+        node = Node(tag, dict(reversed(attrs)), self.open[-1].ghost)
+        own = node.style("visibility")
+        if own in ("visible", "hidden", "collapse"):
+            node.ghost = own != "visible"
         self.open[-1].kids.append(node)
         if tag == "table" and self._last("table") > 0:
             self.open[self._last("table")].nested = True
@@ -106,9 +188,6 @@ class Builder(HTMLParser):
             self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag: str) -> None:
         i = self._last(tag)
         if i < 0:
@@ -118,14 +197,8 @@ class Builder(HTMLParser):
             self._cut(i)
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].kids.append(data)
-
-    def parse_html_declaration(self, i: int) -> int:
-        """`<!--` opens a comment; any other declaration ends at the next `>`."""
-        if self.rawdata.startswith("<!--", i):
-            return self.parse_comment(i)
-        end = self.rawdata.find(">", i + 2)
-        return end + 1 if end >= 0 else -1
+        if not self.open[-1].ghost:
+            self.open[-1].kids.append(data)
 
 
 def visible(node: Node) -> bool:
@@ -133,8 +206,31 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "input" and node.attrs.get("type") == "hidden":
         return False
-    style = node.attrs.get("style")
-    return not (style and _STYLE.search(style))
+    return node.style("display") != "none"
+
+
+def _shown(node: Node) -> list:
+    """The kids of an element that is visible: of a closed `details` only the summary."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [k for k in node.kids if not isinstance(k, str) and k.tag == "summary"][:1]
+    return node.kids
+
+
+def _marker(number: int, kind: str | None) -> str:
+    """A list number as decimal, letters or Roman figures; what these cannot write is decimal."""
+    if kind in ("a", "A") and number > 0:
+        out = ""
+        while number:
+            number, digit = divmod(number - 1, 26)
+            out = chr(97 + digit) + out
+        return out if kind == "a" else out.upper()
+    if kind in ("i", "I") and 0 < number < 4000:
+        out = ""
+        for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+            out += sign * (number // value)
+            number %= value
+        return out if kind == "i" else out.upper()
+    return str(number)
 
 
 def _width(text: str) -> int:
@@ -232,34 +328,51 @@ def _rows(table: Node) -> tuple[list, list[list]]:
 def _data_table(rows: list[list]) -> list[str]:
     """Aligned lines of a table without tables in it."""
     grid = []
-    for row in rows:
-        cells = []
+    busy: list[tuple[int, int, int]] = []  # columns that a cell from above holds: first, end, last row
+    for r, row in enumerate(rows):
+        cells, at = [], 0
+        busy = [x for x in busy if x[2] >= r]
+        held, new = iter([*busy, (1 << 60, 1 << 60, 0)]), []
+        block = next(held)
         for cell in row:
             own = Writer()
             _render([cell] if isinstance(cell, str) or cell.tag not in ("td", "th") else cell.kids, own)
-            cells.append((own.done(), min(1000, max(1, cell.number("colspan", 1))) if isinstance(cell, Node) else 1))
+            span, down = (min(1000, max(1, cell.number("colspan", 1))), cell.number("rowspan", 1)) if isinstance(cell, Node) else (1, 1)
+            while at >= block[0]:
+                at, block = max(at, block[1]), next(held)
+            cells.append((own.done(), span, at))
+            if down != 1:
+                new.append((at, at + span, r + (min(down, ROWS) if down > 0 else ROWS) - 1))
+            at += span
+        if new:
+            busy = sorted(busy + new)
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        at, plain = 0, all(len(lines) <= 1 for lines, _ in cells)
-        for lines, span in cells:
+        plain = all(len(lines) <= 1 for lines, _, _ in cells)
+        for lines, span, at in cells:
             if span == 1 and plain and lines:
                 wide = _width(lines[0])
                 widths[at] = max(widths.get(at, 0), wide if wide <= ALIGN else 0)
-            at += span
+    known = sorted(widths)
     out: list[str] = []
+
+    def blank(lo: int, hi: int) -> list[int]:
+        return [widths[k] for k in known[bisect_left(known, lo) : bisect_left(known, hi)] if widths[k]]
+
     for cells in grid:
-        if any(len(lines) > 1 for lines, _ in cells):
-            out += [line for lines, _ in cells for line in lines]
+        if any(len(lines) > 1 for lines, _, _ in cells):
+            out += [line for lines, _, _ in cells for line in lines]
             continue
-        at, line = 0, []
-        for lines, span in cells:
+        line, upto = [], 0
+        for lines, span, at in cells:
+            line += [" " * (w + 2) for w in blank(upto, at)]
             text = lines[0] if lines else ""
-            held = [widths[k] for k in range(at, at + span) if widths.get(k)]
-            wide = min(sum(held) + 2 * max(0, len(held) - 1), 4 * ALIGN)
+            held_ = blank(at, at + span)
+            wide = min(sum(held_) + 2 * max(0, len(held_) - 1), 4 * ALIGN)
             line.append(text + " " * max(0, wide - _width(text)) + "  ")
-            at += span
-        if any(lines for lines, _ in cells):
+            upto = at + span
+        if any(lines for lines, _, _ in cells):
             out.append("".join(line).rstrip())
     return out
 
@@ -293,10 +406,10 @@ def _render(kids: list, out: Writer) -> None:
         elif tag == "hr":
             out.end(1)
         elif tag == "img":
-            if x.attrs.get("alt"):
+            if x.attrs.get("alt") and not x.ghost:
                 out.text(x.attrs["alt"])
         elif tag == "input":
-            if x.attrs.get("type") in ("submit", "button", "reset") and x.attrs.get("value"):
+            if x.attrs.get("type") in ("submit", "button", "reset") and x.attrs.get("value") and not x.ghost:
                 out.text(f" {x.attrs['value']} ")
         elif tag == "table" and not x.nested:
             stray, rows = _rows(x)
@@ -314,15 +427,20 @@ def _render(kids: list, out: Writer) -> None:
             gap = 1 if lists else 2
             out.end(gap)
             todo.append((tag, gap, out.indent))
-            lists.append(x.number("start", 1) if tag == "ol" else None)
+            step = -1 if "reversed" in x.attrs else 1
+            first = 1 if step > 0 else sum(not isinstance(k, str) and k.tag == "li" for k in x.kids)
+            lists.append([x.number("start", first), step, x.attrs.get("type")] if tag == "ol" else None)
             todo += [k for k in reversed(x.kids) if not isinstance(k, str) or k.strip()]
         elif tag == "li":
             out.end(1)
             out.gap = min(out.gap, 1)
             mark = "- "
             if lists and lists[-1] is not None:
-                own = x.number("value", lists[-1])
-                mark, lists[-1] = f"{own}. ", own + 1
+                following, step, kind = lists[-1]
+                own = x.number("value", following)
+                mark, lists[-1][0] = f"{_marker(own, x.attrs.get('type') or kind)}. ", own + step
+            if x.ghost:
+                mark = " " * len(mark)
             todo.append(("li", 1, out.indent))
             out.indent += len(mark)
             out.mark = _mark(out.mark, mark)
@@ -346,7 +464,7 @@ def _render(kids: list, out: Writer) -> None:
             gap = 2 if tag in SPACED else 1
             out.end(gap)
             todo.append((tag, gap, out.indent))
-            todo += reversed(x.kids)
+            todo += reversed(_shown(x))
         else:
             todo += reversed(x.kids)
 
@@ -369,31 +487,11 @@ class _Lines(Node):
 def render(html: str | None) -> str:
     if not html:
         return ""
-    builder = Builder()
-    builder.feed(html)
-    builder.close()
     out = Writer()
-    _render(builder.root.kids, out)
+    _render(Builder().feed(html).kids, out)
     return "\n".join(out.done())
 
 
-def visible_words(html: str | None) -> list[str]:
-    """Reference for tests: the words of all visible text of the tree in order, without any layout."""
-    builder = Builder()
-    builder.feed(html or "")
-    builder.close()
-    out: list[str] = []
-    todo: list = [*reversed(builder.root.kids)]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out += x.split()
-        elif visible(x):
-            out += (x.attrs.get("alt") or "").split() if x.tag == "img" else []
-            todo += reversed(x.kids)
-    return out
-
-
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html column, and text."""
 
