@@ -542,7 +542,7 @@ def test_html_shows_exactly_the_visible_words():
         ("<details>no<summary>s</summary>no</details><details open>a<summary>s</summary></details>", "s\na\ns"),
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d<tr><td>e<td>f</table>", "a  b\n   c  d\ne  f"),
         ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
-        ("<ol type=a><li>x<li>y</ol><ol reversed><li>x<li>y</ol><ol type=I start=4><li>x</ol>", "a. x\nb. y\n\n2. x\n1. y\n\nIV. x"),
+        ("<ol type=a><li>x<li>y</ol><ol reversed><li>x<li>y</ol><ol type=I start=4><li>x</ol>", "a. x\nb. y\n2. x\n1. y\nIV. x"),
         ("a <b", "a"), ("a < b <3", "a < b <3"), ("a<!-- b", "a"), ("a<!-->b", "ab"), ("x</>y</ z>w", "xyw"), ("<a title='>' >b</a>", "b"), ("<textarea><b>&amp;</textarea>c", "<b>&\nc"), ("<title>a<p>b</title>c", "c"), ("a<br/>b", "a\nb"), ("a</", "a</"),
     ],
 )
