@@ -38,20 +38,22 @@ def local_maxima(df: DataFrame, by: list[str], at: str, value: str, threshold) -
     return t.filter((F.col(value) >= F.col("_p")) & (F.col(value) > F.col("_n")) & (F.col(value) >= threshold)).drop("_p", "_n")
 
 
-def suppress(peaks: DataFrame, by: list[str], at: str, value: str, gap: float) -> DataFrame:
-    """Greedy non-maximum suppression per group, highest first, ties to the smaller place. Sequential within a group: a group
-    is one page's or series' peaks."""
+def suppress(peaks: DataFrame, by: list[str], at: str, value: str, gap: float | str) -> DataFrame:
+    """Greedy non-maximum suppression per group, highest first, ties to the smaller place; gap: a number, or a column that is
+    the same within a group. A group is one page's or series' peaks. What is kept is filed by gaps, so each peak looks at three files."""
     columns = peaks.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
+        least = float(pdf[gap].iloc[0]) if isinstance(gap, str) else gap
+        kept: dict[int, list] = {}
         rows = []
-        for i in pdf.sort_values([value, at], ascending=[False, True]).index:
-            x = pdf.at[i, at]
-            if all(abs(x - k) >= gap for k in kept):
-                kept.append(x)
+        pdf = pdf.sort_values([value, at], ascending=[False, True])
+        for i, x in enumerate(pdf[at].tolist()):
+            file = math.floor(x / least)
+            if all(abs(x - k) >= least for f in (file - 1, file, file + 1) for k in kept.get(f, ())):
+                kept.setdefault(file, []).append(x)
                 rows.append(i)
-        return pdf.loc[rows, columns]
+        return pdf.iloc[rows][columns]
 
     return peaks.groupBy(*by).applyInPandas(run, peaks.schema)
 
