@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import audit, governance, graph, manifest, metrics, ordered, similarity, split
 from quern.plans.registry import B_SQL, C_SQL, E_SQL, P_SQL, R_SQL, S_SQL, SPLIT, codes, pred, query, r6, table
+from quern.sources import publish
 
 # Documents as a collection of files: the last of each four is a derivative of one of the three before it. Expressions of both engines.
 IDS = {
@@ -296,3 +299,33 @@ def audit_rollup(spark, sf):
     return audit.roll_up(ids.unionByName(rest)).select("check", "ok", "failed")
 
 
+def _tree_sql(parts: dict[str, tuple[str, str]]) -> str:
+    """(part, n_rows, sha256) by the three-level hash of the lines of each part: SELECT of lines, and their order."""
+    lines = " UNION ALL ".join(f"SELECT '{name}' AS part, row_number() OVER (ORDER BY {order}) - 1 AS i, line FROM ({rows})" for name, (rows, order) in parts.items())
+    level = lambda k: f"l{k + 1} AS (SELECT part, i // 1024 AS i, sha256(string_agg(line, chr(10) ORDER BY i)) AS line FROM l{k} GROUP BY part, i // 1024)"
+    return f"l0 AS ({lines}), {level(0)}, {level(1)} SELECT part, (SELECT count(*) FROM l0 WHERE l0.part = l2.part) AS n_rows, sha256(string_agg(line, chr(10) ORDER BY i)) AS sha256 FROM l2 GROUP BY part"
+
+
+_LINES = "SELECT *, doc_id || chr(9) || lang || chr(9) || split || chr(9) || h AS line FROM e"
+_PARTS = {"canonical": (_LINES, "split, doc_id")} | {f"{s}_manifest": (f"{_LINES} WHERE split = '{s}'", "split, doc_id") for s in ("train", "validation", "test")}
+_PARTS["class_distribution"] = ("SELECT lang, split, n, lang || chr(9) || split || chr(9) || n AS line FROM (SELECT lang, split, count(*) AS n FROM e GROUP BY ALL)", "lang, split")
+
+
+@query(f"WITH e AS (SELECT doc_id, coalesce(lang, '') AS lang, {SPLIT} AS split, sha256(coalesce(text, '')) AS h FROM documents), {_tree_sql(_PARTS)}")
+def published_experiment(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.expr(SPLIT).alias("split"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    rows = graph.materialise(rows, "experiment")
+    spread = rows.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+    audit_ = rows.groupBy("sha256").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("texts_in_two_splits"))
+    return publish.publish_experiment(spark, f"{graph.shared_dir(spark)}/quern-published-{uuid.uuid4().hex}", rows, ["split", "doc_id"], {"class_distribution": spread}, {"leakage_audit": audit_})
+
+
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'cached' ELSE 'written' END AS status, (SELECT count(DISTINCT doc_id) FROM documents) AS held FROM (SELECT DISTINCT doc_id FROM documents)")
+def resumed_cache(spark, sf):
+    docs, path = table(spark, sf, "documents").select("doc_id", "text"), f"{graph.shared_dir(spark)}/quern-cache-{uuid.uuid4().hex}"
+    work = lambda rows: rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.length("text").alias("chars"))
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    publish.append_missing(labelled, path, ["doc_id"], work)
+    status = publish.append_missing(docs, path, ["doc_id"], work)
+    held = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("held"))
+    return status.crossJoin(F.broadcast(held))  # one row

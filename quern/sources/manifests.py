@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """All columns as text, empty fields as ""."""
+    """All columns as text, empty fields as "". A byte-order mark at the start of a file is no part of its first column."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if columns:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
@@ -46,8 +46,10 @@ def checked(df: DataFrame, split: str, labels: DataFrame) -> DataFrame:
     return df
 
 
-def write_csv(df: DataFrame, path: str, on_empty: str = "write") -> None:
-    """on_empty: write (a header only), skip, or raise."""
+def write_csv(df: DataFrame, path: str, on_empty: str = "write", fields: list[str] | None = None) -> None:
+    """on_empty: write (a header only), skip, or raise. fields: the columns to write, in order; others are dropped, absent ones empty."""
+    if fields:
+        df = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in fields])
     if on_empty != "write" and df.isEmpty():
         if on_empty == "raise":
             raise ValueError("no rows to write")
