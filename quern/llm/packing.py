@@ -2,9 +2,14 @@
 
 Documents become token ids and an end id; only documents longer than a sequence are cut, their first piece taking
 the remainder, so every other piece is full. A sequence's configuration says how many pieces of each length it
-holds. The linear program over configurations is solved by multiplicative weights: each length has a price, a
-knapsack dynamic program finds a dear configuration among the least served lengths, and prices of lengths it serves
-fall. Full configurations are used whole times; what is left over goes by best fit, longest first.
+holds. The covering program (fewest sequences whose configurations hold every piece) is solved by multiplicative weights:
+each length has a price, a knapsack dynamic program finds the dearest configuration, and prices of lengths it serves fall.
+Prices over the value of the dearest configuration are a dual solution, so they also bound the number of sequences from below.
+
+Prices proportional to the lengths come first: full configurations are tight there, and where they hold nearly all pieces the
+bound of tokens / capacity is met. Otherwise prices are fitted, over at most CLASSES classes of lengths, and configurations of any
+fill are taken by them: once as the averaged solution rounded down, once one after the other. What is left over goes by best
+fit, longest first; of all these plans the one with the fewest sequences is used, so none is worse than best fit.
 
 All of that sees the histogram only, at most `capacity` numbers however many rows there are. Pieces find their
 place by their rank within their length, counted per partition and added up, so no length gathers in one task.
@@ -17,6 +22,7 @@ nothing. `pack` keeps other columns, but replaces columns named sequence_id and
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -153,13 +159,104 @@ def linear_program(need: dict[int, int], capacity: int, least: float = 1 / 32, a
         yield {int(s): int(k) for s, k in zip(sizes[own][used], counts[used], strict=True)}, n, dict(zip(sizes[rest > 0].tolist(), rest[rest > 0].tolist(), strict=True))
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """(pieces of each length in a sequence, number of such sequences): holds every piece of the histogram once.
+#: Classes of lengths of the fitted prices, rounds of fitting and of taking, the gap at which fitting stops, the excess over the bound that is good enough.
+CLASSES, ROUNDS, GAP, ENOUGH = 64, 600, 1 / 512, 1 / 1024
+
+
+def classes(sizes: np.ndarray, counts: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most k classes of neighbouring lengths with about equal tokens: smallest length and pieces of each, and the class of each length."""
+    if len(sizes) <= k:
+        return sizes, counts.astype(float), np.arange(len(sizes))
+    mass = np.cumsum(counts * sizes)
+    of = np.unique((mass - counts * sizes) * k // mass[-1], return_inverse=True)[1]
+    return np.array([sizes[of == i].min() for i in range(of.max() + 1)]), np.bincount(of, weights=counts), of
+
 
-    Best fit is tried each time the pieces left over have halved; where the fewest sequences come out it takes over.
+def covering(sizes: np.ndarray, need: np.ndarray, capacity: int, eps: float = 0.25) -> tuple[float, np.ndarray, list[tuple[np.ndarray, float]]]:
+    """Multiplicative weights for the covering program: a lower bound, its dual prices, and configurations with the (fractional) times of a solution.
+
+    A round uses the dearest configuration for eps of what it can serve at most; prices fall by exp(-eps * share of the need).
+    The bound holds for longer pieces too: with the smallest lengths of classes it is a bound for all lengths.
     """
-    out: list[tuple[dict[int, int], int]] = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
+    most = np.minimum(need.astype(np.int64), capacity)
+    prices, served, total = sizes / capacity, np.zeros(len(sizes)), 0.0
+    bound, dual, used = 0.0, prices, {}
+    for _ in range(ROUNDS):
+        counts = price_configuration(sizes, prices, capacity, most)
+        value = float(counts @ prices)
+        if need @ prices / value > bound:
+            bound, dual = float(need @ prices / value), prices / value
+        on = counts > 0
+        times = float((need[on] / counts[on]).min()) * eps
+        used[counts.tobytes()] = used.get(counts.tobytes(), 0.0) + times
+        served, total = served + counts * times, total + times
+        prices = prices * np.exp(-eps * counts * times / need)
+        least = (served / need).min()
+        if least > 0 and total / least <= bound * (1 + GAP):
+            break
+    scale = max((served / need).min(), 1e-9)
+    return bound, dual, [(np.frombuffer(c, np.int64), t / scale) for c, t in used.items()]
+
+
+def _rounded(sizes: np.ndarray, need: np.ndarray, solution: list[tuple[np.ndarray, float]]) -> tuple[list, dict[int, int]]:
+    """Configurations of a solution whole times, most used first, as far as pieces are left; and the pieces left."""
+    rest, out = need.astype(np.int64), []
+    for counts, times in sorted(solution, key=lambda x: -x[1]):
+        on = counts > 0
+        n = min(int(times), int((rest[on] // counts[on]).min()))
+        if n:
+            rest = rest - counts * n
+            out.append(({int(s): int(k) for s, k in zip(sizes[on], counts[on], strict=True)}, n))
+    return out, {int(s): int(k) for s, k in zip(sizes, rest, strict=True) if k}
+
+
+def _taken(sizes: np.ndarray, need: np.ndarray, prices: np.ndarray, capacity: int, among: int = 128) -> tuple[list, dict[int, int]]:
+    """Dear configurations one after the other, each as often as its pieces last; and the pieces left after ROUNDS. A round
+    looks at the least served lengths and at others of chance; among equally dear configurations it takes the fullest."""
+    rest, rng, out = need.astype(np.int64), np.random.default_rng(5), []
+    for _ in range(ROUNDS):
+        open_ = np.flatnonzero(rest)
+        if not len(open_):
+            break
+        share = 1 - rest[open_] / need[open_]
+        own = open_[np.lexsort((rng.random(len(open_)), np.floor(share * 8)))]
+        if len(own) > among:
+            own = np.union1d(own[: among // 2], rng.permutation(own)[: among // 2])
+        worth = (prices[own] + sizes[own] / (1000 * capacity)) * (1 + 0.02 * np.exp(rest[own] / need[own] - 1))
+        counts = price_configuration(sizes[own], worth, capacity, np.minimum(rest[own], capacity))
+        on = counts > 0
+        n = int((rest[own][on] // counts[on]).min())
+        rest[own] -= counts * n
+        out.append(({int(s): int(k) for s, k in zip(sizes[own][on], counts[on], strict=True)}, n))
+    return out, {int(s): int(k) for s, k in zip(sizes, rest, strict=True) if k}
+
+
+def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """plan's answer, and a lower bound of the number of sequences that any plan needs."""
+    whole = [({capacity: 1}, histogram[capacity])] if histogram.get(capacity) else []
     left = {s: n for s, n in histogram.items() if 0 < s < capacity and n > 0}
+    count = lambda p: sum(n for _, n in p)
+    best, bound = _tight(left, capacity), -(-sum(s * n for s, n in left.items()) // capacity)
+    if left and count(best) > bound * (1 + ENOUGH):
+        sizes = np.array(sorted(left), np.int64)
+        need = np.array([left[s] for s in sizes.tolist()], np.int64)
+        low, pieces, of = classes(sizes, need)
+        fitted, prices, solution = covering(low, pieces, capacity)
+        bound = max(bound, math.ceil(fitted - 1e-6))
+        plans = [_taken(sizes, need, prices[of], capacity)]
+        if len(low) == len(sizes):
+            plans.append(_rounded(sizes, need, solution))
+        best = min([best, *(out + _greedy(rest, capacity) for out, rest in plans)], key=count)
+    return whole + best, count(whole) + bound
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(pieces of each length in a sequence, number of such sequences): holds every piece of the histogram once."""
+    return solve(histogram, capacity)[0]
+
+
+def _tight(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan of full configurations. Best fit is tried each time the pieces left over have halved; where the fewest sequences come out it takes over."""
     placed, end = [], _greedy(dict(left), capacity)
     best, at, tried, over = sum(n for _, n in end), 0, sum(left.values()), left
     count = lambda p: sum(n for _, n in p)
@@ -172,7 +269,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     last = _greedy(dict(over), capacity)
     if count(placed) + count(last) <= best:
         at, end = len(placed), last
-    return out + placed[:at] + end
+    return placed[:at] + end
 
 
 def _greedy(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

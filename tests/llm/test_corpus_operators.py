@@ -392,6 +392,44 @@ def test_plan_holds_every_piece_once():
         assert used <= math.ceil(total / 2048) * 1.15 + 2
 
 
+def clipped(x):
+    n, k = np.unique(np.clip(x.astype(int), 1, 2047), return_counts=True)
+    return {int(a): int(b) for a, b in zip(n, k, strict=True)}
+
+
+def test_plan_without_full_configurations():
+    import time
+
+    rng = np.random.default_rng(1)
+    cases = [({900: 3000, 560: 3000, 580: 3000}, 3000), ({1010: 4000, 610: 4000, 420: 4000}, 4000), ({683: 999, 682: 5, 1366: 500}, 1000), ({1025: 100, 1023: 60, 700: 500, 650: 80}, 357)]
+    cases += [(clipped(np.maximum(10, np.round(rng.lognormal(5.5, 0.9, 300_000) / 10) * 10)), 52_602), (clipped(rng.normal(700, 100, 100_000)), 35_400), (clipped(rng.uniform(300, 1100, 100_000)), 34_235), (clipped(rng.lognormal(5.5, 0.9, 100_000)), 17_560)]
+    for hist, most in cases:
+        began = time.perf_counter()
+        planned, bound = packing.solve(dict(hist), 2048)
+        took = time.perf_counter() - began
+        seen = defaultdict(int)
+        for config, n in planned:
+            assert n > 0 and sum(s * k for s, k in config.items()) <= 2048
+            for s, k in config.items():
+                seen[s] += k * n
+        used = sum(n for _, n in planned)
+        assert dict(seen) == hist and bound <= used <= most and took < 20, (used, bound, took)
+    for hist, _ in cases[:4]:
+        many = {s: 30 * n for s, n in hist.items()}
+        assert sum(n for _, n in packing.plan(many, 2048)) <= sum(n for _, n in packing._greedy(dict(many), 2048))
+    assert packing.solve({900: 3000, 560: 3000, 580: 3000}, 2048)[1] == 3000 and packing.solve({}, 2048) == ([], 0)
+
+
+def test_covering_bound_holds():
+    rng = random.Random(4)
+    for _ in range(80):
+        hist = {rng.randrange(1, 40): rng.randrange(1, 30) for _ in range(rng.randrange(1, 7))}
+        planned, bound = packing.solve(dict(hist), 40)
+        assert bound <= sum(n for _, n in planned)
+        coarse = packing.classes(np.array(sorted(hist)), np.array([hist[s] for s in sorted(hist)]), 3)
+        assert packing.covering(coarse[0], coarse[1], 40)[0] <= sum(n for _, n in planned) + 1e-6
+
+
 def test_linear_program_places_the_pieces():
     rng = np.random.default_rng(1)
     n, k = np.unique(rng.lognormal(4.0, 0.9, 40_000).astype(int) % 512, return_counts=True)
