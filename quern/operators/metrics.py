@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,10 +33,35 @@ def summary(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def quantile(df: DataFrame, by: list[str], value: str, q: float, whole: int = 100_000, accuracy: int = 10_000) -> DataFrame:
+    """(by, quantile): the exact, interpolated quantile of the values that are not null, without a group in one task.
+
+    An approximate pass brackets it; a second pass counts what lies below the bracket and how often each value in it occurs.
+    Only those, about 8 / accuracy of a group's rows and repeated values once, are put in order. Groups of up to `whole`
+    rows have their whole range as the bracket. Empty groups have no row, or null if there is no `by`.
+    """
+    v = df.select(*by, F.col(value).alias("_v")).filter("_v is not null")
+    edges = F.percentile_approx("_v", [max(0.0, q - 4 / accuracy), min(1.0, q + 4 / accuracy)], accuracy)
+    bounds = v.groupBy(*by).agg(F.count("_v").alias("_n"), edges.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    small = F.col("_n") <= whole
+    bounds = bounds.select(*by, "_n", F.when(small | F.lit(q - 4 / accuracy <= 0), F.col("_min")).otherwise(F.col("_e")[0]).alias("_low"), F.when(small | F.lit(q + 4 / accuracy >= 1), F.col("_max")).otherwise(F.col("_e")[1]).alias("_high"))
+    t = v.join(bounds, by) if by else v.crossJoin(F.broadcast(bounds))  # one row
+    below = F.col("_v") < F.col("_low")
+    place = F.when(below, F.lit(None)).otherwise(F.col("_v"))
+    counts = t.filter(F.col("_v") <= F.col("_high")).groupBy(*by, place.alias("_v")).agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"))
+    upto = F.sum("_k").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.asc_nulls_first("_v")))
+    first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    at = (F.col("_n") - 1) * F.lit(q)
+    found = counts.withColumns({"_upto": upto, "_at": at}).groupBy(*by).agg(first(F.floor("_at")).alias("_a"), first(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    return found.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))
+
+
 def describe(df: DataFrame, by: list[str], value: str, t_critical: float = 2.7764451051977987) -> DataFrame:
     """n, mean, sample sd (0 for one value), median, min, max, and a t interval where n is 5."""
     v = F.col(value)
-    t = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    t = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = quantile(df, by, value, 0.5).withColumnsRenamed({c: f"_{c}" for c in by}).withColumnRenamed("quantile", "median")
+    t = t.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").select(*by, "n", "mean", "sd", "median", "min", "max")
     half = F.lit(t_critical) * F.col("sd") / F.sqrt("n")
     return t.withColumn("ci_low", F.when(F.col("n") == 5, F.col("mean") - half)).withColumn("ci_high", F.when(F.col("n") == 5, F.col("mean") + half))
 

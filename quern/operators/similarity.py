@@ -23,15 +23,20 @@ def prototypes(vectors: DataFrame, label: str, vector: str, normalise: bool = Fa
     return out
 
 
+def packed_classes(protos: DataFrame) -> DataFrame:
+    """The prototypes as one row (_protos, by class) to send to every task, after a check of their number; more than MAX_CLASSES raise."""
+    n = protos.count()
+    if n > MAX_CLASSES:
+        raise ValueError(f"{n} classes; at most {MAX_CLASSES} prototypes are sent to every task")
+    return protos.agg(F.array_sort(F.collect_list(F.struct("cls", "proto"))).alias("_protos"))
+
+
 def ranked_classes(vectors: DataFrame, protos: DataFrame, vector: str = "embedding", k: int | None = None) -> DataFrame:
     """`vectors` with `ranked`: array of (dist, cls), nearest first, ties to the smaller class; no shuffle of vectors.
 
-    The prototypes travel as one row, after a check of their number; more classes than that raise.
+    The prototypes travel as one row (`packed_classes`).
     """
-    n = protos.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} classes; at most {MAX_CLASSES} prototypes are sent to every task")
-    packed = protos.agg(F.array_sort(F.collect_list(F.struct("cls", "proto"))).alias("_protos"))
+    packed = packed_classes(protos)
     dist = lambda p: F.struct(F.sqrt(squared_distance(doubles(vector), p["proto"])).alias("dist"), p["cls"].alias("cls"))
     ranked = F.array_sort(F.transform("_protos", dist))
     return vectors.crossJoin(F.broadcast(packed)).withColumn("ranked", ranked if k is None else F.slice(ranked, 1, k)).drop("_protos")
@@ -68,7 +73,7 @@ def token_transport(vectors: DataFrame, protos: DataFrame, vector: str, tokens:
     products with the other side's tokens; their reliable means in both directions, averaged, are the local part, and
     the product of the whole vectors is the rest.
     """
-    packed = protos.agg(F.array_sort(F.collect_list(F.struct("cls", "proto"))).alias("_protos"))  # bounded as in ranked_classes
+    packed = packed_classes(protos)
     cut_up = lambda v: F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda i: F.slice(v, i * (F.size(v) / tokens).cast("int") + 1, (F.size(v) / tokens).cast("int")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     soft = lambda one, others: F.lit(match) * F.ln(total(F.transform(others, lambda o: F.exp(dot(one, o) / match))))

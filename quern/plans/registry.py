@@ -100,7 +100,7 @@ def nearest_prototype_top5(spark, sf):
 @query(f"{P_SQL}, q AS (SELECT quantile_cont(dist, 0.95) * 1.25 AS t FROM r WHERE rk = 1), m AS (SELECT a.vec_id, a.cls, a.dist, b.dist - a.dist AS margin FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.rk = 1 AND b.rk = 2) SELECT vec_id, CASE WHEN dist <= t AND margin >= 0.01 THEN cls::VARCHAR ELSE '_' END AS label, CASE WHEN dist <= t AND margin >= 0.01 THEN 'accepted' ELSE 'unknown_distance' END AS status FROM m, q")
 def ocr_style_acceptance(spark, sf):
     p = pred(spark, sf)
-    limit = p.agg((F.percentile("dist", F.lit(0.95)) * 1.25).alias("t"))
+    limit = metrics.quantile(p, [], "dist", 0.95).select((F.col("quantile") * 1.25).alias("t"))
     label = similarity.accept(F.col("dist"), F.col("margin"), F.col("pred").cast("string"), F.col("t"))
     return p.crossJoin(F.broadcast(limit)).select("vec_id", label.alias("label")).withColumn("status", F.when(F.col("label") == "_", "unknown_distance").otherwise("accepted"))
 

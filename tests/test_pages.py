@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import geometry, raster, sequences, tracks
+from quern.operators import geometry, metrics, raster, sequences, similarity, tracks
 
 
 def pictures(seed=0):
@@ -209,3 +209,28 @@ def test_disjoint_choice_equals_greedy(spark):
     df = spark.createDataFrame(triples, "i int, j int, k int, score double").repartition(5)
     assert sorted(map(tuple, tracks.disjoint_best(df, ["i", "j", "k"], "score").collect())) == sorted(want)
     assert tracks.disjoint_best(df.limit(0), ["i", "j", "k"], "score").count() == 0
+
+
+@pytest.mark.parametrize("whole", [0, 100, 100_000])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_quantile_is_exact(spark, whole, q):
+    rng = np.random.default_rng(2)
+    groups = {"many": rng.normal(size=30_000), "ties": rng.integers(0, 5, 25_000).astype(float), "few": rng.normal(size=101), "one": np.array([7.0]), "same": np.full(4000, 3.0)}
+    if whole == 0:  # brackets are for large groups
+        groups = {k: v for k, v in groups.items() if len(v) >= 25_000}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r["quantile"] for r in metrics.quantile(df, ["g"], "v", q, whole).collect()}
+    assert got == {k: pytest.approx(np.quantile(v, q), abs=1e-12) for k, v in groups.items()}
+    every = np.concatenate(list(groups.values()))
+    assert metrics.quantile(df, [], "v", q, whole).first()["quantile"] == pytest.approx(np.quantile(every, q), abs=1e-12)
+
+
+def test_prototypes_are_counted_before_they_travel(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MAX_CLASSES", 2)
+    protos = spark.createDataFrame([(i, [1.0] * 8) for i in range(3)], "cls int, proto array<double>")
+    v = spark.createDataFrame([(1, [1.0] * 8)], "id int, embedding array<double>")
+    with pytest.raises(ValueError, match="3 classes"):
+        similarity.token_transport(v, protos, "embedding", 4)
+    with pytest.raises(ValueError, match="3 classes"):
+        similarity.ranked_classes(v, protos)
