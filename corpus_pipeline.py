@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup
-from quern.llm.common import NULL_ID, fresh, materialise
+from quern.llm.common import NULL_ID, discard, fresh, materialise
 from quern.llm.queries import table, tokenizer_path
 
 
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if written is not None:  # the stage's input, which nothing reads any more
+            discard(written)
+        written = docs
     return docs
