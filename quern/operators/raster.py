@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators import sequences
+from quern.operators import metrics, sequences
 from quern.operators.graph import components
 
 
@@ -107,6 +107,33 @@ def relative_depth(cells: DataFrame, value: str, reach: int, smooth: int, floor:
     return t.withColumn("depth", F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), F.lit(power)))
 
 
+def stretched(cells: DataFrame, value: str, mask: Column, low: float = 0.28, high: float = 0.992, out: str = "stretched") -> DataFrame:
+    """cells with `value` stretched so that two quantiles of the image's masked cells become 0 and 1; images without masked cells become 0."""
+    inked = cells.filter(mask)
+    a, b = (metrics.quantile(inked, ["image"], value, q).withColumnRenamed("quantile", name) for q, name in ((low, "_low"), (high, "_high")))
+    t = cells.join(a.join(b, "image"), "image", "left")
+    share = (F.col(value) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6))
+    return t.withColumn(out, F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)), F.lit(0.0))).drop("_low", "_high")
+
+
+def composed(ground: Column, ink: Column, alpha: Column) -> Column:
+    """The ground where alpha is 0, the ink (1 is dark) where it is 1."""
+    return ground * (1 - alpha) + (1 - ink) * alpha
+
+
+def difference_hash(cells: DataFrame, sizes: DataFrame, value: str, rows: int = 8, columns: int = 8) -> DataFrame:
+    """(image, hash): 64 bits in hex, row by row, 1 where a field is brighter than its right neighbour, of images averaged down to
+    8 rows of 9 fields. Images with fewer rows or columns have no hash."""
+    t = cells.join(sizes, "image").filter((F.col("height") >= rows) & (F.col("width") > columns))
+    field = t.select("image", F.floor(F.col("y") * rows / F.col("height")).alias("r"), F.floor(F.col("x") * (columns + 1) / F.col("width")).alias("c"), F.col(value).alias("v"))
+    mean = field.groupBy("image", "r", "c").agg(F.round(F.avg("v"), 9).alias("v"))
+    packed = mean.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "v"))), lambda s: s["v"]).alias("m"))
+    bit = lambda i: F.when(F.element_at("m", i + 1) > F.element_at("m", i + 2), "1").otherwise("0")
+    places = F.array(*[F.lit(r * (columns + 1) + c) for r in range(rows) for c in range(columns)])
+    bits = F.array_join(F.transform(places, bit), "")
+    return packed.select("image", F.lower(F.lpad(F.conv(bits, 2, 16), rows * columns // 4, "0")).alias("hash"))
+
+
 def labelled_runs(pixels: DataFrame, value: str | None = None) -> DataFrame:
     """(image, component, y, x0, x1, total) of 8-connected components of set pixels (image, y, x); total: sum of `value` in the run."""
     place = Window.partitionBy("image", "y").orderBy("x")

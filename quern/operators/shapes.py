@@ -6,7 +6,7 @@ page_h. Rules are boolean expressions over those and the derived columns of `mea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.geometry import near_centres
@@ -141,3 +141,14 @@ def prompts(comps: DataFrame, fragments: DataFrame, step: float) -> DataFrame:
     got = pairs.filter(inside).groupBy("image", "id").agg(F.min("o_x0").alias("a0"), F.min("o_y0").alias("b0"), F.max("o_x1").alias("a1"), F.max("o_y1").alias("b1"))
     t = t.join(got, ["image", "id"], "left")
     return t.select("image", "id", (F.bround(F.col("y") / step, 0) + 1).cast("long").alias("line"), F.least("x0", "a0").alias("x0"), F.least("y0", "b0").alias("y0"), F.greatest("x1", "a1").alias("x1"), F.greatest("y1", "b1").alias("y1"))
+
+
+def present(comps: DataFrame, weights: dict[str, float], bias: float, step: float, cut: float = 0.55) -> DataFrame:
+    """measured comps whose presence score, the logistic of a weighted sum of their measures, reaches `cut`: with score, line and their
+    number within the image by line and left edge."""
+    total = F.lit(bias)
+    for name, weight in weights.items():
+        total = total + F.lit(weight) * F.col(name).cast("double")
+    t = measured(comps).withColumn("presence", 1 / (1 + F.exp(-total))).filter(F.col("presence") >= cut)
+    t = t.withColumn("line", (F.bround(F.col("y") / step, 0) + 1).cast("long"))
+    return t.withColumn("number", F.row_number().over(Window.partitionBy("image").orderBy("line", "x0", "id")))

@@ -11,7 +11,7 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import audit, governance, graph, manifest, metrics, ordered, similarity, split
 from quern.plans.registry import B_SQL, C_SQL, E_SQL, P_SQL, R_SQL, S_SQL, SPLIT, codes, pred, query, r6, table
-from quern.sources import publish
+from quern.sources import manifests, publish
 
 # Documents as a collection of files: the last of each four is a derivative of one of the three before it. Expressions of both engines.
 IDS = {
@@ -329,3 +329,17 @@ def resumed_cache(spark, sf):
     status = publish.append_missing(docs, path, ["doc_id"], work)
     held = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("held"))
     return status.crossJoin(F.broadcast(held))  # one row
+
+
+@query(r"WITH k AS (SELECT page_id, replace(replace(url, '://', '\'), '/', '\') AS raw, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END || '\x/' || page_id % 50 AS path FROM pages) SELECT replace(path, '\', '/') AS path, max(page_id) AS page_id, arg_max(raw, page_id) AS raw FROM k GROUP BY 1")
+def indexed_manifest(spark, sf):
+    raw = F.replace(F.replace(F.col("url"), F.lit("://"), F.lit("\\")), F.lit("/"), F.lit("\\"))
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "a").otherwise("b"), F.lit("\\x/"), (F.col("page_id") % 50).cast("string"))
+    return manifests.indexed(table(spark, sf, "pages").select(path.alias("path"), "page_id", raw.alias("raw")), "path", "page_id")
+
+
+@query("SELECT doc_id, doc_id % 84 AS full_idx, doc_id % 84 // 3 AS base, doc_id % 84 % 3 AS modifier FROM documents")
+def label_map_gather(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 84).alias("full_idx"))
+    labels = docs.select("full_idx").distinct().select("full_idx", F.floor(F.col("full_idx") / 3).alias("base"), (F.col("full_idx") % 3).alias("modifier"))
+    return manifests.with_labels(docs, labels, "full_idx").select("doc_id", "full_idx", "base", "modifier")

@@ -218,3 +218,20 @@ def suggested_limits(spark, sf):
     c = cells(spark, sf)
     runs = raster.labelled_runs(c.filter("v > 0.1").select("image", "y", "x"))
     return raster.suggested(runs, raster.moments(runs), sizes(c), least_area=6, least_height=4, unit=8.0, dense=90)
+
+
+@query(f"""WITH {CELLS_SQL}, q AS (SELECT image, quantile_cont(v, 0.28) AS low, quantile_cont(v, 0.992) AS high FROM c WHERE v > 0 GROUP BY image),
+s AS (SELECT image, y, x, u, least(1.0::DOUBLE, greatest(0.0::DOUBLE, v * 4)) AS alpha, coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (v - low) / greatest(high - low, 1e-6::DOUBLE))), 0) AS t FROM c LEFT JOIN q USING (image))
+SELECT image, y, x, round(t, 6) AS stretched, round(u * (1 - alpha) + (1 - t) * alpha, 6) AS composed FROM s""")
+def stretched_pages(spark, sf):
+    t = raster.stretched(cells(spark, sf), "v", F.col("v") > 0)
+    alpha = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") * 4))
+    return t.select("image", "y", "x", F.round("stretched", 6).alias("stretched"), F.round(raster.composed(F.col("u"), F.col("stretched"), alpha), 6).alias("composed"))
+
+
+@query(f"""WITH {CELLS_SQL}, f AS (SELECT image, y * 8 // height AS r, x * 9 // width AS k, round(avg(u), 9) AS m FROM c JOIN z USING (image) WHERE height >= 8 AND width >= 9 GROUP BY ALL), b AS (SELECT image, list(m ORDER BY r, k) AS m FROM f GROUP BY image),
+n AS (SELECT image, list_transform(range(0, 16), lambda h: list_sum(list_transform(range(0, 4), lambda j: CASE WHEN m[(4 * h + j) // 8 * 9 + (4 * h + j) % 8 + 1] > m[(4 * h + j) // 8 * 9 + (4 * h + j) % 8 + 2] THEN (8 >> j::INT)::INT ELSE 0 END))) AS n FROM b)
+SELECT image, array_to_string(list_transform(n, lambda d: substr('0123456789abcdef', d::INT + 1, 1)), '') AS hash FROM n""")
+def page_difference_hashes(spark, sf):
+    c = cells(spark, sf)
+    return raster.difference_hash(c, sizes(c), "u")

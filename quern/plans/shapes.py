@@ -113,3 +113,12 @@ def linked_tracks(spark, sf):
     peaks = h.join(first, "event_type").withColumn("win", F.floor((F.col("d") - F.col("d0")) / 7)).groupBy("event_type", "win").agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("y"))
     t = sequences.link(peaks, ["event_type"], "win", "y", drift=7, reach=3)
     return t.select("event_type", "track", "n", "first", "last", F.round("mean", 6).alias("mean"))
+
+
+PRESENCE = {"depth": 9.0, "alpha": 4.0, "density": 1.5, "side": 0.02}
+
+
+@query(f"WITH {COMPS_SQL}, s AS (SELECT *, 1 / (1 + exp(-({' + '.join(f'{w!r}::DOUBLE * {c}' for c, w in PRESENCE.items())} - 3.0::DOUBLE))) AS presence, (round_even(y / 44.0::DOUBLE, 0) + 1)::BIGINT AS line FROM c3) SELECT image, id, line, round(presence, 6) AS presence, row_number() OVER (PARTITION BY image ORDER BY line, x0, id)::INT AS number FROM s WHERE presence >= 0.55::DOUBLE")
+def presence_filtered(spark, sf):
+    t = shapes.present(comps(spark, sf), PRESENCE, -3.0, 44.0)
+    return t.select("image", "id", "line", F.round("presence", 6).alias("presence"), "number")

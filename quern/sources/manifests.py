@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import slashes
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All columns as text, empty fields as "". A byte-order mark at the start of a file is no part of its first column."""
@@ -20,6 +22,18 @@ def keep_last(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def indexed(df: DataFrame, path: str, ordinal: str) -> DataFrame:
+    """The manifest with one row a path: separators as /, the last row by ordinal wins."""
+    return keep_last(df.withColumn(path, slashes(F.col(path))), [path], ordinal)
+
+
+def with_labels(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """df with the columns of the label map `labels` (key once each); a key without a label raises."""
+    held = labels.withColumn("_known", F.lit(True))
+    t = df.join(held, key, "left")
+    return t.withColumn(key, F.when(F.col("_known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no label for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))).drop("_known")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

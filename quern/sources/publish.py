@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(as_path(path))
 
 
+def claim(spark: SparkSession, path: str, note: str = "") -> None:
+    """Create a marker file that did not exist: of any number of claims of one path one succeeds, the others raise FileExistsError.
+
+    Distributed file systems create exclusively. The local one, for a local master, only checks first, so there the operating
+    system does it.
+    """
+    fs, as_path = _file_system(spark, path)
+    if fs.getUri().getScheme() == "file":
+        with open(as_path(path).toUri().getPath(), "x") as out:
+            out.write(note)
+        return
+    try:
+        out = fs.create(as_path(path), False)
+    except Py4JJavaError as error:
+        if fs.exists(as_path(path)):
+            raise FileExistsError(f"already claimed: {path}") from error
+        raise
+    try:
+        out.write(bytearray(note.encode()))
+        out.hsync()
+    finally:
+        out.close()
+
+
 @contextmanager
 def staged(spark: SparkSession, target: str) -> Iterator[str]:
     """A folder beside the target to write into; it becomes the target with one rename, if the block ends well.

@@ -234,3 +234,21 @@ def test_prototypes_are_counted_before_they_travel(spark, monkeypatch):
         similarity.token_transport(v, protos, "embedding", 4)
     with pytest.raises(ValueError, match="3 classes"):
         similarity.ranked_classes(v, protos)
+
+
+def test_stretch_and_difference_hash(spark):
+    rng = np.random.default_rng(8)
+    images = {0: rng.random((16, 27)), 1: rng.random((8, 9)), 2: rng.random((7, 30)), 3: np.zeros((9, 10))}
+    cells = spark.createDataFrame([(k, y, x, float(m[y, x])) for k, m in images.items() for y in range(m.shape[0]) for x in range(m.shape[1])], "image int, y int, x int, v double").repartition(3)
+    size = spark.createDataFrame([(k, *m.shape) for k, m in images.items()], "image int, height int, width int")
+    got = {r.image: r.hash for r in raster.difference_hash(cells, size, "v").collect()}
+    assert set(got) == {0, 1, 3} and got[3] == "0" * 16
+    for k in (0, 1):
+        m = images[k]
+        f = m.reshape(8, m.shape[0] // 8, 9, m.shape[1] // 9).mean((1, 3))
+        assert got[k] == f"{int(''.join('1' if f[r, c] > f[r, c + 1] else '0' for r in range(8) for c in range(8)), 2):016x}"
+    t = raster.stretched(cells, "v", F.col("v") > 0.2)
+    for r in t.collect():
+        inked = images[r.image][images[r.image] > 0.2]
+        low, high = np.quantile(inked, [0.28, 0.992]) if inked.size else (0, 1e9)
+        assert r.stretched == pytest.approx(np.clip((r.v - low) / max(high - low, 1e-6), 0, 1), abs=1e-9)

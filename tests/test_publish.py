@@ -85,3 +85,27 @@ def test_csv_fields_and_byte_order_mark(spark, tmp_path):
     assert text[0] == "a,missing,b" and manifests.read_csv(spark, f"file://{tmp_path}/out").collect() == [("x", "", "1")]
     Path(tmp_path, "bom.csv").write_text("﻿id,name\n1,é\n", encoding="utf-8")
     assert manifests.read_csv(spark, f"file://{tmp_path}/bom.csv").first().asDict() == {"id": "1", "name": "é"}
+
+
+def test_one_claim_succeeds(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def attempt(i):
+        try:
+            publish.claim(spark, f"file://{tmp_path}/marker", f"run {i}")
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [i for i in pool.map(attempt, range(12)) if i is not None]
+    assert len(won) == 1 and Path(tmp_path, "marker").read_text() == f"run {won[0]}"
+
+
+def test_lookup_and_label_map(spark):
+    rows = spark.createDataFrame([("a\\b/c", 1, "x"), ("a/b/c", 3, "y"), ("a/b\\c", 2, "z"), ("d", 1, "w")], "path string, n int, v string")
+    assert sorted(map(tuple, manifests.indexed(rows, "path", "n").collect())) == [("a/b/c", 3, "y"), ("d", 1, "w")]
+    labels = spark.createDataFrame([("x", 1), ("y", 2)], "v string, k int")
+    assert {r.k for r in manifests.with_labels(rows.filter("v in ('x', 'y')"), labels, "v").collect()} == {1, 2}
+    with pytest.raises(Exception, match="no label for z"):
+        manifests.with_labels(rows, labels, "v").collect()
