@@ -16,7 +16,7 @@ and `queries` vectors calibrate the radius. Raise them with the data: cells hold
 32 * (sample / 8) ** 2 vectors.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, link with
-nothing. Vectors of different lengths never link. Repeated rows count as further vectors. Other columns are not read.
+nothing. Vectors of different lengths never link. Ids are numbers. Repeated rows count as further vectors. Other columns are not read.
 """
 
 from __future__ import annotations

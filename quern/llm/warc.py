@@ -31,7 +31,8 @@ class Archive:
 
 
 def _uri(page_id: F.Column) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+    """Ids of any text, percent-encoded, so that the brackets end them."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page_id.cast("string")), F.lit("null")), F.lit(">"))
 
 
 def write_archive(pages: DataFrame, path: str | None = None, min_revisit_bytes: int = 100, date: str | F.Column = "2024-01-01T00:00:00Z") -> Archive:
@@ -92,7 +93,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("body", F.expr("substring(record, _at + 4, _n)"))
     whole = (F.octet_length("record") == F.col("_at") + 3 + F.col("_n") + 4) & (F.expr("substring(record, _at + 4 + _n, 4)") == F.lit(b"\r\n\r\n"))
     good = whole & ((F.col("record_type") != "response") | (F.sha2("body", 256) == F.col("digest")))
-    return rows.select("page_id", "record_type", F.regexp_extract("_to", "^<urn:page:([^>]*)>$", 1).alias("refers_to"), "digest", "body", F.coalesce(good, F.lit(False)).alias("body_ok"))
+    return rows.select("page_id", "record_type", F.url_decode(F.regexp_extract("_to", "^<urn:page:([^>]*)>$", 1)).alias("refers_to"), "digest", "body", F.coalesce(good, F.lit(False)).alias("body_ok"))
 
 
 def read_archive(spark: SparkSession, archive: Archive, with_payload: bool = False) -> DataFrame:

@@ -237,6 +237,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(b"\r\nWARC-Date: 2023-05-06T07:08:09Z\r\n" in bytes(r.record) for r in warc.read_records(spark, dated).collect())
 
 
+def test_warc_ids_may_be_any_text(spark, tmp_path):
+    ids = ["a>b", "a b+c%3E", "\r\nX: y", "<urn:page:q>", "é", "-12", "z"]
+    rows = [(i, "u", f"{k} " * 60) for k, i in enumerate(ids)] + [(f"{i}~copy", "u", f"{k} " * 60) for k, i in enumerate(ids)]
+    back = {r.page_id: r.refers_to for r in warc.read_archive(spark, warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), f"file://{tmp_path}/w")).collect()}
+    assert back == {i: None for i in ids} | {f"{i}~copy": i for i in ids}
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randrange(0, 900)) for i in range(800)] + [(5000, "y" * 4000), (6000, "z" * 1500), (6000, "z" * 1500), (None, None), (None, "q"), (7000, None)]
