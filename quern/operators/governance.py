@@ -49,9 +49,10 @@ def unified(predictions: DataFrame, model: str) -> DataFrame:
 
 
 def json_keys(text: Column) -> Column:
-    """Every object key of a JSON text, at any depth: string tokens in turn, those before a colon."""
+    """Every object key of a JSON text, at any depth: string tokens in turn, those before a colon, with their escapes resolved."""
     tokens = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), 1)
-    return F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*)"', 1))
+    keys = F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.regexp_replace(t, r"\s*:$", ""))
+    return F.transform(keys, lambda t: F.coalesce(F.from_json(F.concat(F.lit('{"k":'), t, F.lit("}")), "k string")["k"], t))
 
 
 def guarded(df: DataFrame, json_col: str, word: str = "test", allowed: tuple[str, ...] = ("test_access",)) -> DataFrame:

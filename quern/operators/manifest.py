@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import parse_reference, strongest_group
 from quern.operators.dedup import near_pairs
-from quern.operators.graph import materialise
+from quern.operators.graph import components, materialise
+from quern.operators.ordered import number_within
 
 #: Identity columns, the strongest first, and what else a derivative takes from its original. Fixed values.
 IDENTITY = {"ESTAMPAGE": "estampage_id", "INSCRIPTION": "inscription_id", "PAGE": "page_id", "WORD": "word_id", "CROP": "original_crop_id"}
@@ -53,20 +54,57 @@ def canonical(originals: DataFrame, derived: DataFrame, made_of: DataFrame) -> D
     return own.unionByName(rows.select(*own.columns))
 
 
-def apply_splits(manifest: DataFrame, assigned: DataFrame, threshold: int) -> DataFrame:
+def code_pairs(manifest: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, dist) of the manifest's different codes within `threshold` bits, written once for every step that needs them."""
+    codes = materialise(manifest.select(F.col("perceptual_hash").alias("code")).filter("code is not null").distinct(), "codes")
+    return materialise(near_pairs(codes, threshold), "pairs")
+
+
+def merged_groups(originals: DataFrame, threshold: int, pairs: DataFrame | None = None, fan: int = 1024) -> DataFrame:
+    """(source_group, split_group_id): source groups that share a file, or hold codes within `threshold` bits, become one.
+
+    Every file hash and every code links its groups to the first of them, and a pair of near codes links their two first groups,
+    so links grow with the rows and not with the pairs. Null hashes and codes link nothing. The id of a component names its
+    members whatever their order: the start of a sha256 of its sorted members, newline-joined; beyond `fan` members that of
+    each `fan` of them, again joined by `fan` (a last digest alone goes up as it is), and so on until one is left.
+    pairs: as `code_pairs` gives them, at `threshold`.
+    """
+    pairs = code_pairs(originals, threshold) if pairs is None else pairs
+    rows = originals.select("source_group", "file_sha256", "perceptual_hash").filter("source_group is not null").distinct()
+    groups = materialise(rows.select("source_group").distinct().withColumn("node", F.monotonically_increasing_id()), "groups")
+    rows = materialise(rows.join(groups, "source_group").drop("source_group"), "members")
+    first = {c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("node").alias("hub")) for c in ("file_sha256", "perceptual_hash")}
+    shared = [rows.join(hubs, c).select(F.col("node").alias("a"), F.col("hub").alias("b")) for c, hubs in first.items()]
+    hub = lambda x: first["perceptual_hash"].select(F.col("perceptual_hash").alias(x), F.col("hub").alias(f"{x}_"))
+    near = pairs.select("a", "b").join(hub("a"), "a").join(hub("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    edges = reduce(DataFrame.union, [*shared, near]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    whole = materialise(groups.join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "source_group"), "merged")
+    level = number_within(whole.withColumnRenamed("source_group", "line"), ["root"], ["line"], "i").select("root", "i", "line")
+    most, depth = level.agg(F.max("i")).first()[0] or 1, 0
+    while depth == 0 or most > 1:
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), 256)
+        alone = F.lit(depth > 0) & (F.count(F.lit(1)) == 1)
+        level = level.groupBy("root", F.expr(f"(i - 1) div {fan} + 1").alias("block")).agg(F.when(alone, F.min("line")).otherwise(joined).alias("line")).withColumnRenamed("block", "i")
+        most, depth = -(-most // fan), depth + 1
+    names = level.select("root", F.concat(F.lit("SOURCE_COMPONENT::"), F.substring("line", 1, 16)).alias("split_group_id"))
+    return whole.join(names, "root").select("source_group", "split_group_id")
+
+
+def apply_splits(manifest: DataFrame, assigned: DataFrame, threshold: int, merged: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """manifest with split and split_group_id. assigned: (grp, split) by source group, of which a derivative has its parent's.
 
     Derivatives of held-out originals, and those equal or within `threshold` bits of one, get a split that says so.
+    merged: as `merged_groups` gives it; assigned is by its split_group_id then. pairs: as `code_pairs` gives them.
     """
-    rows = manifest.join(assigned.select(F.col("grp").alias("source_group"), F.col("split").alias("_split")), "source_group")
-    rows = materialise(rows.withColumn("split_group_id", F.col("source_group")), "manifest")
+    pairs = code_pairs(manifest, threshold) if pairs is None else pairs
+    rows = manifest.withColumn("split_group_id", F.col("source_group")) if merged is None else manifest.join(merged, "source_group")
+    rows = materialise(rows.join(assigned.select(F.col("grp").alias("split_group_id"), F.col("split").alias("_split")), "split_group_id"), "manifest")
     held = rows.filter(~F.col("is_augmented") & F.col("_split").isin("validation", "test"))
-    codes = rows.select(F.col("perceptual_hash").alias("code")).filter("code is not null").distinct()
-    pairs = near_pairs(codes, threshold)
-    near = pairs.select("a", "b").union(pairs.select("b", "a")).union(codes.select("code", "code"))
-    bad = near.join(held.select(F.col("perceptual_hash").alias("b")), "b", "left_semi").select(F.col("a").alias("perceptual_hash")).distinct()
+    own = held.select(F.col("perceptual_hash").alias("b")).filter("b is not null").distinct()
+    bad = pairs.select("a", "b").union(pairs.select("b", "a")).join(own, "b", "left_semi").select("a").union(own).distinct()
+    bad = bad.select(F.col("a").alias("perceptual_hash"), F.lit(True).alias("_near"))
     equal = held.select("file_sha256").filter("file_sha256 is not null").distinct()
-    rows = rows.join(bad.withColumn("_near", F.lit(True)), "perceptual_hash", "left").join(equal.withColumn("_equal", F.lit(True)), "file_sha256", "left")
+    rows = rows.join(bad, "perceptual_hash", "left").join(equal.withColumn("_equal", F.lit(True)), "file_sha256", "left")
     split = F.when(~F.col("is_augmented"), F.col("_split")).when(F.col("_split") != "train", "excluded_parent_not_train").when(F.coalesce("_near", "_equal", F.lit(False)), "excluded_perceptual_collision").otherwise("train")
     return rows.select(*manifest.columns, "split_group_id", split.alias("split"))
 
@@ -80,20 +118,21 @@ def crossing_counts(manifest: DataFrame, fields: dict[str, str]) -> DataFrame:
     return names.join(found, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
-def cross_split_pairs(manifest: DataFrame, threshold: int) -> DataFrame:
+def cross_split_pairs(manifest: DataFrame, threshold: int, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, first_split, second_split, distance, pairs): classes of rows with near codes in different active splits.
 
     Rows of one code and split are counted, not paired one by one; `pairs` is how many pairs of rows a class pair stands for.
+    pairs: as `code_pairs` gives them for these codes and perhaps more.
     """
     sizes = materialise(manifest.filter(F.col("split").isin(*ACTIVE) & F.col("perceptual_hash").isNotNull()).groupBy(F.col("perceptual_hash").alias("code"), "split").agg(F.count(F.lit(1)).alias("n")), "codes")
     codes = sizes.select("code").distinct()
-    near = near_pairs(codes, threshold).union(codes.select("code", "code", F.lit(0)))
+    near = (near_pairs(codes, threshold) if pairs is None else pairs).union(codes.select("code", "code", F.lit(0)))
     x, y = sizes.select(F.col("code").alias("a"), F.col("split").alias("first_split"), F.col("n").alias("na")), sizes.select(F.col("code").alias("b"), F.col("split").alias("second_split"), F.col("n").alias("nb"))
     both = near.join(x, "a").join(y, "b").filter((F.col("first_split") != F.col("second_split")) & ((F.col("a") != F.col("b")) | (F.col("first_split") < F.col("second_split"))))
     return both.select("a", "b", "first_split", "second_split", F.col("dist").alias("distance"), (F.col("na") * F.col("nb")).alias("pairs"))
 
 
-def leakage(manifest: DataFrame, threshold: int) -> DataFrame:
+def leakage(manifest: DataFrame, threshold: int, pairs: DataFrame | None = None) -> DataFrame:
     """(rule, violations, ok) of the nine rules: eight fields whose values may not cross splits, and near codes."""
-    near = cross_split_pairs(manifest, threshold).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("violations")).select(F.lit("perceptual_hashes").alias("rule"), "violations")
+    near = cross_split_pairs(manifest, threshold, pairs).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("violations")).select(F.lit("perceptual_hashes").alias("rule"), "violations")
     return crossing_counts(manifest, LEAKAGE_FIELDS).unionByName(near).withColumn("ok", F.col("violations") == 0)

@@ -40,8 +40,8 @@ def canonical(spark, sf) -> DataFrame:
     return manifest.canonical(files.filter("doc_id % 4 <> 3"), derived, manifest.provenance(made, "class_label", "output_path", "source_path", "doc_id"))
 
 
-def by_group(m: DataFrame) -> DataFrame:
-    return m.filter(~F.col("is_augmented")).groupBy(F.col("source_group").alias("grp"), F.col("class_label").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+def by_group(m: DataFrame, group: str = "source_group") -> DataFrame:
+    return m.filter(~F.col("is_augmented")).groupBy(F.col(group).alias("grp"), F.col("class_label").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"WITH r AS (SELECT page_id, page_id % 97 AS no, upper(regexp_extract(url, '://(?:m\.)?([a-z]+)', 1)) || ', ' || upper(regexp_extract(url, '/([a-z]{2})/', 1)) || ', l. ' || page_id AS ref FROM pages), k AS (SELECT 'WORD_' || lpad(no::VARCHAR, 4, '0') AS word_id, arg_max(ref, page_id) AS reference FROM r GROUP BY no), p AS (SELECT *, split_part(reference, ',', 1) AS n, trim(split_part(reference, ',', 2)) AS pg FROM k) SELECT word_id, reference, CASE WHEN starts_with(n, 'TH') THEN 'TH' ELSE '' END AS inscription_id, CASE WHEN starts_with(n, 'TH') AND pg <> '' THEN 'TH_' || pg ELSE '' END AS page_id FROM (SELECT word_id, reference, CASE WHEN starts_with(n, 'TH') AND substr(n, 3, 1) = '' THEN n ELSE '' END AS n, pg FROM p)")
@@ -78,14 +78,20 @@ def group_safe_split_invariants(spark, sf):
 D2_SQL = f"WITH {S_SQL}, {C4_SQL}, {G_SQL}, y AS (SELECT x.*, s.code, s3.split AS own FROM x JOIN s3 USING (grp) JOIN s USING (doc_id)), f AS (SELECT *, CASE WHEN NOT is_augmented THEN own WHEN own <> 'train' THEN 'excluded_parent_not_train' WHEN EXISTS (SELECT 1 FROM y h WHERE NOT h.is_augmented AND h.own <> 'train' AND (h.sha = y.sha OR hamming(h.code, y.code) <= 2)) THEN 'excluded_perceptual_collision' ELSE 'train' END AS split FROM y)"
 
 
-def with_splits(spark, sf) -> DataFrame:
+def with_splits(spark, sf, merge: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The manifest with splits, of source groups or of their components, and the near pairs of its codes."""
     m = graph.materialise(canonical(spark, sf), "canonical")
-    return manifest.apply_splits(m, split.group_split(by_group(m)), 2)
+    pairs = manifest.code_pairs(m, 2)
+    if not merge:
+        return manifest.apply_splits(m, split.group_split(by_group(m)), 2, pairs=pairs), pairs
+    merged = graph.materialise(manifest.merged_groups(m.filter(~F.col("is_augmented")), 2, pairs), "merged")
+    sizes = by_group(m.join(merged, "source_group"), "split_group_id")
+    return manifest.apply_splits(m, split.group_split(sizes), 2, merged, pairs), pairs
 
 
 @query(f"{D2_SQL} SELECT doc_id, grp AS split_group_id, split FROM f")
 def applied_splits(spark, sf):
-    return with_splits(spark, sf).select("doc_id", "split_group_id", "split")
+    return with_splits(spark, sf)[0].select("doc_id", "split_group_id", "split")
 
 
 L_FIELDS = {"file_hashes": "sha", "augmentation_parents": "parent", "original_crop_ids": "original_crop_id", "word_ids": "word_id", "page_ids": "page_id", "inscription_ids": "inscription_id", "split_group_ids": "grp"}
@@ -94,7 +100,40 @@ L_SQL = " UNION ALL ".join(f"SELECT '{rule}' AS rule, (SELECT count(*) FROM (SEL
 
 @query(f"{D2_SQL} SELECT *, violations = 0 AS ok FROM ({L_SQL} UNION ALL SELECT 'estampage_ids', 0 UNION ALL SELECT 'perceptual_hashes', (SELECT count(*) FROM f a JOIN f b ON a.doc_id < b.doc_id AND a.split <> b.split AND a.split IN ('train', 'validation', 'test') AND b.split IN ('train', 'validation', 'test') AND hamming(a.code, b.code) <= 2))")
 def leakage_audit_rules(spark, sf):
-    return manifest.leakage(graph.materialise(with_splits(spark, sf), "split"), 2)
+    m, pairs = with_splits(spark, sf)
+    return manifest.leakage(graph.materialise(m, "split"), 2, pairs)
+
+
+# Source groups that share a file or near codes are merged before the split, so nothing leaks between its parts.
+MERGE_SQL = f"""WITH RECURSIVE {S_SQL}, {C4_SQL}, xo AS (SELECT x.grp, x.sha, s.code FROM x JOIN s USING (doc_id) WHERE NOT is_augmented),
+ge AS (SELECT DISTINCT a.grp AS a, b.grp AS b FROM xo a JOIN xo b ON a.grp <> b.grp AND (a.sha = b.sha OR hamming(a.code, b.code) <= 2)),
+gr AS (SELECT DISTINCT grp AS g, grp AS m FROM xo UNION SELECT gr.g, ge.b FROM gr JOIN ge ON ge.a = gr.m),
+gm AS (SELECT g AS source_group, 'SOURCE_COMPONENT::' || substr(sha256(string_agg(m, chr(10) ORDER BY m)), 1, 16) AS comp FROM gr GROUP BY g),
+xm AS (SELECT x.* EXCLUDE (grp), comp AS grp FROM x JOIN gm ON gm.source_group = x.grp)"""
+D2M_SQL = f"{MERGE_SQL}, {G_SQL.replace('FROM x ', 'FROM xm ')}, {D2_SQL[D2_SQL.index('y AS (') :].replace('x.*', 'xm.*').replace('FROM x ', 'FROM xm ')}"
+
+
+@query(f"{MERGE_SQL} SELECT source_group, comp AS split_group_id FROM gm")
+def merged_source_groups(spark, sf):
+    return manifest.merged_groups(graph.materialise(canonical(spark, sf).filter(~F.col("is_augmented")), "originals"), 2)
+
+
+@query(f"{D2M_SQL} SELECT doc_id, grp AS split_group_id, split FROM f")
+def merged_group_splits(spark, sf):
+    return with_splits(spark, sf, True)[0].select("doc_id", "split_group_id", "split")
+
+
+@query(f"{D2M_SQL} SELECT *, violations = 0 AS ok FROM ({L_SQL} UNION ALL SELECT 'estampage_ids', 0 UNION ALL SELECT 'perceptual_hashes', (SELECT count(*) FROM f a JOIN f b ON a.doc_id < b.doc_id AND a.split <> b.split AND a.split IN ('train', 'validation', 'test') AND b.split IN ('train', 'validation', 'test') AND hamming(a.code, b.code) <= 2))")
+def merged_split_audit(spark, sf):
+    m, pairs = with_splits(spark, sf, True)
+    return manifest.leakage(graph.materialise(m, "split"), 2, pairs)
+
+
+@query(f"WITH {S_SQL}, {C4_SQL}, f AS (SELECT x.* EXCLUDE (estampage_id), 'EST_' || d.lang || '_' || (d.n_chars % 9) AS estampage_id, s.code, {SPLIT.replace('doc_id', 'x.doc_id')} AS split FROM x JOIN s USING (doc_id) JOIN documents d USING (doc_id)) SELECT *, violations = 0 AS ok FROM ({L_SQL} UNION ALL {L_SQL.split(' UNION ALL ')[0].replace('file_hashes', 'estampage_ids').replace('sha ', 'estampage_id ')} UNION ALL SELECT 'perceptual_hashes', (SELECT count(*) FROM f a JOIN f b ON a.doc_id < b.doc_id AND a.split <> b.split AND hamming(a.code, b.code) <= 2))")
+def ungrouped_split_audit(spark, sf):
+    m = canonical(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.expr("'EST_' || lang || '_' || (n_chars % 9)").alias("_estampage")), "doc_id")
+    m = m.withColumns({"estampage_id": F.col("_estampage"), "split": F.expr(SPLIT), "split_group_id": F.col("source_group")}).drop("_estampage")
+    return manifest.leakage(graph.materialise(m, "split"), 2)
 
 
 @query(f"WITH {S_SQL}, p AS (SELECT s.*, {SPLIT} AS split FROM s) SELECT least(a.split, b.split) AS split_a, greatest(a.split, b.split) AS split_b, hamming(a.code, b.code)::INT AS distance, count(*) AS pairs FROM p a JOIN p b ON a.doc_id < b.doc_id AND a.split <> b.split AND hamming(a.code, b.code) <= 3 GROUP BY ALL")

@@ -182,6 +182,48 @@ def test_splits_exclude_collisions(spark):
     assert got == {"a": "train", "b": "test", "a1": "excluded_perceptual_collision", "a2": "excluded_perceptual_collision", "a3": "train", "b1": "excluded_parent_not_train", "a4": "train"}
 
 
+@pytest.mark.parametrize("fan", [3, 1024])
+def test_merged_groups_equal_brute_force(spark, fan):
+    import hashlib
+
+    rng = random.Random(fan)
+    base = [rng.getrandbits(63) for _ in range(25)]
+    rows = [(f"G{rng.randrange(60):02}", rng.choice([None, f"h{rng.randrange(200)}"]), rng.choice([None, rng.choice(base) ^ (1 << rng.randrange(63)), rng.getrandbits(63)])) for _ in range(150)]
+    rows += [(f"H{i:02}", "same", None) for i in range(20)] + [(None, "same", base[0]), rows[0], ("alone", None, None)]
+    group = {g: g for g, _, _ in rows if g is not None}
+    named = [r for r in rows if r[0] is not None]
+    for i, (g, h, c) in enumerate(named):
+        for o, k, d in named[:i]:
+            near = (h is not None and h == k) or (c is not None and d is not None and (c ^ d).bit_count() <= 2)
+            if near and group[g] != group[o]:
+                old, new = group[g], group[o]
+                group = {x: new if r == old else r for x, r in group.items()}
+
+    digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+    def name(members):
+        level = [digest(members[i : i + fan]) for i in range(0, len(members), fan)]
+        while len(level) > 1:
+            level = [digest(level[i : i + fan]) if len(level[i : i + fan]) > 1 else level[i] for i in range(0, len(level), fan)]
+        return "SOURCE_COMPONENT::" + level[0][:16]
+
+    want = {g: name(sorted(x for x in group if group[x] == r)) for g, r in group.items()}
+    got = manifest.merged_groups(spark.createDataFrame(rows, "source_group string, file_sha256 string, perceptual_hash long"), 2, fan=fan).collect()
+    assert {r.source_group: r.split_group_id for r in got} == want and len(got) == len(want) and 2 < len(set(want.values())) < len(want)
+    assert manifest.merged_groups(spark.createDataFrame([], "source_group string, file_sha256 string, perceptual_hash long"), 2).count() == 0
+
+
+def test_merged_splits_hold_groups_together(spark):
+    rows = [("a", "g1", False, "h1", 1, ""), ("b", "g2", False, "h1", None, ""), ("c", "g3", False, "h3", 7 << 30, ""), ("d", "g4", False, "h4", 5 << 30, ""), ("d1", "g4", True, "h5", None, "d")]
+    m = spark.createDataFrame(rows, "name string, source_group string, is_augmented boolean, file_sha256 string, perceptual_hash long, augmentation_parent_id string")
+    merged = manifest.merged_groups(m.filter("not is_augmented"), 2)
+    ids = {r.source_group: r.split_group_id for r in merged.collect()}
+    assert ids["g1"] == ids["g2"] != ids["g3"] == ids["g4"]
+    assigned = spark.createDataFrame([(ids["g1"], "train"), (ids["g3"], "test")], "grp string, split string")
+    got = {r.name: (r.split, r.split_group_id) for r in manifest.apply_splits(m, assigned, 2, merged).collect()}
+    assert got == {"a": ("train", ids["g1"]), "b": ("train", ids["g1"]), "c": ("test", ids["g3"]), "d": ("test", ids["g3"]), "d1": ("excluded_parent_not_train", ids["g3"])}
+
+
 def test_strict_values_raise(spark):
     one = lambda v, g: spark.createDataFrame([(v,)], "x string").select(g(F.col("x")).alias("r")).first().r
     assert (one(" TRUE", governance.truth), one("3.0", governance.whole), one("1e-3", governance.finite)) == (True, 3, 0.001)
@@ -196,6 +238,9 @@ def test_key_guard_walks_the_tree(spark):
     docs = [('{"a": [{"b": {"Test_x": 1}}]}',), ('{"a": "test: \\"test\\": 1", "test_access": {"c": ["test"]}}',), ('{"latest": null}',), (None,), ("{}",)]
     got = [r.doc[:10] for r in governance.guarded(spark.createDataFrame(docs, "doc string"), "doc").collect()]
     assert got == [docs[0][0][:10], docs[2][0][:10]]
+    spelt = [(1, '{"\\u0074est_\\"q\\"" : 1}'), (2, '{"\\u0074est_access": "test"}'), (3, '{"a\\u003atest": 0, "bad\\x": {"tes\\t": 2}}')]
+    found = governance.guarded(spark.createDataFrame(spelt, "id int, doc string"), "doc").collect()
+    assert {r.id: r["keys"] for r in found} == {1: ['test_"q"'], 3: ["a:test"]}
 
 
 def test_frozen_tables_and_verification(spark):
