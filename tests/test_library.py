@@ -295,6 +295,32 @@ def test_component_rules(spark):
     assert got == {"edge": (True, "rejected"), "inner": (False, "rejected"), "strip": (True, "rejected"), "thick": (False, "main"), "speck": (False, "dot")}
 
 
+def test_floor_mode_follows_noise_and_limits(spark):
+    rng = random.Random(3)
+    level = {0: 0.0, 1: 0.4, 2: 1.0}
+    rows = [(i, i % 3, x := rng.randrange(900), y := rng.randrange(600), x + rng.randrange(60), y + rng.randrange(50), rng.randrange(1, 60), rng.random() * 0.15, rng.random() * 0.3) for i in range(400)]
+    t = spark.createDataFrame(rows, "id int, image int, x0 int, y0 int, x1 int, y1 int, area int, depth double, alpha double").selectExpr("*", "1000 AS page_w", "700 AS page_h")
+    noisy = spark.createDataFrame(list(level.items()), "image int, noise double")
+    mains = t.filter("id < 12")
+
+    def want(mark):
+        out = {}
+        for i, image, x0, y0, x1, y1, area, depth, _ in rows:
+            w, h, n = x1 - x0 + 1, y1 - y0 + 1, level[image]
+            centre = lambda r: ((r[2] + r[4]) / 2, (r[3] + r[5]) / 2)
+            (x, y), side = centre(rows[i]), max(w, h)
+            near = any(r[1] == image and abs(x - centre(r)[0]) <= max(58, (r[4] - r[2] + 1) * 0.85) and abs(y - centre(r)[1]) <= max(42, (r[5] - r[3] + 1) * 0.95) for r in rows[:12])
+            first = side >= 7 and area >= mark - 3 and depth >= 0.0377 and area / (w * h) >= 0.018
+            second = (near or n < 0.28 or side >= 13) and area >= mark + round(6 * n) and depth >= 0.065 * (0.58 + n * 0.26) and area / (w * h) >= 0.025 + n * 0.035
+            third = near and area >= mark + round(6 * n) and depth >= 0.085 * (0.62 + n * 0.16) and side <= 42
+            out[i] = first or second or third
+        return out
+
+    for limits in (shapes.Limits(), shapes.Limits(mark_area=25)):
+        got = {r.id: r.kept for r in shapes.post_kept(t, mains, "floor", noisy, limits).collect()}
+        assert got == want(limits.mark_area) and 20 < sum(got.values()) < 380
+
+
 def test_samplers(spark):
     rows = spark.range(200).selectExpr("id", "id % 4 AS g", "1.0D AS w", "(id + 1) / 201.0D AS u")
     got = [r.id for r in split.weighted_without_replacement(rows, ["g"], "w", "u", 3).collect()]
