@@ -101,3 +101,12 @@ def frequency_bin_comparison(n: Column) -> Column:
 def frequency_bin_strict(n: Column) -> Column:
     """As in the comparison, but counts below one are an error."""
     return F.when(n < 1, F.raise_error(F.lit("count below one")).cast("string")).otherwise(frequency_bin_comparison(n))
+
+
+def legacy_source_key(label: Column, path: Column) -> Column:
+    """label::key: the first chart, difference or page number in the file's name in lower case, or else the name without the
+    endings that generated copies have."""
+    families, copies = r"(col_\d+_p\d+|diff_[^_]*_p\d+|p\d+)", r"(_seed_?\d+|_aug_?\d+|_\d{3,})+$"  # fixed patterns
+    stem = F.lower(F.regexp_replace(F.element_at(F.split(slashes(path), "/"), -1), r"(?<=.)\.[^.]+$", ""))
+    family = F.regexp_extract(stem, families, 1)
+    return F.concat(label, F.lit("::"), F.when(family != "", family).otherwise(F.regexp_replace(stem, copies, "")))

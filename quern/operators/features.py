@@ -1,6 +1,7 @@
 """Feature channels of rasters, evidence pooled on a grid, crops fitted onto a canvas, faded views, completed tokens.
 
 Rasters are dense cells (image, y, x, value) with values from 0 (dark) to 1, sizes (image, height, width), as in `raster`.
+Windows run by row and by column: cells dealt by image, as `raster.relative_depth` leaves them, serve all without a shuffle.
 Everything meets by image, so any number of images passes in parallel; what one task holds in order is a row or a
 column of one image. Cells of images without a size are dropped; an empty table gives an empty one.
 """
@@ -8,12 +9,14 @@ column of one image. Cells of images without a size are dropped; an empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import metrics, raster
+from quern.operators.graph import materialise
 
 EVIDENCE = {"darkness": 0.30, "contrast": 0.20, "alpha": 0.35, "gradient": 0.15}  # fixed shares
 
@@ -41,7 +44,7 @@ def blurred(cells: DataFrame, value: str, sigma: float, out: str) -> DataFrame:
     """cells with `value`, which has no nulls, blurred by a Gaussian along rows, then along columns."""
     weights = gaussian(sigma)
     rows, columns = (Window.partitionBy("image", a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
-    t = _blur_along(cells.repartition("image"), value, rows, weights, "_b")
+    t = _blur_along(cells, value, rows, weights, "_b")
     return _blur_along(t, "_b", columns, weights, out).drop("_b")
 
 
@@ -54,16 +57,21 @@ def gradient(cells: DataFrame, value: str, out: str) -> DataFrame:
         return F.coalesce(before, after, F.col(c)), F.coalesce(after, before, F.col(c))
 
     left, right = around(value, rows)
-    t = cells.repartition("image").withColumns({"_dx": right - left, "_sx": left + 2 * F.col(value) + right})
+    t = cells.withColumns({"_dx": right - left, "_sx": left + 2 * F.col(value) + right})
     up, down = around("_dx", columns)
     above, below = around("_sx", columns)
     return t.withColumn(out, F.sqrt(F.pow(up + 2 * F.col("_dx") + down, F.lit(2.0)) + F.pow(below - above, F.lit(2.0)))).drop("_dx", "_sx")
 
 
-def scaled(cells: DataFrame, value: str, q: float = 0.99, least: float = 1e-4) -> DataFrame:
-    """cells with `value` divided by the image's exact quantile of it, at least `least`, and clamped to 0 and 1."""
-    high = metrics.quantile(cells, ["image"], value, q).withColumnRenamed("quantile", "_high")
-    return cells.join(high, "image").withColumn(value, clamped(F.col(value) / F.greatest("_high", F.lit(least)))).drop("_high")
+def scaled(cells: DataFrame, values: list[str], q: float = 0.99, least: float = 1e-4) -> DataFrame:
+    """cells with each of the values divided by the image's exact quantile of it, at least `least`, and clamped to 0 and 1.
+
+    The cells are written once, as their quantiles take two more passes each."""
+    t = cells = materialise(cells, "channels")
+    for value in values:
+        high = metrics.quantile(cells, ["image"], value, q).withColumnRenamed("quantile", "_high")
+        t = t.join(high, "image").withColumn(value, clamped(F.col(value) / F.greatest("_high", F.lit(least)))).drop("_high")
+    return t
 
 
 def channels(cells: DataFrame, value: str, reach: int = 10, smooth: int = 3, sigma: float = 2.0, power: float = 0.72) -> DataFrame:
@@ -73,7 +81,7 @@ def channels(cells: DataFrame, value: str, reach: int = 10, smooth: int = 3, sig
     t = raster.relative_depth(cells, value, reach, smooth).drop("background").withColumnRenamed("depth", "darkness")
     t = blurred(t, value, sigma, "_mean").withColumn("contrast", F.abs(F.col(value) - F.col("_mean"))).drop("_mean")
     t = gradient(t, value, "gradient").withColumn("alpha", F.pow("darkness", F.lit(power)))
-    return scaled(scaled(t, "contrast"), "gradient")
+    return scaled(t, ["contrast", "gradient"])
 
 
 def evidence(shares: dict[str, float] | None = None) -> Column:
@@ -96,7 +104,8 @@ def pooled(cells: DataFrame, sizes: DataFrame, value: str, grid: int, average: f
 
 def ink_bounds(cells: DataFrame, sizes: DataFrame, depth: str, share: float = 0.20, least: float = 0.035, q: float = 0.95) -> DataFrame:
     """(image, x0, y0, x1, y1), the last two exclusive: the box of cells deeper than a share of the image's 95th percentile.
-    Without such a cell it is the whole image."""
+    Without such a cell it is the whole image. The depths are written once, for three passes."""
+    cells = materialise(cells.select("image", "y", "x", depth), "depths")
     limit = metrics.quantile(cells, ["image"], depth, q).select("image", F.greatest(F.lit(least), F.col("quantile") * F.lit(share)).alias("_limit"))
     deep = cells.join(limit, "image").filter(F.col(depth) > F.col("_limit"))
     box = deep.groupBy("image").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
@@ -167,17 +176,29 @@ def faded(cells: DataFrame, sizes: DataFrame, light: str, dark: list[str]) -> Da
     return t.drop("_keep", *[c for c in spot.columns if c != "image"])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it, also inside other functions of arrays."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def completed(token: Column, reliability: Column, prior: Column, presence: Column) -> Column:
     """struct(token, reliability, gate): a token repaired from the prior tokens of its class.
 
     The token attends to the prior tokens by a softmax of their scaled products; what it lacks in reliability is filled
     with the prior so attended, as far as that is present. `prior` is an array of vectors, `presence` one number for each.
+    A token whose mixture is zero stays zero.
     """
     scale = F.sqrt(F.size(token).cast("double"))
-    attention = V.softmax(F.transform(prior, lambda p: V.dot(token, p) / scale))
-    aligned = F.transform(F.sequence(F.lit(0), F.size(token) - 1), lambda i: V.dot(attention, F.transform(prior, lambda p: F.get(p, i))))
-    there = V.dot(attention, presence)
-    gate = (1 - reliability) * there
-    mixed = F.zip_with(token, aligned, lambda a, b: (1 - gate) * a + gate * b)
-    length = F.greatest(V.norm(mixed), F.lit(1e-12))
-    return F.struct(F.transform(mixed, lambda x: x / length).alias("token"), (reliability + (1 - reliability) * there).alias("reliability"), gate.alias("gate"))
+    scores = F.transform(prior, lambda p: V.dot(token, p) / scale)
+    weighted = lambda attention: F.zip_with(prior, attention, lambda p, a: F.transform(p, lambda x: x * a))
+    aligned = lambda attention: F.aggregate(weighted(attention), F.array_repeat(F.lit(0.0), F.size(token)), lambda s, p: F.zip_with(s, p, lambda x, y: x + y))
+
+    def mixed(q: Column) -> Column:
+        gate = (1 - reliability) * q["there"]
+        return F.struct(F.zip_with(token, q["aligned"], lambda a, b: (1 - gate) * a + gate * b).alias("mixed"), (reliability + gate).alias("reliability"), gate.alias("gate"))
+
+    def unit(m: Column) -> Column:
+        return F.struct(bound(F.greatest(V.norm(m["mixed"]), F.lit(1e-12)), lambda n: F.transform(m["mixed"], lambda x: x / n)).alias("token"), m["reliability"], m["gate"])
+
+    attended = lambda a: F.struct(aligned(a).alias("aligned"), V.dot(a, presence).alias("there"))
+    return bound(scores, lambda s: bound(V.softmax(s), lambda a: bound(attended(a), lambda q: bound(mixed(q), unit))))

@@ -101,3 +101,21 @@ def canonical_json(keys: Column, compact: bool = True) -> Column:
     comma, colon = (",", ":") if compact else (", ", ": ")
     quoted = F.transform(keys, lambda k, i: F.concat(F.lit('"'), i.cast("string"), F.lit(f'"{colon}'), F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)))
     return F.concat(F.lit("{"), F.array_join(quoted, comma), F.lit("}"))
+
+
+def recorded(runs: DataFrame, expected: DataFrame, key: str, fields: dict[str, list[str]], optional: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, status) of every expected run: `match` if each place of `runs` that records the field agrees with it,
+    `mismatch` if one does not, `missing` if none records it, `absent` if it may be left out.
+
+    `fields` lists the places of each field, which `expected` has as a column. A run that is not there misses everything.
+    """
+    names = {c: f"_run_{c}" for places in fields.values() for c in places}
+    t = expected.join(runs.select(key, *[F.col(c).cast("string").alias(n) for c, n in names.items()]), key, "left")
+
+    def status(field: str) -> Column:
+        found = F.array_compact(F.array(*[F.col(names[c]) for c in fields[field]]))
+        none = F.lit("absent" if field in optional else "missing")
+        return F.when(F.size(found) == 0, none).when(F.forall(found, lambda x: x.eqNullSafe(F.col(field).cast("string"))), "match").otherwise("mismatch")
+
+    checks = F.array(*[F.struct(F.lit(f).alias("field"), status(f).alias("status")) for f in fields])
+    return t.select(key, F.explode(checks).alias("_c")).select(key, "_c.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import ordered
+
 
 def ratio(a, b) -> Column:
     return F.coalesce(F.try_divide(F.lit(1.0) * a, F.lit(1.0) * b), F.lit(0.0))
@@ -136,3 +138,34 @@ def weighted(df: DataFrame, by: list[str], value: str, weight: str, total: str)
 def report_line(name: str) -> Column:
     """A line of a report from the columns of `describe`."""
     return F.format_string("%s: n=%d, %.4f +/- %.4f", F.col(name), F.col("n"), F.col("mean"), F.col("sd"))
+
+
+def thousands(name: str) -> Column:
+    return F.format_number(F.col(name), 0)
+
+
+def spread(mean: str, sd: str) -> Column:
+    return F.format_string("%.4f +/- %.4f", F.col(mean), F.col(sd))
+
+
+def markdown(df: DataFrame, title: str, columns: dict[str, Column], order: list) -> DataFrame:
+    """(line, text) of a Markdown report: title, empty line, a table of the columns in the order given. Nulls are a dash,
+    bars in texts are escaped."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    shown = [F.replace(F.coalesce(c.cast("string"), F.lit("-")), F.lit("|"), F.lit("\\|")) for c in columns.values()]
+    body = ordered.number(df.withColumn("_text", row(shown)), order, "_n").select((F.col("_n") + 4).cast("int").alias("line"), F.col("_text").alias("text"))
+    head = [f"# {title}", "", "| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
+    return df.sparkSession.createDataFrame(list(enumerate(head, 1)), "line int, text string").unionByName(body)
+
+
+def confusion_sheets(pred: DataFrame, key: str, pairs: int = 20, samples: int = 12, columns: int = 4) -> DataFrame:
+    """One row a tile of the sheets of the most frequent confusions: pair (rank), tile (its name), column and row on the
+    sheet, and the row of `pred`. Of each pair the rows with the smallest keys are shown; a pair's rows are cut to those
+    before they are shuffled."""
+    wrong = pred.filter("truth <> pred")
+    top = wrong.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "truth", "pred").limit(pairs)
+    ranked = top.withColumn("pair", F.row_number().over(Window.orderBy(F.desc("n"), "truth", "pred")))  # at most `pairs` rows
+    t = wrong.join(F.broadcast(ranked), ["truth", "pred"])
+    t = t.withColumn("_s", F.row_number().over(Window.partitionBy("pair").orderBy(key))).filter(F.col("_s") <= samples)
+    at = F.col("_s") - 1
+    return t.withColumns({"tile": F.format_string("P%02d-S%02d", F.col("pair"), F.col("_s")), "column": at % columns, "row": F.floor(at / columns).cast("int")}).drop("_s")

@@ -114,3 +114,21 @@ def exemplar_min(queries: DataFrame, rows: DataFrame, key: str, label: str, vect
 
     got = q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInArrow(least, f"k {kinds['k']}, c {kinds['c']}, d double")
     return got.groupBy(F.col("k").alias(key), F.col("c").alias("cls")).agg(F.min("d").alias("dist2"))
+
+
+def best_router(validation: DataFrame, grid: list[tuple[int, float]]) -> DataFrame:
+    """One row (max_shots, min_margin, validation_accuracy): of the candidates, the first with the highest accuracy on rows
+    (truth, ta, da, shots, margin). Candidates are counted side by side in one pass, so the rows are not multiplied."""
+    right = lambda a, b: (F.col("truth") == route(F.col("ta"), F.col("da"), F.col("shots"), F.col("margin"), a, b)).cast("int")
+    t = validation.agg(*[F.avg(right(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(grid)])
+    each = F.array(*[F.struct(F.lit(a).alias("max_shots"), F.lit(b).alias("min_margin"), F.col(f"c{i}").alias("validation_accuracy"), F.round(f"c{i}", 9).alias("_by")) for i, (a, b) in enumerate(grid)])
+    better = lambda best, x: F.when(best["_by"].isNull() | (x["_by"] > best["_by"]), x).otherwise(best)
+    return t.select(F.reduce(F.slice(each, 2, len(grid)), F.get(each, F.lit(0)), better).alias("_best")).select("_best.*").drop("_by")
+
+
+def evaluated(test: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per true class of rows not used for the choice: rows, those right by transport, directly and as routed, and those routed."""
+    t = test.crossJoin(F.broadcast(chosen))  # one row
+    use = (F.col("shots") <= F.col("max_shots")) & (F.col("margin") >= F.col("min_margin"))
+    label = F.when(use, F.col("ta")).otherwise(F.col("da"))
+    return t.groupBy("truth", *chosen.columns).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("truth") == c).alias(n) for n, c in (("transport_right", F.col("ta")), ("direct_right", F.col("da")), ("routed_right", label))], F.count_if(use).alias("routed"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import collection, pages, registry, shapes
+from quern.plans import collection, features, pages, registry, shapes
 
-assert collection and pages and shapes  # imported for the queries that they register
+assert collection and features and pages and shapes  # imported for the queries that they register
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES

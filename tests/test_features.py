@@ -1,4 +1,4 @@
-"""Feature channels, pooling, crops, fading and completed tokens against numpy."""
+"""Feature channels, pooling, crops, fading and completed tokens against numpy; sheets, routers, keys and records of runs."""
 
 import math
 
@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import features
+from quern.functions import text
+from quern.operators import features, governance, metrics, similarity
 
 
 def grids(seed=3):
@@ -129,6 +130,57 @@ def test_fading_is_soft_repeatable_and_the_same_for_all_channels(spark):
     assert any(r.v - r.was > 0.05 for r in rows)
 
 
+def test_chosen_router_is_the_first_best_and_is_judged_on_other_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(t), int(a), int(b), int(s), float(m)) for t, a, b, s, m in zip(rng.integers(0, 3, 300), rng.integers(0, 3, 300), rng.integers(0, 3, 300), rng.integers(1, 9, 300), rng.random(300).round(2), strict=True)]
+    schema, grid = "truth int, ta int, da int, shots int, margin double", [(a, b) for a in (0, 2, 4, 4, 8) for b in (0.0, 0.5, 2.0)]
+
+    def answer(r, a, b):
+        return r[1] if r[3] <= a and r[4] >= b else r[2]
+
+    score = [sum(r[0] == answer(r, a, b) for r in rows[:150]) for a, b in grid]
+    a, b = grid[score.index(max(score))]
+    best = similarity.best_router(spark.createDataFrame(rows[:150], schema), grid)
+    chosen = best.collect()
+    assert len(chosen) == 1 and (chosen[0].max_shots, chosen[0].min_margin) == (a, b) and chosen[0].validation_accuracy == pytest.approx(max(score) / 150)
+    got = similarity.evaluated(spark.createDataFrame(rows[150:], schema), best).collect()
+    for r in got:
+        own = [x for x in rows[150:] if x[0] == r.truth]
+        assert (r.n, r.transport_right, r.direct_right, r.routed_right, r.routed) == (len(own), sum(x[0] == x[1] for x in own), sum(x[0] == x[2] for x in own), sum(x[0] == answer(x, a, b) for x in own), sum(x[3] <= a and x[4] >= b for x in own))
+    assert sum(r.n for r in got) == 150
+
+
+def test_sheets_show_the_first_samples_of_the_most_frequent_pairs(spark):
+    rows = [(k, k % 4, (k * 7) % 3) for k in range(200)] + [(k, 9, 9) for k in range(200, 230)]
+    got = metrics.confusion_sheets(spark.createDataFrame(rows, "k int, truth int, pred int").repartition(7), "k", 3, 5, 2).collect()
+    pairs = {}
+    for k, t, p in rows:
+        if t != p:
+            pairs.setdefault((t, p), []).append(k)
+    want = set()
+    for i, (pair, keys) in enumerate(sorted(pairs.items(), key=lambda x: (-len(x[1]), x[0]))[:3], 1):
+        want |= {(f"P{i:02d}-S{s:02d}", *pair, k, len(keys), (s - 1) % 2, (s - 1) // 2) for s, k in enumerate(sorted(keys)[:5], 1)}
+    assert {(r.tile, r.truth, r.pred, r.k, r.n, r.column, r.row) for r in got} == want and len(got) == 15
+
+
+def test_report_escapes_and_orders(spark):
+    df = spark.createDataFrame([("a|b", 12345, 1.0), ("c", None, 2.0)], "name string, n long, v double")
+    got = [r.text for r in metrics.markdown(df, "T", {"name": F.col("name"), "n": metrics.thousands("n"), "v": metrics.spread("v", "v")}, [F.desc("v")]).orderBy("line").collect()]
+    assert got == ["# T", "", "| name | n | v |", "| --- | --- | --- |", "| c | - | 2.0000 +/- 2.0000 |", "| a\\|b | 12,345 | 1.0000 +/- 1.0000 |"]
+
+
+@pytest.mark.parametrize(("path", "key"), [("x\\Word_9_Col_3_P12_aug_4.PNG", "col_3_p12"), ("d/diff_ka_p7.png", "diff_ka_p7"), ("d/diff_k_a_p7.png", "p7"), ("A_seed12_aug_3_0001.png", "a"), ("A_12.png", "a_12"), ("A_1234_x.png", "a_1234_x"), ("v1.2.png", "v1.2"), (".p", ".p")])
+def test_legacy_source_keys(spark, path, key):
+    assert spark.range(1).select(text.legacy_source_key(F.lit("L"), F.lit(path)).alias("k")).first().k == f"L::{key}"
+
+
+def test_records_of_runs(spark):
+    runs = spark.createDataFrame([("a", 1, 1, "h"), ("b", None, 1, None), ("c", 1, 2, "x"), ("d", None, None, "h"), ("z", 1, 1, "h")], "run string, s int, t int, h string")
+    expected = spark.createDataFrame([(r, 1, "h") for r in "abcde"], "run string, seed int, digest string")
+    got = {(r.run, r.field): r.status for r in governance.recorded(runs, expected, "run", {"seed": ["s", "t"], "digest": ["h"]}, ("digest",)).collect()}
+    assert got == {("a", "seed"): "match", ("b", "seed"): "match", ("c", "seed"): "mismatch", ("d", "seed"): "missing", ("e", "seed"): "missing", ("a", "digest"): "match", ("b", "digest"): "absent", ("c", "digest"): "mismatch", ("d", "digest"): "match", ("e", "digest"): "absent"}
+
+
 def test_completion_equals_numpy(spark):
     rng = np.random.default_rng(7)
     rows = [(k, rng.normal(size=6).tolist(), float(r), rng.normal(size=(3, 6)).tolist(), rng.random(3).tolist()) for k, r in enumerate([0.0, 1.0, 0.4, 0.7])]
