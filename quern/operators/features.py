@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,6 +177,59 @@ def faded(cells: DataFrame, sizes: DataFrame, light: str, dark: list[str]) -> Da
     return t.drop("_keep", *[c for c in spot.columns if c != "image"])
 
 
+@dataclass(frozen=True)
+class DotLimits:
+    """Limits of dots that are brought back: areas and reach in pixels with the share of the image or width that they grow
+    with. The defaults are fixed values for scans."""
+
+    depth: float = 0.24
+    mean: float = 0.255
+    area: tuple[float, float] = (90.0, 0.00013)
+    most: tuple[float, float] = (2600.0, 0.009)
+    ratio: float = 2.25
+    elongation: float = 2.55
+    fill: float = 0.55
+    reach: tuple[float, float] = (54.0, 0.048)
+    major: tuple[float, float] = (5000.0, 0.009)
+    alpha: float = 0.82
+    gain: float = 1.65
+
+
+def painted(runs: DataFrame) -> DataFrame:
+    return runs.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def with_dots(cells: DataFrame, sizes: DataFrame, alpha: str, depth: str, threshold: float, limits: DotLimits | None = None) -> DataFrame:
+    """cells whose `alpha` is raised on dark, round, small marks near a major component of the alpha, which a model of strokes
+    tends to lose. Images without a major component stay as they are."""
+    lim = limits or DotLimits()
+    share = lambda pair, size: F.greatest(F.lit(float(pair[0])), size * F.lit(float(pair[1])))
+    page, w, h = F.col("height") * F.col("width"), F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    where = lambda c: cells.filter(c).select("image", "y", "x", depth)
+    major = raster.moments(raster.labelled_runs(where(F.col(alpha) >= threshold), depth)).join(sizes, "image").filter(F.col("area") >= share(lim.major, page))
+    major = major.withColumn("component", F.xxhash64("component"))  # names of another kind: a dot may start where a component does
+    runs = materialise(raster.labelled_runs(where(F.col(depth) >= lim.depth), depth), "dots")
+    dots = raster.moments(runs).join(sizes, "image").filter(F.col("area").between(share(lim.area, page), share(lim.most, page)))
+    dots = dots.filter((F.greatest(w, h) / F.least(w, h) <= lim.ratio) & (F.col("elongation") <= lim.elongation) & (F.col("area") / (w * h) >= lim.fill) & (F.col("mean") >= lim.mean))
+    near = raster.touching(dots, major, share(lim.reach, F.col("width")))
+    marks = painted(runs.join(near, ["image", "component"], "left_semi")).withColumn("_dot", F.lit(True))
+    raised = F.greatest(F.col(alpha), F.lit(lim.alpha), clamped(F.col(depth) * lim.gain))
+    return cells.join(marks, ["image", "y", "x"], "left").withColumn(alpha, F.when(F.col("_dot"), raised).otherwise(F.col(alpha))).drop("_dot")
+
+
+def cleaned_alpha(cells: DataFrame, sizes: DataFrame, alpha: str, depth: str, threshold: float, limits: raster.KindLimits | None = None, sigma: float = 0.75, floor: float = 0.035) -> DataFrame:
+    """cells with `kind`, that of the component of cells from `threshold` that the cell belongs to (else null), and `clean`: the
+    alpha near components that are kept, falling off softly beyond their edge by a cell, and 0 below `floor` and elsewhere."""
+    runs = materialise(raster.labelled_runs(cells.filter(F.col(alpha) >= threshold).select("image", "y", "x", depth), depth), "alpha_runs")
+    kind = raster.kinds(raster.moments(runs), sizes, limits).select("image", "component", "kind")
+    own = runs.join(kind, ["image", "component"])
+    kept = painted(raster.dilated(raster.merged(own.filter("kind = 'keep'").select("image", "y", "x0", "x1")), sizes, 1)).withColumn("_kept", F.lit(1.0))
+    marks = own.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "kind")
+    t = cells.join(marks, ["image", "y", "x"], "left").join(kept, ["image", "y", "x"], "left").withColumn("_kept", F.coalesce("_kept", F.lit(0.0)))
+    t = blurred(t, "_kept", sigma, "_soft").withColumn("clean", clamped(F.col(alpha) * F.col("_soft")))
+    return t.withColumn("clean", F.when(F.col("clean") >= floor, F.col("clean")).otherwise(0.0)).drop("_kept", "_soft")
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, however often the body uses it, also inside other functions of arrays."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -187,16 +187,18 @@ _L = LIMITS
 _AT = lambda pair: f"greatest({pair[0]!r}, height * width * {pair[1]!r}::DOUBLE)"
 
 
-@query(f"""WITH RECURSIVE {CELLS_SQL}, {_components("v > 0.12")},
-b AS (SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, (vx + vy) / 2 AS half, sqrt(greatest(0, ((vx + vy) / 2) ** 2 - (vx * vy - cv ** 2))) AS root FROM a),
+SHAPES_SQL = f"""b AS (SELECT *, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, (vx + vy) / 2 AS half, sqrt(greatest(0, ((vx + vy) / 2) ** 2 - (vx * vy - cv ** 2))) AS root FROM a),
 d AS (SELECT *, greatest(w, h) / least(w, h) AS ratio, area / (w * h) AS fill, sqrt(greatest(half + root, 1e-5::DOUBLE) / greatest(half - root, 1e-5::DOUBLE)) AS el, abs(degrees(atan2(2 * cv, vx - vy + 1e-9::DOUBLE) / 2)) AS an, greatest({_L.dot_reach[0]!r}, width * {_L.dot_reach[1]!r}::DOUBLE) AS reach,
  x0 <= width * {_L.strip_edge!r}::DOUBLE OR x1 >= width * {1 - _L.strip_edge!r}::DOUBLE OR y0 <= height * {_L.strip_edge!r}::DOUBLE OR y1 >= height * {1 - _L.strip_edge!r}::DOUBLE AS edge FROM b),
-g AS (SELECT *, EXISTS (SELECT 1 FROM d o WHERE o.image = d.image AND o.m <> d.m AND o.area >= {_AT(_L.major)} AND d.x1 >= o.x0 - o.reach AND d.x0 <= o.x1 + o.reach AND d.y1 >= o.y0 - o.reach AND d.y0 <= o.y1 + o.reach) AS near FROM d)
-SELECT image, area, x0, y0, x1, y1, round(mean, 6) AS mean, round(el, 4) AS elongation, CASE WHEN edge AND ((w > width * 0.34::DOUBLE AND h < height * 0.18::DOUBLE) OR (w > width * 0.16::DOUBLE AND h < height * 0.14::DOUBLE AND ratio >= 4)) THEN 'strip'
+g AS (SELECT *, EXISTS (SELECT 1 FROM d o WHERE o.image = d.image AND o.m <> d.m AND o.area >= {_AT(_L.major)} AND d.x1 >= o.x0 - o.reach AND d.x0 <= o.x1 + o.reach AND d.y1 >= o.y0 - o.reach AND d.y0 <= o.y1 + o.reach) AS near FROM d)"""
+KIND_SQL = f"""CASE WHEN edge AND ((w > width * 0.34::DOUBLE AND h < height * 0.18::DOUBLE) OR (w > width * 0.16::DOUBLE AND h < height * 0.14::DOUBLE AND ratio >= 4)) THEN 'strip'
  WHEN near AND area BETWEEN {_AT(_L.dot)} AND {_AT(_L.dot_most)} AND ratio <= {_L.dot_shape[0]!r}::DOUBLE AND el <= {_L.dot_shape[1]!r}::DOUBLE AND fill >= {_L.dot_shape[2]!r}::DOUBLE AND mean >= {_L.dot_shape[3]!r}::DOUBLE THEN 'keep'
  WHEN area < {_AT(_L.detached)} * CASE WHEN edge THEN {_L.detached_edge!r}::DOUBLE ELSE 1 END THEN 'speckle'
  WHEN (an BETWEEN 15 AND 75 AND el >= {_L.line_ratio!r}::DOUBLE AND area < height * width * {_L.line_share!r}::DOUBLE) OR (ratio >= {_L.line_ratio * 1.6!r}::DOUBLE AND area < height * width * 0.04::DOUBLE) THEN 'line'
- WHEN (area < {_AT(_L.speckle)} AND mean < {_L.speckle[2]!r}::DOUBLE) OR (area < {_AT(_L.faint)} AND mean < {_L.faint[2]!r}::DOUBLE) THEN 'speckle' ELSE 'keep' END AS kind FROM g""")
+ WHEN (area < {_AT(_L.speckle)} AND mean < {_L.speckle[2]!r}::DOUBLE) OR (area < {_AT(_L.faint)} AND mean < {_L.faint[2]!r}::DOUBLE) THEN 'speckle' ELSE 'keep' END"""
+
+
+@query(f'WITH RECURSIVE {CELLS_SQL}, {_components("v > 0.12")},\n{SHAPES_SQL}\nSELECT image, area, x0, y0, x1, y1, round(mean, 6) AS mean, round(el, 4) AS elongation, {KIND_SQL} AS kind FROM g')
 def component_kinds(spark, sf):
     c = cells(spark, sf)
     shapes = raster.moments(raster.labelled_runs(c.filter("v > 0.12").select("image", "y", "x", "u"), "u"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import features, governance, metrics, similarity
+from quern.operators import features, governance, metrics, raster, similarity
 
 
 def grids(seed=3):
@@ -130,6 +130,34 @@ def test_fading_is_soft_repeatable_and_the_same_for_all_channels(spark):
     assert any(r.v - r.was > 0.05 for r in rows)
 
 
+def test_dots_return_near_major_strokes_and_specks_go(spark):
+    alpha, depth = np.full((40, 60), 0.05), np.full((40, 60), 0.1)
+    alpha[5:20, 5:30] = depth[5:20, 5:30] = 0.9  # a major stroke
+    depth[23:27, 10:14] = 0.5  # a dot under it, lost in the alpha
+    depth[33:37, 52:56] = 0.5  # the same, far from it
+    depth[23:25, 18:28] = 0.5  # near, but long
+    alpha[30, 40] = depth[30, 40] = 0.8  # a speck
+    far = np.full((9, 9), 0.5)  # no major component at all
+    images = {0: (alpha, depth), 1: (far, far)}
+    rows = [(k, y, x, float(a[y, x]), float(d[y, x])) for k, (a, d) in images.items() for y in range(a.shape[0]) for x in range(a.shape[1])]
+    cells = spark.createDataFrame(rows, "image int, y int, x int, a double, d double").repartition(4)
+    size = spark.createDataFrame([(0, 40, 60), (1, 9, 9)], "image int, height int, width int")
+    limits = features.DotLimits(area=(9.0, 0.0), most=(40.0, 0.0), reach=(6.0, 0.0), major=(200.0, 0.0))
+    t = features.with_dots(cells, size, "a", "d", 0.5, limits)
+    got = drawn(t, {0: alpha, 1: far}, "a")
+    want = alpha.copy()
+    want[23:27, 10:14] = 0.825
+    assert got[0] == pytest.approx(want) and got[1] == pytest.approx(far)
+    kinds = raster.KindLimits(detached=(10.0, 0.0), dot=(1e6, 0.0), dot_most=(1e7, 0.0), major=(200.0, 0.0), speckle=(4.0, 0.0, 0.9), faint=(0.0, 0.0, 0.0))
+    clean = features.cleaned_alpha(t.filter("image = 0"), size, "a", "d", 0.5, kinds)
+    mask = np.zeros_like(alpha)
+    mask[4:21, 4:31] = mask[22:28, 9:15] = 1  # kept components, a cell wider
+    soft = want * blur(mask, 0.75)
+    assert drawn(clean.filter("image = 0"), {0: alpha}, "clean")[0] == pytest.approx(np.where(soft >= 0.035, soft, 0), abs=1e-9)
+    found = {(r.y, r.x): r.kind for r in clean.filter("kind is not null").collect()}
+    assert found[30, 40] == "speckle" and found[10, 10] == found[25, 12] == "keep" and len(found) == 15 * 25 + 16 + 1
+
+
 def test_chosen_router_is_the_first_best_and_is_judged_on_other_rows(spark):
     rng = np.random.default_rng(11)
     rows = [(int(t), int(a), int(b), int(s), float(m)) for t, a, b, s, m in zip(rng.integers(0, 3, 300), rng.integers(0, 3, 300), rng.integers(0, 3, 300), rng.integers(1, 9, 300), rng.random(300).round(2), strict=True)]
