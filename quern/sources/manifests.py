@@ -81,3 +81,27 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("errorifexists").partitionBy(split).parquet(path)
+
+
+def read_rasters(spark: SparkSession, path: str) -> DataFrame:
+    """(image, height, width, y, row): the rows of the images under a path, each an array of grey values from 0 to 255.
+
+    Colours are weighed to grey in whole numbers, opacity is ignored; a file that is no image raises. Images are cut into
+    rows by Spark, so what follows handles a row at a time.
+    """
+    t = spark.read.format("image").load(path).select("image.*")
+    bad = F.raise_error(F.concat(F.lit("not an image: "), "origin")).cast("int")
+    t = t.withColumn("nChannels", F.when(F.col("nChannels") < 1, bad).otherwise(F.col("nChannels")))
+    size = F.col("width") * F.col("nChannels")
+    rows = t.select(F.col("origin").alias("image"), "height", "width", "nChannels", F.col("data").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    rows = rows.select("image", "height", "width", "nChannels", "y", F.hex(F.substring("_d", F.col("y") * size + 1, size)).alias("_hex"))
+    byte = lambda x, k: F.conv(F.substring("_hex", (x * F.col("nChannels") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    weighed = lambda x: F.shiftright(byte(x, 0) * 7471 + byte(x, 1) * 38470 + byte(x, 2) * 19595 + 32768, 16)  # noqa: E731  # fixed weights of blue, green, red
+    grey = lambda x: F.when(F.col("nChannels") >= 3, weighed(x)).otherwise(byte(x, 0))
+    return rows.select("image", "height", "width", "y", F.transform(F.sequence(F.lit(0), F.col("width") - 1), grey).alias("row"))
+
+
+def raster_cells(rasters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (image, y, x, value from 0 to 1) and sizes of `read_rasters`."""
+    cells = rasters.select("image", "y", F.posexplode("row").alias("x", "_v")).select("image", "y", "x", (F.col("_v") / F.lit(255.0)).alias("value"))
+    return cells, rasters.filter("y = 0").select("image", "height", "width")
