@@ -87,17 +87,18 @@ def faded_views(spark, sf):
     return t.select("image", "y", "x", r6("u").alias("grey"), r6("depth").alias("darkness"))
 
 
+INK = 0.57  # components of several sizes, so that some are kept
 _NEAR = "SELECT DISTINCT image, y + a AS y, x + b AS x FROM kept, range(-1, 2) i(a), range(-1, 2) j(b)"
 
 
-@query(f"""WITH RECURSIVE {CELLS_SQL}, {_components("u >= 0.62")},
+@query(f"""WITH RECURSIVE {CELLS_SQL}, {_components(f"u >= {INK}")},
 {SHAPES_SQL}, kd AS (SELECT image, m, {KIND_SQL} AS kind FROM g), mark AS (SELECT image, y, x, kind FROM k JOIN kd USING (image, m)), kept AS (SELECT image, y, x FROM mark WHERE kind = 'keep'), grown AS ({_NEAR}),
 mask AS (SELECT c.image, c.y, c.x, (grown.x IS NOT NULL)::INT AS on_ FROM c LEFT JOIN grown USING (image, y, x)),
 soft AS (SELECT image, y, x, sum(on_ * w) / sum(w) AS s FROM (SELECT o.image, o.y, o.x, n.on_, exp(-0.5::DOUBLE * ((o.y - n.y) ** 2 + (o.x - n.x) ** 2) / 0.5625::DOUBLE) AS w FROM mask o JOIN mask n ON n.image = o.image AND n.y BETWEEN o.y - 3 AND o.y + 3 AND n.x BETWEEN o.x - 3 AND o.x + 3) GROUP BY ALL)
 SELECT c.image, c.y, c.x, coalesce(kind, '-') AS kind, round(CASE WHEN u * s >= 0.035::DOUBLE THEN least(1.0::DOUBLE, u * s) ELSE 0 END, 6) AS clean FROM c JOIN soft USING (image, y, x) LEFT JOIN mark USING (image, y, x)""")
 def cleaned_strokes(spark, sf):
     c = cells(spark, sf).select("image", "y", "x", "u")
-    t = features.cleaned_alpha(c, sizes(c), "u", "u", 0.62, LIMITS)
+    t = features.cleaned_alpha(c, sizes(c), "u", "u", INK, LIMITS)
     return t.select("image", "y", "x", F.coalesce("kind", F.lit("-")).alias("kind"), r6("clean").alias("clean"))
 
 
