@@ -179,11 +179,11 @@ def run_records(spark, sf):
     return governance.recorded(runs, expected, "run", {"seed": ["stored_seed", "args_seed"], "dataset": ["stored_dataset", "top_dataset"], "classes": ["map_hash"], "declared": ["declared_hash"]}, optional=("declared",))
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS p, count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd, median(o_totalprice) AS md FROM orders GROUP BY 1), b AS (SELECT row_number() OVER (ORDER BY m DESC, p) + 4 AS line, '| ' || p || ' | ' || format('{:,}', n) || ' | ' || printf('%.4f +/- %.4f', m, sd) || ' | ' || printf('%.2f', md) || ' |' AS text FROM s)
+@query("""WITH s AS (SELECT o_orderpriority AS p, count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd, median(o_totalprice) AS md FROM orders GROUP BY 1), b AS (SELECT row_number() OVER (ORDER BY m DESC, p) + 4 AS line, '| ' || p || ' | ' || format('{:,}', n) || ' | ' || printf('%.4f +/- %.4f', m, sd) || ' | ' || printf('%.4f', md) || ' |' AS text FROM s)
 SELECT * FROM b UNION ALL SELECT * FROM (VALUES (1, '# Orders by priority'), (2, ''), (3, '| priority | rows | mean +/- sd | median |'), (4, '| --- | --- | --- | --- |'))""")
 def comparison_report(spark, sf):
     t = metrics.describe(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice")
-    columns = {"priority": F.col("o_orderpriority"), "rows": metrics.thousands("n"), "mean +/- sd": metrics.spread("mean", "sd"), "median": F.format_string("%.2f", F.col("median"))}
+    columns = {"priority": F.col("o_orderpriority"), "rows": metrics.thousands("n"), "mean +/- sd": metrics.spread("mean", "sd"), "median": F.format_string("%.4f", F.col("median"))}
     return metrics.markdown(t, "Orders by priority", columns, [F.desc("mean"), "o_orderpriority"])
 
 
