@@ -19,19 +19,21 @@ id are ordered by a hash of the text. A null id sorts first. Other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import discard, doc_keys, hot_keys, join_hot, materialise, public_id, small_batches
 
-#: Words that a task handles at a time, and different words it remembers.
-_CHUNK, _CACHE = 100_000, 150_000
+#: Bytes of text that a task handles at a time, and of the longest word that is hashed with the others.
+_CHUNK, _LONG = 1 << 19, 64
 _FAR = 1 << 40
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a number
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -41,25 +43,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Words(dict):
-    """Number of each different word, in the order met; lo and hi are the halves of its 128-bit hash."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.digests: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word))
-        return n
-
-    def hashes(self, docs: list[list[bytes]], total: int) -> np.ndarray:
-        """(total, 2) hashes of all words of docs in order."""
-        if len(self.digests) > _CACHE:
-            self.clear()
-            self.digests = []
-        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, total)
-        return np.frombuffer(b"".join(self.digests), "<u8").reshape(-1, 2)[ids] if total else np.zeros((0, 2), np.uint64)
+def tokens(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word in data, the bytes of texts that follow each other at edges, and the first word of each text."""
+    solid = ~_SPACE[data]
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= ~solid[:-1]
+    closes[:-1] &= ~solid[1:]
+    inner = edges[(edges > 0) & (edges < len(data))]
+    opens[inner], closes[inner - 1] = solid[inner], solid[inner - 1]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return start, end, np.searchsorted(start, edges)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int = 2) -> list[np.ndarray]:
+    """n independent 64-bit hashes of each word, taken eight bytes at a time; of a very long one the halves of its XXH3."""
+    size, mixers = end - start, (_A, _B)[:n]
+    whole = np.zeros(len(data) // 8 + 2, "<u8")
+    whole.view(np.uint8)[: len(data)] = data
+    out = [_mix(size.astype(np.uint64) * m + _C) for m in mixers]
+    for k in range(0, _LONG, 8):
+        own = np.flatnonzero((size > k) & (size <= _LONG))
+        if not len(own):
+            break
+        at = start[own] + k
+        cell, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        x = (whole[cell] >> shift) | (whole[cell + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        x &= _KEEP[np.minimum(size[own] - k, 8)]
+        for h, m in zip(out, mixers, strict=True):
+            h[own] = _mix((h[own] ^ x) * m)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        halves = np.frombuffer(xxhash.xxh3_128_digest(data[start[i] : end[i]]), "<u8")
+        for h, half in zip(out, halves, strict=False):
+            h[i] = half
+    return out
 
 
 def split(text: str | None) -> list[bytes]:
@@ -122,55 +138,55 @@ def anchors(sym: np.ndarray, sep: np.ndarray, valid: np.ndarray, window: int, ro
         free = free[~has]
         if not len(at):
             continue
-        order = np.argsort(name, kind="stable")
-        rank = np.empty(len(name), np.int32)
-        rank[order] = np.arange(len(name), dtype=np.int32)
+        # Names are compared without their last bits, then by place: alike in equal windows, as their interior symbols are.
+        places = np.uint64((1 << max(20, len(name).bit_length())) - 1)
         width = (b - a).astype(np.int32)
         log = np.frexp(width)[1] - 1
-        least, best = rank, np.empty(len(at), np.int32)
+        least, best = (name & ~places) | np.arange(len(name), dtype=np.uint64), np.empty(len(at), np.uint64)
         for k in range(int(log.max()) + 1):  # minima of 2**k neighbours answer all ranges of up to twice that
             own = np.flatnonzero(log == k)
             best[own] = np.minimum(least[a[own]], least[b[own] - (1 << k)])
             least = np.minimum(least[: -(1 << k)], least[1 << k :]) if len(least) > 1 << k else least
-        pick = order[best]
-        own, back = np.unique(pick, return_inverse=True)
+        pick = (best & places).astype(np.int64)  # rises with the window
+        run = np.flatnonzero(np.append(True, pick[1:] != pick[:-1]))
+        own = pick[run]
         base = hi[own] - window
         names.append(name[own])
         bases.append(base)
-        masks.append(np.bincount(back, np.exp2(at - base[back]), len(own)).astype(np.int64))
+        masks.append(np.bitwise_or.reduceat(np.int64(1) << (at - (hi[pick] - window)), run))
     return np.concatenate(names), np.concatenate(bases), np.concatenate(masks)
 
 
-def _chunks(batch: pa.RecordBatch, text_at: int, words: Words) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """(first row, documents, word hashes, first word of each document) for stretches of a batch."""
-    texts, lo = batch.column(text_at), 0
-    while lo < batch.num_rows:
-        docs, size, hi = [], 0, lo
-        while hi < batch.num_rows and size < _CHUNK:
-            docs.append(split(texts[hi].as_py()))
-            size += len(docs[-1])
-            hi += 1
-        yield lo, docs, words.hashes(docs, size), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+def _chunks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row exclusive, bytes of the texts, and tokens of them) for stretches of a batch."""
+    texts = pc.fill_null(batch.column(text_at), "").cast(pa.large_string())
+    _, ends, content = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    content = np.frombuffer(content, np.uint8) if content else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _CHUNK, "right")) - 1)
+        data = content[ends[lo] : ends[hi]]
+        yield lo, hi, data, *tokens(data, ends[lo : hi + 1] - ends[lo])
         lo = hi
 
 
 def _pick(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            for lo, docs, h, first in _chunks(batch, 2, words):
-                n, k = len(h), len(docs)
+            for lo, hi, data, start, end, first in _chunks(batch, 2):
+                n, k = len(start), hi - lo
+                room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+                if not (room >= window).any():
+                    continue
                 place = np.arange(n) + np.repeat(np.arange(k), np.diff(first)) + 1  # a gap before each document
                 sym, sep, valid = np.zeros(n + k + 1, np.uint64), np.ones(n + k + 1, bool), np.zeros(n + k + 1, bool)
-                sym[place], sep[place] = h[:, 0], False
-                room = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+                sym[place], sep[place] = hashes(data, start, end, 1)[0], False
                 valid[place] = room >= window
-                if not valid.any():
-                    continue
                 name, base, mask = anchors(sym, sep, valid, window, rounds)
                 # the document of an anchor is that of its first window
-                start = base + np.log2(mask & -mask).astype(np.int64)
-                doc = np.searchsorted(first + np.arange(k + 1), start - 1, "right") - 1
+                begin = base + np.log2(mask & -mask).astype(np.int64)
+                doc = np.searchsorted(first + np.arange(k + 1), begin - 1, "right") - 1
                 rows = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((base - 1 - doc - first[doc]).astype(np.int32)), pa.array(mask.astype(np.int32))],
@@ -180,61 +196,78 @@ def _pick(window: int, rounds: int):
     return run
 
 
-def _starts(base: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
-    bits = (mask[:, None] >> np.arange(window)) & 1
-    return np.unique((base[:, None] + np.arange(window))[bits.astype(bool)])
+def _values(lists: pa.ListArray, first: np.ndarray) -> np.ndarray:
+    """All values of the lists (null: none), each plus the first word of its row's text."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], n)
+
 
+def _starts(batch: pa.RecordBatch, lo: int, hi: int, first: np.ndarray, n: int) -> np.ndarray:
+    """Whether a candidate window starts at each of the n words of rows lo to hi, by their bases and masks (columns 3 and 4)."""
+    base = _values(batch.column(3).slice(lo, hi - lo), first)
+    mask = batch.column(4).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+    bit = np.flatnonzero(np.unpackbits(mask.astype("<i4").view(np.uint8), bitorder="little"))
+    out = np.zeros(n, bool)
+    out[base[bit >> 5] + (bit & 31)] = True
+    return out
 
-def _key(h: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for i in range(window):
-        a = a * _A + h[starts + i, 0]
-        b = b * _B + h[starts + i, 1]
-    return a, b
+
+def _keys(h: np.ndarray, m: np.uint64, window: int) -> np.ndarray:
+    """For each window the sum of its words' hashes, each times a power of m; by windows of half the words."""
+    out, size = h, 1
+    for more in bin(window)[3:]:
+        out = out[:-size] * np.uint64(pow(int(m), size, 1 << 64)) + out[size:]
+        size *= 2
+        if more == "1":
+            out = out[:-1] * m + h[size:]
+            size += 1
+    return out
 
 
 def _verify(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            bases, masks = batch.column(3), batch.column(4)
-            for lo, docs, h, first in _chunks(batch, 2, words):
-                own = [_starts(bases[lo + i].values.to_numpy(zero_copy_only=False), masks[lo + i].values.to_numpy(zero_copy_only=False), window) for i in range(len(docs))]
-                n = np.array([len(x) for x in own])
-                starts = np.concatenate(own)
-                doc = np.repeat(np.arange(len(docs)), n)
-                a, b = _key(h, starts + first[doc], window)
+            for lo, hi, data, start, end, first in _chunks(batch, 2):
+                at = np.flatnonzero(_starts(batch, lo, hi, first, len(start)))
+                doc = np.searchsorted(first, at, "right") - 1
+                a, b = (_keys(h, m, window)[at] for h, m in zip(hashes(data, start, end), (_A, _B), strict=True))
                 rows = pa.array(lo + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32))], ["a", "b", "_id", "_h", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32))], ["a", "b", "_id", "_h", "start"])
 
     return run
 
 
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, gone: np.ndarray) -> pa.StringArray:
+    """The words of each text that are not gone, joined by single spaces."""
+    kept = np.flatnonzero(~gone)
+    before = np.concatenate([[0], np.cumsum(~gone)])[first]  # kept words before each text
+    more = np.ones(len(kept), bool)  # not the last kept word of its text: the byte behind it is white space and is taken too
+    more[before[1:][np.diff(before) > 0] - 1] = False
+    begin, stop = start[kept], end[kept] + more
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[begin] += 1
+    edge[stop] -= 1
+    spaced = data.copy()
+    spaced[stop[more] - 1] = 32
+    ends = np.concatenate([[0], np.cumsum(stop - begin)])[before]
+    return pa.StringArray.from_buffers(len(before) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(spaced[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]))
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, bases, masks, firsts, copy = (batch.column(i) for i in (2, 3, 4, 5, 6))
-            for lo in range(0, batch.num_rows, 500):
-                total, removed, kept = [], [], []
-                for i in range(lo, min(lo + 500, batch.num_rows)):
-                    w = split(text[i].as_py())
-                    total.append(len(w))
-                    if copy[i].as_py():
-                        w = [] if len(w) >= window else w
-                    elif bases[i].is_valid:
-                        own = _starts(bases[i].values.to_numpy(zero_copy_only=False), masks[i].values.to_numpy(zero_copy_only=False), window)
-                        if firsts[i].is_valid:
-                            own = np.setdiff1d(own, firsts[i].values.to_numpy(zero_copy_only=False), assume_unique=True)
-                        if len(own):
-                            edge = np.zeros(len(w) + 1, np.int32)
-                            edge[own] += 1
-                            edge[own + window] -= 1
-                            gone = np.cumsum(edge[:-1]) > 0
-                            w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
-                    removed.append(total[-1] - len(w))
-                    kept.append(b" ".join(w).decode("utf-8", "surrogatepass"))
-                part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["_id", "_h", "n_words", "n_removed", "kept_text"])
+            copy = batch.column(6).to_numpy(zero_copy_only=False)
+            for lo, hi, data, start, end, first in _chunks(batch, 2):
+                repeat, total = _starts(batch, lo, hi, first, len(start)), np.diff(first)
+                repeat[_values(batch.column(5).slice(lo, hi - lo), first)] = False
+                at = np.flatnonzero(repeat)
+                edge = np.zeros(len(start) + 1, np.int32)
+                edge[at] += 1
+                edge[at + window] -= 1
+                gone = (np.cumsum(edge[:-1]) > 0) | np.repeat(copy[lo:hi].astype(bool) & (total >= window), total)
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), _joined(data, start, end, first, gone)], ["_id", "_h", "n_words", "n_removed", "kept_text"])
 
     return run
 

@@ -1,11 +1,14 @@
 """Every corpus operator against a brute-force version, and on nulls, empties, long texts, ties, repeats and extra columns."""
 
+import cProfile
 import hashlib
 import math
+import pstats
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,42 @@ def test_substring_repeated_ids_and_nulls(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_substring_words_of_bytes():
+    rng = random.Random(21)
+    odd = ["", "a", "a\0", "\0", "\x1c", "\x85", "\xa0", "\u2003", "é" * 4, "z" * 7, "z" * 8, "z" * 9, "z" * 16, "z" * 63, "z" * 64, "z" * 65, "z" * 66, "\U0001f600" * 40]
+    texts = ["".join(rng.choice(odd) + rng.choice([" ", "\t", "\n\n", "\x0b", "\x0c\r", "", " "]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    edges = np.cumsum([0] + [len(t.encode()) for t in texts])
+    start, end, first = substring_dedup.tokens(data, edges)
+    words = [data[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+    assert [words[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] == [substring_dedup.split(t) for t in texts]
+    for h in substring_dedup.hashes(data, start, end):
+        assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    gone = np.array([rng.random() < 0.4 for _ in words])
+    kept = [b" ".join(w for w, g in zip(words[i:j], gone[i:j], strict=True) if not g).decode() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    assert substring_dedup._joined(data, start, end, first, gone).to_pylist() == kept
+
+
+def test_substring_tasks_work_on_arrays(spark):
+    """Tasks call no Python function for each word, whether words are new or known."""
+    rng = random.Random(22)
+    docs = [" ".join(f"u{rng.randrange(1 << 40)}" for _ in range(300)) for _ in range(100)]
+    n, size = 2 * len(docs), 300
+    ids, text = pa.array(range(n), pa.int64()), pa.array([*docs, *(t + " end" for t in docs)])
+    bases, masks = pa.array([[0]] * n, pa.list_(pa.int32())), pa.array([[5]] * n, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([0] * n, pa.int64()), text, bases, masks, pa.array([[0], None] * len(docs), pa.list_(pa.int32())), pa.array([False] * n)], ["_id", "_h", "_text", "bases", "masks", "firsts", "copy"])
+    got = {}
+    for step in (substring_dedup._pick, substring_dedup._verify, substring_dedup._cut):
+        profile = cProfile.Profile()
+        run = step(20, 5) if step is substring_dedup._pick else step(20)
+        got[step] = profile.runcall(lambda run=run: pa.Table.from_batches(run(iter([batch]))))
+        assert pstats.Stats(profile).total_calls < n * size / 20
+    assert got[substring_dedup._verify]["start"].to_pylist() == [0, 2] * n
+    assert got[substring_dedup._cut]["n_removed"].to_pylist() == [20, 22] * len(docs)
+    picked = got[substring_dedup._pick]
+    assert sum(m.bit_count() for m in picked["mask"].to_pylist()) == len(docs) * (281 + 282)
+
+
 def test_simhash_matches_brute_force(spark, texts):
     more = [*texts, (-5, texts[5][1]), (300, "one two"), (301, "One TWO"), (302, "ONE  two\tthree")]
     df = spark.createDataFrame(more, DOCS).withColumn("fp", F.lit(1)).withColumn("least", F.lit("x")).repartition(3)
