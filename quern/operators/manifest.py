@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +63,42 @@ def code_pairs(manifest: DataFrame, threshold: int) -> DataFrame:
     return materialise(near_pairs(codes, threshold), "pairs")
 
 
-def merged_groups(originals: DataFrame, threshold: int, pairs: DataFrame | None = None, fan: int = 1024) -> DataFrame:
+def _member_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, line): a sha256 of the newline-joined lines of each root, from (root, line) in order; no line is held but its batch's."""
+    root, state = None, None
+    for batch in batches:
+        done = []
+        for r, line in zip(batch.column("root").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            if r != root:
+                if state is not None:
+                    done.append((root, state.hexdigest()))
+                root, state = r, hashlib.sha256(line.encode())
+            else:
+                state.update(b"\n" + line.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in done], pa.int64()), pa.array([d for _, d in done], pa.string())], ["root", "line"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([root], pa.int64()), pa.array([state.hexdigest()])], ["root", "line"])
+
+
+def _tree_digests(rows: DataFrame, fan: int) -> DataFrame:
+    level = number_within(rows, ["root"], ["line"], "i").select("root", "i", "line")
+    most, depth = level.agg(F.max("i")).first()[0] or 1, 0
+    while depth == 0 or most > 1:
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), 256)
+        alone = F.lit(depth > 0) & (F.count(F.lit(1)) == 1)
+        level = level.groupBy("root", F.expr(f"(i - 1) div {fan} + 1").alias("block")).agg(F.when(alone, F.min("line")).otherwise(joined).alias("line")).withColumnRenamed("block", "i")
+        most, depth = -(-most // fan), depth + 1
+    return level
+
+
+def merged_groups(originals: DataFrame, threshold: int, pairs: DataFrame | None = None, fan: int | None = None) -> DataFrame:
     """(source_group, split_group_id): source groups that share a file, or hold codes within `threshold` bits, become one.
 
     Every file hash and every code links its groups to the first of them, and a pair of near codes links their two first groups,
     so links grow with the rows and not with the pairs. Null hashes and codes link nothing. The id of a component names its
-    members whatever their order: the start of a sha256 of its sorted members, newline-joined; beyond `fan` members that of
-    each `fan` of them, again joined by `fan` (a last digest alone goes up as it is), and so on until one is left.
+    members whatever their order: the start of a sha256 of its sorted members, newline-joined. That is one sequence, which passes one
+    task in order. With a `fan`, beyond as many members it is that of each `fan` of them, again joined by `fan` (a last digest
+    alone goes up as it is), and so on until one is left.
     pairs: as `code_pairs` gives them, at `threshold`.
     """
     pairs = code_pairs(originals, threshold) if pairs is None else pairs
@@ -79,13 +111,11 @@ def merged_groups(originals: DataFrame, threshold: int, pairs: DataFrame | None
     near = pairs.select("a", "b").join(hub("a"), "a").join(hub("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
     edges = reduce(DataFrame.union, [*shared, near]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     whole = materialise(groups.join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "source_group"), "merged")
-    level = number_within(whole.withColumnRenamed("source_group", "line"), ["root"], ["line"], "i").select("root", "i", "line")
-    most, depth = level.agg(F.max("i")).first()[0] or 1, 0
-    while depth == 0 or most > 1:
-        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), 256)
-        alone = F.lit(depth > 0) & (F.count(F.lit(1)) == 1)
-        level = level.groupBy("root", F.expr(f"(i - 1) div {fan} + 1").alias("block")).agg(F.when(alone, F.min("line")).otherwise(joined).alias("line")).withColumnRenamed("block", "i")
-        most, depth = -(-most // fan), depth + 1
+    level = whole.select("root", F.col("source_group").alias("line"))
+    if fan is None:
+        level = level.repartition("root").sortWithinPartitions("root", "line").mapInArrow(_member_digests, "root long, line string")
+    else:
+        level = _tree_digests(level, fan)
     names = level.select("root", F.concat(F.lit("SOURCE_COMPONENT::"), F.substring("line", 1, 16)).alias("split_group_id"))
     return whole.join(names, "root").select("source_group", "split_group_id")
 

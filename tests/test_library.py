@@ -213,6 +213,16 @@ def test_merged_groups_equal_brute_force(spark, fan):
     assert manifest.merged_groups(spark.createDataFrame([], "source_group string, file_sha256 string, perceptual_hash long"), 2).count() == 0
 
 
+def test_merged_group_of_any_size_is_named_by_all_its_members(spark):
+    import hashlib
+
+    big, small = [f"G{i:04}" for i in range(1503)], ["x", "y"]
+    rows = [(g, "big", None) for g in big] + [(g, "small", None) for g in small] + [("alone", None, None)]
+    got = manifest.merged_groups(spark.createDataFrame(rows, "source_group string, file_sha256 string, perceptual_hash long").repartition(5), 2).collect()
+    name = lambda members: "SOURCE_COMPONENT::" + hashlib.sha256("\n".join(members).encode()).hexdigest()[:16]
+    assert {r.source_group: r.split_group_id for r in got} == {g: name(m) for m in (big, small, ["alone"]) for g in m}
+
+
 def test_merged_splits_hold_groups_together(spark):
     rows = [("a", "g1", False, "h1", 1, ""), ("b", "g2", False, "h1", None, ""), ("c", "g3", False, "h3", 7 << 30, ""), ("d", "g4", False, "h4", 5 << 30, ""), ("d1", "g4", True, "h5", None, "d")]
     m = spark.createDataFrame(rows, "name string, source_group string, is_augmented boolean, file_sha256 string, perceptual_hash long, augmentation_parent_id string")
