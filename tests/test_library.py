@@ -223,6 +223,24 @@ def test_merged_group_of_any_size_is_named_by_all_its_members(spark):
     assert {r.source_group: r.split_group_id for r in got} == {g: name(m) for m in (big, small, ["alone"]) for g in m}
 
 
+def test_merged_splits_of_a_large_component_equal_sql(spark, tmp_path):
+    import hashlib
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    words = lambda n: hashlib.md5(str(n).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    texts = [words((i, 1)) if i % 3 == 1 else words(i // 3) for i in range(5700)]  # 1,083 crops each share a file with a row of one inscription
+    docs = [(i, " ".join(t[k : k + 2] for k in range(0, 32, 2)), "en", "s" if i // 3 % 20 else "t", i % 977) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.sql(entry.oracle_sql()["merged_group_splits"]).fetchall()
+    got = entry.queries()["merged_group_splits"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_merged_splits_hold_groups_together(spark):
     rows = [("a", "g1", False, "h1", 1, ""), ("b", "g2", False, "h1", None, ""), ("c", "g3", False, "h3", 7 << 30, ""), ("d", "g4", False, "h4", 5 << 30, ""), ("d1", "g4", True, "h5", None, "d")]
     m = spark.createDataFrame(rows, "name string, source_group string, is_augmented boolean, file_sha256 string, perceptual_hash long, augmentation_parent_id string")
