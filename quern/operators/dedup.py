@@ -47,13 +47,14 @@ def masks(threshold: int) -> list[int]:
 def near_pairs(codes: DataFrame, threshold: int) -> DataFrame:
     """(a, b, dist) of pairs of different codes within `threshold` bits, exactly: equi-joins on masked codes, then verification.
 
-    codes: distinct `code`. Each pair comes from the first mask under which its codes agree, so none is repeated.
+    codes: distinct `code`. Each pair comes from the first mask under which its codes agree, so none is repeated. Codes are
+    keyed by every mask, many times their size as a file, by which Spark would broadcast them; so they are merged by hint.
     """
     own = [F.lit(m).cast("long") for m in masks(threshold)]
     keyed = codes.select("code", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("code").bitwiseAND(m).alias("value")) for i, m in enumerate(own)])).alias("k")).select("code", "k.*")
     x, y = keyed.select(F.col("code").alias("a"), "mask", "value"), keyed.select(F.col("code").alias("b"), "mask", "value")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = x.join(y, ["mask", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
+    pairs = x.join(y.hint("merge"), ["mask", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= threshold))
     first = F.coalesce(*[F.when(differ.bitwiseAND(m) == 0, i) for i, m in enumerate(own)])
     return pairs.filter(F.col("mask") == first).select("a", "b", F.bit_count(differ).alias("dist"))
 

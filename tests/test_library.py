@@ -1,6 +1,7 @@
 """The library's operators: SQL on the smallest tables, brute force, and rules that must break."""
 
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -182,6 +183,16 @@ def test_splits_exclude_collisions(spark):
     assert got == {"a": "train", "b": "test", "a1": "excluded_perceptual_collision", "a2": "excluded_perceptual_collision", "a3": "train", "b1": "excluded_parent_not_train", "a4": "train"}
 
 
+def joins(df):
+    """The joins of a plan, by which a table that is small as a file may or may not be gathered on the driver."""
+    return re.findall(r"BroadcastHashJoin|BroadcastNestedLoopJoin|SortMergeJoin|ShuffledHashJoin", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    codes = spark.createDataFrame([(i,) for i in range(50)], "code long")
+    assert joins(dedup.near_pairs(codes, 3)) == ["SortMergeJoin"]
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
