@@ -193,6 +193,11 @@ def test_near_pairs_are_not_broadcast(spark):
     assert joins(dedup.near_pairs(codes, 3)) == ["SortMergeJoin"]
 
 
+def test_cross_split_pairs_do_not_broadcast_masked_codes(spark):
+    m = spark.createDataFrame([(i, "train" if i % 2 else "test") for i in range(50)], "perceptual_hash long, split string")
+    assert joins(manifest.cross_split_pairs(m, 3)).count("SortMergeJoin") == 1
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
