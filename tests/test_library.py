@@ -198,6 +198,13 @@ def test_cross_split_pairs_do_not_broadcast_masked_codes(spark):
     assert joins(manifest.cross_split_pairs(m, 3)).count("SortMergeJoin") == 1
 
 
+def test_duplicate_components_do_not_broadcast_masked_codes(spark, monkeypatch):
+    edges = []
+    monkeypatch.setattr("quern.operators.graph.components", lambda e: edges.append(e) or e.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    QUERIES["duplicate_components"](spark, SF)
+    assert joins(edges[0]) == ["SortMergeJoin"]
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
