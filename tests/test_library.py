@@ -205,6 +205,11 @@ def test_duplicate_components_do_not_broadcast_masked_codes(spark, monkeypatch):
     assert joins(edges[0]) == ["SortMergeJoin"]
 
 
+def test_components_near_each_other_are_not_broadcast(spark):
+    t = spark.createDataFrame([(i // 10, i, i * 7 % 90, i * 3 % 60) for i in range(40)], "image long, id long, x long, y long")
+    assert joins(geometry.near_centres(t, t, ["image"], 20, 10)) == ["SortMergeJoin"]
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
