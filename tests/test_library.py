@@ -210,6 +210,12 @@ def test_components_near_each_other_are_not_broadcast(spark):
     assert joins(geometry.near_centres(t, t, ["image"], 20, 10)) == ["SortMergeJoin"]
 
 
+def test_attached_dots_broadcast_no_components(spark):
+    from quern.plans.shapes import comps
+
+    assert joins(shapes.attached_dots(shapes.classified(comps(spark, SF)))).count("SortMergeJoin") >= 2  # dots with mains, and neighbours of both
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
