@@ -216,6 +216,10 @@ def test_attached_dots_broadcast_no_components(spark):
     assert joins(shapes.attached_dots(shapes.classified(comps(spark, SF)))).count("SortMergeJoin") >= 2  # dots with mains, and neighbours of both
 
 
+def test_post_filter_broadcasts_no_mains(spark):
+    assert joins(QUERIES["post_filter_modes"](spark, SF)).count("SortMergeJoin") >= 6  # in each mode comps with mains, and neighbours for the mains
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
