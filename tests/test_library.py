@@ -220,6 +220,30 @@ def test_post_filter_broadcasts_no_mains(spark):
     assert joins(QUERIES["post_filter_modes"](spark, SF)).count("SortMergeJoin") >= 6  # in each mode comps with mains, and neighbours for the mains
 
 
+def places(spark, seed, n=160):
+    """Unique keys on a grid with many in one place, some that stand apart, and nulls."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(6), rng.choice([90.0 + rng.randrange(80) / 10, 95.0, 99.1 + rng.random() / 1000])) for i in range(n)] + [(900, 60, 95.0), (901, 3, None), (902, None, 95.0), (903, 3, 400.0), (904, 4, 398.5)]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "key long, x int, y double").repartition(3)
+
+
+def within(a, b, dx, dy):
+    return None not in (a[1], a[2], b[1], b[2]) and abs(a[1] - b[1]) <= dx and abs(a[2] - b[2]) <= dy
+
+
+@pytest.mark.parametrize("halvings", [0, 5])
+def test_nearest_after_equals_brute_force_without_all_pairs(spark, halvings, monkeypatch):
+    rows, df = places(spark, 2)
+    met, near = [], geometry.near_centres
+    monkeypatch.setattr(geometry, "near_centres", lambda *a: met.append(near(*a)) or met[-1])
+    got = {r.a: (r.cost, r.main) for r in geometry.nearest_after(df, "key", "x", "y", 2, 2.0, 1.4, halvings).collect()}
+    cost = lambda a, b: abs(a[1] - b[1]) + 1.4 * abs(a[2] - b[2])
+    want = {a[0]: min(found) for a in rows if (found := [(cost(a, b), b[0]) for b in rows if a[0] < b[0] and within(a, b, 2, 2.0)])}
+    assert got == want and any(c == 0 for c, _ in got.values()) and any(c > 1 for c, _ in got.values())
+    assert met and joins(met[0]) == ["SortMergeJoin"]
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
