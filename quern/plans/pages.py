@@ -165,13 +165,7 @@ TRIPLES_SQL = "n AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN
 
 @query(f"WITH {TRIPLES_SQL}, g AS (SELECT list_reduce(list([i, j, k] ORDER BY score, i, j, k), lambda a, b: CASE WHEN list_has_any(a, b) THEN a ELSE list_concat(a, b) END) AS m FROM s), u AS (SELECT m[3 * q + 1] AS i, m[3 * q + 2] AS j, m[3 * q + 3] AS k FROM (SELECT m, unnest(range(0, len(m) // 3)) AS q FROM g)) SELECT i, j, k, score FROM u JOIN s USING (i, j, k)")
 def disjoint_triples(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("double").alias("price"))
-    near = geometry.near_box_pairs(part, "p_partkey", "p_size", "price", 0.5, 4.0)
-    x = near.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("ay").alias("pi"), F.col("by").alias("pj"))
-    y = near.select(F.col("a").alias("i"), F.col("b").alias("k"), F.col("by").alias("pk"))
-    z = near.select(F.col("a").alias("j"), F.col("b").alias("k"))
-    t = x.join(y, "i").filter("j < k").join(z, ["j", "k"])
-    return tracks.disjoint_best(t.withColumn("score", F.round(F.greatest("pi", "pj", "pk") - F.least("pi", "pj", "pk"), 4)), ["i", "j", "k"], "score")
+    return tracks.disjoint_triples(table(spark, sf, "part"), "p_size", "p_partkey", "p_retailprice", 4.0)
 
 
 def _components(where: str) -> str:

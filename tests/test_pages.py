@@ -211,6 +211,23 @@ def test_disjoint_choice_equals_greedy(spark):
     assert tracks.disjoint_best(df.limit(0), ["i", "j", "k"], "score").count() == 0
 
 
+def test_disjoint_triples_equal_greedy(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(4), rng.choice([rng.randrange(60) / 10, 2.0, 3 + rng.random() / 5000, 40.0 + 3 * rng.randrange(9)])) for i in rng.sample(range(1000), 130)] + [(2000, None, 1.0), (2001, 1, None)]
+    known = [r for r in rows if None not in r]
+    t = [(*sorted((a[0], b[0], c[0])), float(max(a[2], b[2], c[2]) - min(a[2], b[2], c[2]))) for a, b, c in combinations(known, 3) if a[1] == b[1] == c[1] and max(a[2], b[2], c[2]) - min(a[2], b[2], c[2]) <= 4]
+    every = spark.createDataFrame(t, "i long, j long, k long, d double").select("i", "j", "k", F.round("d", 4).alias("score"))
+    used, want = set(), []
+    for s, *m in sorted((r.score, r.i, r.j, r.k) for r in every.collect()):
+        if not used & set(m):
+            used |= set(m)
+            want.append((*m, s))
+    got = tracks.disjoint_triples(spark.createDataFrame(rows, "key long, size int, price double").repartition(3), "size", "key", "price", 4.0)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 30
+    copies = spark.range(3000).select(F.col("id").alias("key"), F.lit(1).alias("size"), F.lit(9.9).alias("price"))  # 4.5 billion triples
+    assert sorted(map(tuple, tracks.disjoint_triples(copies, "size", "key", "price", 4.0).collect())) == [(i, i + 1, i + 2, 0.0) for i in range(0, 3000, 3)]
+
+
 @pytest.mark.parametrize("whole", [0, 100, 100_000])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
 def test_quantile_is_exact(spark, whole, q):
