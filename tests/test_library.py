@@ -232,6 +232,13 @@ def within(a, b, dx, dy):
     return None not in (a[1], a[2], b[1], b[2]) and abs(a[1] - b[1]) <= dx and abs(a[2] - b[2]) <= dy
 
 
+def test_box_pairs_are_not_broadcast(spark):
+    rows, df = places(spark, 1)
+    pairs = geometry.near_box_pairs(df, "key", "x", "y", 1, 2.5)
+    assert joins(pairs) == ["SortMergeJoin"]
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and within(a, b, 1, 2.5))
+
+
 @pytest.mark.parametrize("halvings", [0, 5])
 def test_nearest_after_equals_brute_force_without_all_pairs(spark, halvings, monkeypatch):
     rows, df = places(spark, 2)
