@@ -251,6 +251,15 @@ def test_nearest_after_equals_brute_force_without_all_pairs(spark, halvings, mon
     assert met and joins(met[0]) == ["SortMergeJoin"]
 
 
+def test_near_triples_shuffle_no_pairs(spark):
+    rows, df = places(spark, 3, 70)
+    t = geometry.near_triples(df, "key", "x", "y", 0.5, 1.0)
+    assert joins(t) == ["SortMergeJoin"]
+    pair = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and within(a, b, 0.5, 1.0)}
+    want = sorted((i, j, k) for i, j in pair for j2, k in pair if j == j2 and (i, k) in pair)
+    assert sorted(map(tuple, t.collect())) == want and len(want) > 50
+
+
 @pytest.mark.parametrize("fan", [3, 1024])
 def test_merged_groups_equal_brute_force(spark, fan):
     import hashlib
