@@ -309,7 +309,7 @@ def test_merged_splits_of_a_large_component_equal_sql(spark, tmp_path):
     import __spark_entry__ as entry
 
     words = lambda n: hashlib.md5(str(n).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
-    texts = [words((i, 1)) if i % 3 == 1 else words(i // 3) for i in range(5700)]  # 1,083 crops each share a file with a row of one inscription
+    texts = [words((i, 1)) if i % 3 == 1 else words(i // 3) for i in range(8700)]  # over 1,024 crops each share a file with a row of one inscription
     docs = [(i, " ".join(t[k : k + 2] for k in range(0, 32, 2)), "en", "s" if i // 3 % 20 else "t", i % 977) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     with duckdb.connect() as db:
